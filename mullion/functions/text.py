@@ -218,46 +218,56 @@ def map_headers(headers: Column) -> Column:
     thickness, rooms = fields.index("door_thickness"), [fields.index(f) for f in ("from_space", "to_space")]
 
     def claims(h: Column) -> Column:
-        t, bare = norm_header(h), without_group(norm_header(h))
-        allowed = lambda a: ~((a.f == thickness) & F.exists(not_doors, lambda w: F.contains(F.concat(F.lit(" "), t, F.lit(" ")), w))) \
-            & ~(a.f.isin(rooms) & t.rlike(r"\b(?:NO|NUMBER|NUM)$|#$"))
+        t, bare = h.t, h.bare
+        padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+        not_this = F.exists(not_doors, lambda w: F.contains(padded(t), w))
+        numbered = t.rlike(r"\b(?:NO|NUMBER|NUM)$|#$")
+        allowed = lambda a: ~((a.f == thickness) & not_this) & ~(a.f.isin(rooms) & numbered)
         either = lambda test: test(t) | test(bare)
         long = lambda a: F.length(a.a) >= 3
+        begins = lambda x, y: F.startswith(x, F.concat(y, F.lit(" ")))
         passes = [
             lambda a: (t == a.a) | (bare == a.a) | (squeezed(t) == a.sq),
-            lambda a: long(a) & either(lambda x: F.startswith(x, F.concat(a.a, F.lit(" "))) | F.startswith(a.a, F.concat(x, F.lit(" ")))),
-            lambda a: long(a) & a.loose & either(lambda x: F.contains(F.concat(F.lit(" "), x, F.lit(" ")), F.concat(F.lit(" "), a.a, F.lit(" ")))),
+            lambda a: long(a) & either(lambda x: begins(x, a.a) | begins(a.a, x)),
+            lambda a: long(a) & a.loose & either(lambda x: F.contains(padded(x), padded(a.a))),
             lambda a: F.contains(t, F.lit(" ")) & (F.length(a.a) <= 2) & (F.substring_index(t, " ", -1) == a.a),
         ]
+
         def codes(k, test):
             return F.transform(F.filter(alias, lambda a: allowed(a) & test(a)), lambda a: a.f + k * len(fields))
 
         found = [codes(k, test) for k, test in enumerate(passes)]
         return F.when(t == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(*found)))
 
-    wanted = F.transform(headers, claims)
-    none = F.transform(headers, lambda h: F.lit(-1))
+    # The claims and the normalised headings ride in the fold's state, so each is worked out once per table.
+    norms = F.transform(headers, norm_header)
+    wanted = F.transform(F.transform(norms, lambda t: F.struct(t.alias("t"), without_group(t).alias("bare"))), claims)
+    start = F.struct(wanted.alias("wanted"), F.transform(headers, lambda h: F.lit(-1)).alias("m"))
 
     def grant(state: Column, code: Column) -> Column:
         field = code % len(fields)
-        at = F.array_position(F.transform(wanted, lambda c, i: F.array_contains(c, code) & (F.get(state, i) == -1)), True)
-        return F.when(F.array_contains(state, field) | (at == 0), state).otherwise(
-            F.transform(state, lambda v, i: F.when(i == at - 1, field).otherwise(v)))
+        at = F.array_position(F.transform(state.wanted, lambda c, i: F.array_contains(c, code) & (F.get(state.m, i) == -1)), True)
+        granted = F.when(F.array_contains(state.m, field) | (at == 0), state.m).otherwise(
+            F.transform(state.m, lambda v, i: F.when(i == at - 1, field).otherwise(v)))
+        return F.struct(state.wanted.alias("wanted"), granted.alias("m"))
 
-    granted = F.aggregate(F.sequence(F.lit(0), F.lit(4 * len(fields) - 1)), none, grant)
     names = F.array(*[F.lit(f) for f in fields])
-    mapped = F.transform(granted, lambda v: F.when(v < 0, F.lit("")).otherwise(F.get(names, v)))
-    norms = F.transform(headers, norm_header)
+    mapped = F.aggregate(F.sequence(F.lit(0), F.lit(4 * len(fields) - 1)), start, grant,
+                         lambda s: F.transform(s.m, lambda v: F.when(v < 0, F.lit("")).otherwise(F.get(names, v))))
     frame = F.create_map(*[F.lit(x) for kv in vocab.DOOR_TO_FRAME.items() for x in kv])
 
     def hand_over(state: Column, i: Column) -> Column:
+        here = F.get(state.norms, i)
         earlier = F.filter(F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0))),
-                           lambda j: (j < i) & (F.get(norms, j) == F.get(norms, i)) & F.map_contains_key(frame, F.get(state, j)))
-        target = F.element_at(frame, F.get(state, F.get(earlier, F.lit(0))))
-        ok = (F.get(state, i) == "") & (F.get(norms, i) != "") & (F.size(earlier) > 0) & ~F.array_contains(state, F.coalesce(target, F.lit("?")))
-        return F.when(ok, F.transform(state, lambda v, k: F.when(k == i, target).otherwise(v))).otherwise(state)
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(headers) - 1), mapped, hand_over)
+                           lambda j: (j < i) & (F.get(state.norms, j) == here) & F.map_contains_key(frame, F.get(state.m, j)))
+        target = F.element_at(frame, F.get(state.m, F.get(earlier, F.lit(0))))
+        ok = (F.get(state.m, i) == "") & (here != "") & (F.size(earlier) > 0) \
+            & ~F.array_contains(state.m, F.coalesce(target, F.lit("?")))
+        return F.struct(state.norms.alias("norms"), F.when(
+            ok, F.transform(state.m, lambda v, k: F.when(k == i, target).otherwise(v))).otherwise(state.m).alias("m"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(headers) - 1), F.struct(norms.alias("norms"), mapped.alias("m")),
+                       hand_over, lambda s: s.m)
 
 
 def _norm(s: str) -> str:

@@ -32,7 +32,7 @@ SCALARS = [
     (text.map_headers, ["FRAME FINISH", "FINISH", "HARDWARE TYPE", "DOOR SIZE WIDTH", "FR. TYPE", "MATERIAL", "MATERIAL"],
      ["frame_finish", "door_finish", "hw_set", "door_width", "frame_type", "door_material", "frame_material"]),
     (text.map_headers, ["SIZE W x H W", "WALL THICKNESS", "ROOM NO.", "DOOR DESIGN MATERIAL"],
-     ["door_width", "", "", "door_material"]),
+     ["door_width", "", "door_tag", "door_material"]),
 ]
 
 
