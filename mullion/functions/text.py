@@ -203,12 +203,13 @@ def starts_table(c: Column) -> Column:
 
 
 def map_headers(headers: Column) -> Column:
-    """Canonical field per heading, '' where none.
+    """Canonical field per heading of one table, '' where none."""
+    norms = F.transform(headers, norm_header)
+    return grant_headers(norms, F.transform(norms, header_claims))
 
-    Every heading first lists the (pass, field) claims it could make; the claims
-    are then granted in order of pass and field, one heading per field and one
-    field per heading. A repeated door heading hands over to the frame's field.
-    """
+
+def header_claims(norm: Column) -> Column:
+    """The (pass, field) claims a normalised heading can make, as pass * fields + field."""
     fields = [f for f, _ in vocab.HEADER_ALIASES]
     alias = F.array(*[
         F.struct(F.lit(i).alias("f"), F.lit(_norm(a)).alias("a"), F.lit(_norm(a).replace(" ", "")).alias("sq"),
@@ -239,10 +240,17 @@ def map_headers(headers: Column) -> Column:
         found = [codes(k, test) for k, test in enumerate(passes)]
         return F.when(t == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(*found)))
 
-    # The claims and the normalised headings ride in the fold's state, so each is worked out once per table.
-    norms = F.transform(headers, norm_header)
-    wanted = F.transform(F.transform(norms, lambda t: F.struct(t.alias("t"), without_group(t).alias("bare"))), claims)
-    start = F.struct(wanted.alias("wanted"), F.transform(headers, lambda h: F.lit(-1)).alias("m"))
+    return F.get(F.transform(F.array(F.struct(norm.alias("t"), without_group(norm).alias("bare"))), claims), F.lit(0))
+
+
+def grant_headers(norms: Column, claims: Column) -> Column:
+    """Claims granted in order of pass and field, one heading per field and one field
+    per heading; a repeated door heading hands over to the frame's field.
+
+    Both inputs ride in the fold's state, so they are worked out once per table.
+    """
+    fields = [f for f, _ in vocab.HEADER_ALIASES]
+    start = F.struct(claims.alias("wanted"), F.transform(norms, lambda h: F.lit(-1)).alias("m"))
 
     def grant(state: Column, code: Column) -> Column:
         field = code % len(fields)
@@ -266,7 +274,7 @@ def map_headers(headers: Column) -> Column:
         return F.struct(state.norms.alias("norms"), F.when(
             ok, F.transform(state.m, lambda v, k: F.when(k == i, target).otherwise(v))).otherwise(state.m).alias("m"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(headers) - 1), F.struct(norms.alias("norms"), mapped.alias("m")),
+    return F.aggregate(F.sequence(F.lit(0), F.size(norms) - 1), F.struct(norms.alias("norms"), mapped.alias("m")),
                        hand_over, lambda s: s.m)
 
 

@@ -13,7 +13,45 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mullion.sources.catalog import read_table
 
+# Words the derived titles, numbers and headings are put together from.
+STOREYS = ["LEVEL 1", "LEVEL 02", "FIRST FLOOR", "BASEMENT", "MEZZANINE", "COMPOSITE", "GROUND FLOOR", "EAST", "PHASE II", "MEZZ"]
+SUBJECTS = ["FLOOR PLAN", "REFLECTED CEILING PLAN", "FLOOR & LIGHTING PLAN", "ROOF PLAN", "DOOR SCHEDULE", "SCHEDULES",
+            "ENLARGED RESTROOM PLAN", "ENLARGED FLOOR PLAN PART A", "EXIT PLAN", "FURNITURE PLAN", "SITE PLAN", "UNIT PLANS",
+            "STAIR PLAN", "WALL SECTION", "KEY PLAN", "SPECIALIZED PLANNING", "FLOOR PLAN AND REFLECTED CEILING PLAN",
+            "WINDOW SCHEDULE", "DOOR & FRAME TYPES", "DETAILS"]
+PREFIXES = ["A", "AV", "CR", "S", "I", "M", "AD", "IA", "E", ""]
+HEADINGS = ["DOOR NO.", "WIDTH", "HEIGHT", "TYPE", "MATERIAL", "MATERIAL", "FINISH", "FRAME FINISH", "HARDWARE SET", "REMARKS",
+            "FROM ROOM", "TO ROOM", "FIRE RATING", "THRESHOLD", "REBAR", "NECK SIZE", "UNIT COST", "LOUVER", "FRAME TYPE", "DOOR THK"]
+
+
+def pick(words: list[str], at: str, engine: str) -> str:
+    """SQL text choosing a word by an index expression."""
+    quoted = ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    if engine == "spark":
+        return f"element_at(array({quoted}), CAST({at} AS INT) + 1)"
+    return f"[{quoted}][CAST({at} AS INT) + 1]"
+
+
+def _titles(engine: str) -> list[str]:
+    one = pick(PREFIXES, "o_custkey % 10", engine)
+    return [
+        "o_orderkey AS id", "o_orderpriority AS doc", "o_custkey AS page",
+        f"concat({one}, CAST(o_orderkey % 9 + 1 AS {'STRING' if engine == 'spark' else 'VARCHAR'}), '.', "
+        f"CAST(o_orderkey % 20 AS {'STRING' if engine == 'spark' else 'VARCHAR'})) AS number",
+        f"concat({pick(STOREYS, 'o_orderkey % 10', engine)}, ' ', {pick(SUBJECTS, 'o_custkey * 7 % 20', engine)}) AS title",
+    ]
+
+
+def _sizes(engine: str) -> list[str]:
+    return [
+        "l_orderkey AS k1", "l_partkey AS k2", "l_suppkey AS k3", "l_linenumber AS k4",
+        "CAST(l_quantity AS BIGINT) AS a", "l_partkey % 12 AS b", "l_suppkey % 4 AS c",
+    ]
+
+
 LENS_SQL: dict[str, str] = {
+    "L_title": f"SELECT {', '.join(_titles('duckdb'))} FROM orders",
+    "L_size": f"SELECT {', '.join(_sizes('duckdb'))} FROM lineitem",
     # One span per word: 40 pt columns, 12 pt lines.
     "L_tok": """
         SELECT source AS doc, doc_id AS page, line, w, word AS text,
@@ -31,7 +69,7 @@ LENS_SQL: dict[str, str] = {
     "L_plan": """
         SELECT doc, page, line, w, x0, y0, x1, y1, size, horizontal,
                CASE WHEN w % 3 = 0 THEN CAST(100 + (w * 7 + line * 13 + length(text)) % 60 AS VARCHAR)
-                    ELSE upper(text) END AS text
+                    ELSE upper(replace(text, 'ß', 'ss')) END AS text
         FROM L_tok""",
     "L_seg": """
         SELECT o_orderpriority AS doc, CAST(o_custkey % 100 AS BIGINT) AS page, o_orderkey AS id,
@@ -144,6 +182,14 @@ class Tables:
             raise AttributeError(name)
         return read_table(self.spark, self.dir, name)
 
+    @cached_property
+    def L_title(self) -> DataFrame:
+        return self.orders.selectExpr(*_titles("spark"))
+
+    @cached_property
+    def L_size(self) -> DataFrame:
+        return self.lineitem.selectExpr(*_sizes("spark"))
+
     @cached_property
     def L_line(self) -> DataFrame:
         return self.documents.select(
@@ -166,7 +212,7 @@ class Tables:
         return self.L_tok.selectExpr(
             "doc", "page", "line", "w", "x0", "y0", "x1", "y1", "size", "horizontal",
             "CASE WHEN w % 3 = 0 THEN CAST(100 + (w * 7 + line * 13 + length(text)) % 60 AS STRING) "
-            "ELSE upper(text) END AS text")
+            "ELSE upper(replace(text, 'ß', 'ss')) END AS text")
 
     @cached_property
     def L_seg(self) -> DataFrame:
