@@ -156,7 +156,7 @@ def densest(df: DataFrame, keys: Sequence[str], value: str, span: float) -> Data
     home = F.floor(F.col(value) / width)
     halo = F.array_distinct(F.array(home, F.floor((F.col(value) + span) / width)))
     spread = counts.select("*", home.alias("_home"), F.explode(halo).alias("_b"))
-    w = W.partitionBy(*keys, "_b").orderBy(value).rangeBetween(-span, 0)
+    w = W.partitionBy(*keys, "_b").orderBy(value).rangeBetween(-int(span), 0)
     at = spread.select(*keys, value, "_home", "_b", F.sum("n").over(w).alias("run"), F.min(value).over(w).alias("left"))
     best = F.max_by(F.struct("run", "left"), F.struct("run", -F.col(value)))
     return at.filter("_home = _b").groupBy(*keys).agg(best.alias("r")).select(*keys, "r.run", "r.left")

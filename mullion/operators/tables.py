@@ -22,3 +22,20 @@ def map_headers(tables: DataFrame, keys: Sequence[str]) -> DataFrame:
     joined = cells.join(small(claims), "h").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "t", "c"))).alias("_r"))
     granted = joined.select(*keys, text.grant_headers(F.col("_r.t"), F.col("_r.c")).alias("fields"))
     return tables.join(granted, list(keys), "left")
+
+
+def one_reading(tables: DataFrame, rows: DataFrame, page: Sequence[str], table: Sequence[str], order) -> DataFrame:
+    """Readings of one table taken best first; one sharing most of its tags with a kept one is dropped."""
+    from mullion.operators import graph
+
+    page, table = list(page), list(table)
+    ranked = tables.withColumn("_id", F.to_json(F.struct(*page, *table))).withColumn(
+        "_rank", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *table))
+    tags = rows.filter("door_tag <> ''").select(*page, *table, "door_tag").distinct()
+    tags = tags.join(ranked.select(*page, *table, "_id", "_rank"), [*page, *table])
+    size = tags.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    other = tags.select(*page, "door_tag", F.col("_id").alias("rival"), F.col("_rank").alias("_rr"))
+    shared = (tags.join(other, [*page, "door_tag"]).filter("_rr < _rank").groupBy("_id", "rival").agg(F.count(F.lit(1)).alias("_s"))
+              .join(size, "_id").filter("_s * 2 > _n").select(F.col("_id").alias("id"), "rival"))
+    kept = graph.first_fit(ranked.select(F.col("_id").alias("id")), shared)
+    return ranked.join(kept.withColumnRenamed("id", "_id"), "_id", "left_semi").drop("_id", "_rank")
