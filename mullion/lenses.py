@@ -146,6 +146,12 @@ LENS_SQL: dict[str, str] = {
                CAST(abs(embedding[4]) AS DOUBLE) AS residual,
                CASE vec_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence
         FROM embeddings""",
+    "L_cut": """
+        SELECT vec_id AS id, CAST(label AS BIGINT) AS page,
+               1000.0 * CAST(embedding[1] AS DOUBLE) AS x0, 1000.0 * CAST(embedding[2] AS DOUBLE) AS y0,
+               1000.0 * CAST(embedding[1] AS DOUBLE) + 200.0 * CAST(embedding[5] AS DOUBLE) AS x1,
+               1000.0 * CAST(embedding[2] AS DOUBLE) + 200.0 * CAST(embedding[6] AS DOUBLE) AS y1
+        FROM embeddings""",
     "L_book": """
         SELECT host AS book, page_id AS page, line, trim(ltext) AS text
         FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, page_id,
@@ -311,6 +317,14 @@ class Tables:
                             "CASE vec_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence")
                 .selectExpr("*", "cx - 5.0D AS x0", "cy - 5.0D AS y0", "cx + 5.0D AS x1", "cy + 5.0D AS y1"))
 
+    @cached_property
+    def L_cut(self) -> DataFrame:
+        return self.embeddings.selectExpr(
+            "vec_id AS id", "CAST(label AS BIGINT) AS page",
+            "1000.0D * CAST(embedding[0] AS DOUBLE) AS x0", "1000.0D * CAST(embedding[1] AS DOUBLE) AS y0",
+            "1000.0D * CAST(embedding[0] AS DOUBLE) + 200.0D * CAST(embedding[4] AS DOUBLE) AS x1",
+            "1000.0D * CAST(embedding[1] AS DOUBLE) + 200.0D * CAST(embedding[5] AS DOUBLE) AS y1")
+
     @cached_property
     def L_book(self) -> DataFrame:
         return (self.pages

@@ -127,16 +127,17 @@ def first_per_door(doors: DataFrame, order: Sequence[str]) -> tuple[DataFrame, D
 
 
 def elect_primary(det: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Primary sighting per tag and, on every row, the sheets it is also drawn on."""
+    """Primary sighting per tag and, on every row, the sheets the tag is drawn on (by scale, then page).
+
+    Only those short sheet lists are gathered per tag; the rows themselves are not.
+    """
     rank = F.struct(F.col("has_arc").cast("int"), F.col("scale"), -F.col("page"), -F.col("id"))
     summary = det.groupBy(*keys).agg(
-        F.max_by("id", rank).alias("primary_id"), F.max_by("page", rank).alias("primary_page"),
-        F.array_sort(F.collect_set(F.struct("scale", "page"))).alias("_on"))
+        F.max_by("id", rank).alias("primary_id"), F.max_by("page", rank).alias("counted_on"),
+        F.array_sort(F.collect_list(F.struct("scale", "page"))).alias("_on"))
     return (det.join(summary, list(keys))
             .withColumn("is_primary", F.col("id") == F.col("primary_id"))
-            .withColumn("counted_on", F.col("primary_page"))
-            .withColumn("also_on", F.expr("transform(filter(_on, s -> s.page <> page), s -> s.page)"))
-            .drop("_on", "primary_id", "primary_page"))
+            .withColumn("also_on", F.col("_on.page")).drop("_on", "primary_id"))
 
 
 def fields_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:

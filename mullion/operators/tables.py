@@ -39,3 +39,16 @@ def one_reading(tables: DataFrame, rows: DataFrame, page: Sequence[str], table:
               .join(size, "_id").filter("_s * 2 > _n").select(F.col("_id").alias("id"), "rival"))
     kept = graph.first_fit(ranked.select(F.col("_id").alias("id")), shared)
     return ranked.join(kept.withColumnRenamed("id", "_id"), "_id", "left_semi").drop("_id", "_rank")
+
+
+def column_of(bounds, x):
+    """Index of the half-open column [lo, hi) holding x, null outside."""
+    below = F.size(F.filter(bounds, lambda b: b <= x))
+    return F.when((below > 0) & (below < F.size(bounds)), below - 1)
+
+
+def body_items(items: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Items of a table's body: under the header, above its bottom, in a column."""
+    j = items.join(grid, list(keys)).withColumn("col", column_of(F.col("bounds"), F.col("x0")))
+    cy = (F.col("y0") + F.col("y1")) / 2
+    return j.filter(F.col("horizontal") & (F.col("y0") > F.col("header_bottom")) & (F.col("bottom").isNull() | (cy <= F.col("bottom"))) & F.col("col").isNotNull())

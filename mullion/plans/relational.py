@@ -151,8 +151,7 @@ def w2(t):
 WITH d AS (SELECT id, tag, page, residual < 0.08 AS has_arc, radius AS scale FROM L_box),
 p AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY has_arc DESC, scale DESC, page, id) AS rn FROM d)
 SELECT p.id, p.tag, p.page, p.rn = 1 AS is_primary, q.page AS counted_on,
-       coalesce((SELECT string_agg(CAST(o.page AS VARCHAR), ',' ORDER BY o.scale, o.page)
-        FROM (SELECT DISTINCT scale, page FROM d WHERE d.tag = p.tag) o WHERE o.page <> p.page), '') AS also_on
+       (SELECT string_agg(CAST(o.page AS VARCHAR), ',' ORDER BY o.scale, o.page) FROM d o WHERE o.tag = p.tag) AS also_on
 FROM p JOIN p q ON q.tag = p.tag AND q.rn = 1""")
 def w3(t):
     det = t.L_box.selectExpr("id", "tag", "page", "residual < 0.08 AS has_arc", "radius AS scale")
