@@ -73,7 +73,7 @@ def j8(t):
 
 _STACK = """
 WITH m AS (SELECT doc, page, line, w, x0, y0, x1, y1, size, CASE WHEN w % 3 = 0 AND line % 2 = 0 THEN CAST(100 + (w * 7 + line * 13) % 60 AS VARCHAR) WHEN w % 3 = 0 THEN chr(CAST(65 + (w + line) % 5 AS INT)) ELSE 'TEXT' END AS text
-   FROM (SELECT doc, page, line, w, x0, y0, x0 + 18.0 AS x1, y0 + 10.0 AS y1, 9.0 + (w + line) % 3 * 4 AS size FROM L_tok)),
+   FROM (SELECT doc, page, line, w, x0, y0, x0 + 18.0 AS x1, y0 + 10.0 AS y1, 9.0 + line % 2 AS size FROM L_tok)),
 tags AS (SELECT DISTINCT n.text || l.text AS tag FROM (SELECT DISTINCT text FROM m WHERE regexp_matches(text, '^[0-9]+$') AND CAST(text AS INT) % 2 = 0) n, (SELECT DISTINCT text FROM m WHERE regexp_matches(text, '^[A-C]$')) l),
 p AS (SELECT n.doc, n.page, n.line, n.w, l.line AS ll, l.w AS lw, n.text || l.text AS tag FROM m n JOIN m l ON l.doc = n.doc AND l.page = n.page AND l.line = n.line + 1 AND l.w = n.w
       JOIN tags t ON t.tag = n.text || l.text WHERE regexp_matches(n.text, '^[0-9]+$') AND regexp_matches(l.text, '^[A-Z]{1,2}$') AND abs(l.size - n.size) <= n.size * 0.25)
@@ -82,7 +82,7 @@ p AS (SELECT n.doc, n.page, n.line, n.w, l.line AS ll, l.w AS lw, n.text || l.te
 
 def stack_items(t):
     return t.L_tok.selectExpr(
-        "doc", "page", "line", "w", "x0", "y0", "x0 + 18.0D AS x1", "y0 + 10.0D AS y1", "9.0D + (w + line) % 3 * 4 AS size",
+        "doc", "page", "line", "w", "x0", "y0", "x0 + 18.0D AS x1", "y0 + 10.0D AS y1", "9.0D + line % 2 AS size",
         "CASE WHEN w % 3 = 0 AND line % 2 = 0 THEN CAST(100 + (w * 7 + line * 13) % 60 AS STRING) WHEN w % 3 = 0 THEN chr(65 + (w + line) % 5) ELSE 'TEXT' END AS text")
 
 
