@@ -30,3 +30,64 @@ def finish_blocks(lines: DataFrame, keys: Sequence[str], order: str, width: floa
     new = F.when((F.col("_n") == 0) | F.col("forced") | F.col("_start").isNotNull(), 1).otherwise(0)
     return seq.running(first.withColumn("_new", new), keys, bucket, [order], {"block": ("sum", F.col("_new"))}).drop(
         "_f", "_seg", "_twin", "_start", "_n", "_new")
+
+
+def read_finish_columns(pieces: DataFrame, keys: Sequence[str], reach: float = 15.0, stack: float = 10.0) -> DataFrame:
+    """Price rows of tables headed 'PRICE BASED ON FINISH'.
+
+    ``pieces(keys, yc, x0, x1, text)``. Finish words between the anchor and the first price line make
+    the columns; every price goes to the nearest column within ``reach``; the model is spelled from
+    'product . function', with '-F' on fire rated rows.
+    """
+    from mullion.functions import text, vocab
+
+    keys = list(keys)
+    lines = seq.mean_lines(pieces, keys, "yc", 2.5, 64.0).withColumnRenamed("line_start", "line")
+    money = F.col("text").rlike(vocab.MONEY_RE)
+    facts = lines.groupBy(*keys, "line").agg(F.max(F.contains("text", F.lit("PRICE BASED ON FINISH"))).alias("anchor"), (F.max(money) & F.max(F.col("text") == ".")).alias("row"))
+    bucket = F.floor(F.col("line") / 256)
+    facts = seq.running(facts, keys, bucket, ["line"], {"block": ("last", F.when(F.col("anchor"), F.col("line")))})
+    facts = seq.running(facts, [*keys, "block"], bucket, ["line"], {"_rows": ("sum", F.col("row").cast("int"))}, inclusive=False).filter("block IS NOT NULL AND NOT anchor")
+    j = lines.join(facts.select(*keys, "line", "block", "row", "_rows"), [*keys, "line"]).withColumn("xc", (F.col("x0") + F.col("x1")) / 2)
+    heads = j.filter("NOT row AND _rows = 0").withColumn("fin", F.explode(text.finishes_in(F.col("text"))))
+    cols = seq.anchored(heads, [*keys, "block"], "xc", stack, 512.0).select(*keys, "block", F.col("cluster").alias("cx"), "fin").distinct()
+    rows = j.filter("row")
+    first = rows.filter(money).groupBy(*keys, "line").agg(F.min("x0").alias("_first"))
+    left = (rows.join(first, [*keys, "line"]).filter("x0 > 30 AND x0 < _first").groupBy(*keys, "line")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s.text).alias("l")))
+    at = lambda i: F.get("l", F.lit(i))
+    left = left.filter((F.size("l") >= 3) & (at(1) == ".") & (at(2) != ".") & ~F.startswith(at(2), F.lit("[")))
+    model = left.select(*keys, "line", F.explode(text.expand_product(at(0))).alias("_p"), at(2).alias("_f"), F.array_contains(F.slice("l", 4, 99), "F").alias("_fire"))
+    model = model.select(*keys, "line", F.concat("_p", "_f", F.when(F.col("_fire"), "-F").otherwise("")).alias("model"))
+    price = rows.filter(money).select(*keys, "block", "line", "xc", F.col("text").alias("price_text"))
+    near = price.join(cols.select(*keys, "block", "cx").distinct(), [*keys, "block"]).withColumn("_d", F.abs(F.col("cx") - F.col("xc"))).filter(F.col("_d") <= reach)
+    near = near.groupBy(*keys, "block", "line", "xc", "price_text").agg(F.min_by("cx", F.struct("_d", "cx")).alias("cx"))
+    return (near.join(cols, [*keys, "block", "cx"]).join(model, [*keys, "line"])
+            .select(*keys, "model", F.lit("base").alias("kind"), F.col("fin").alias("finish"), "price_text", text.amount(F.col("price_text")).alias("list_price")))
+
+
+def read_rows(pieces: DataFrame, keys: Sequence[str], ) -> DataFrame:
+    """Price rows of tables whose lines name their model: the code left of each price, else the block's code.
+
+    ``pieces(keys, line, w, x0, x1, text)`` with line numbers. A line without a code belongs to
+    the code above until a size and finish repeat; two prices for one model, finish and size on a page
+    reject both.
+    """
+    from mullion.functions import text, vocab
+    from mullion.operators import books, prices as pr
+
+    keys = list(keys)
+    p = pieces.withColumn("kind", text.token_kind(F.col("text")))
+    priced = p.filter("kind = 'price'").select(*keys, "line").distinct()
+    p = p.join(priced, [*keys, "line"], "left_semi")
+    order = ["line", "x0", "w"]
+    p = seq.running(p, keys, F.floor(F.col("line") / 64), order, {"code": ("last", F.when(F.col("kind") == "code", F.struct("line", "text")))})
+    line = p.groupBy(*keys, "line").agg(F.min_by("text", F.when(F.col("kind") == "size", F.col("x0"))).alias("size"), F.min_by("text", F.when(F.col("kind") == "finish", F.col("x0"))).alias("finish"))
+    heads = books.price_headings(pieces, keys)
+    rows = p.filter("kind = 'price' AND code IS NOT NULL").join(line, [*keys, "line"]).join(heads, [*keys, "line", "w"])
+    rows = rows.filter(~F.col("heading").rlike(vocab.MEASURE_HEAD_RE))
+    fins = F.when(books.finish_list(F.col("heading")), F.filter(F.split("heading", r"\s*(?:/|\bor\b|,)\s*|\s+"), lambda w: w != "")).otherwise(F.array(F.coalesce("finish", F.lit(""))))
+    option = F.col("heading").rlike(vocab.OPTION_RE) & (F.size(F.split("heading", " ")) <= 4)
+    out = rows.select(*keys, "line", F.col("code.text").alias("model"), F.when(option, "option_add").otherwise("base").alias("kind"), F.explode(fins).alias("finish"),
+                      F.coalesce(F.when(text.is_size(F.col("heading")), F.col("heading")), "size", F.lit("")).alias("size"), F.col("text").alias("price_text"), text.amount(F.col("text")).alias("list_price"))
+    return pr.reject_conflicts(out, [*keys, "model", "kind", "finish", "size"]).filter("kept").drop("kept")

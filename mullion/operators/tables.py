@@ -52,3 +52,203 @@ def body_items(items: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFr
     j = items.join(grid, list(keys)).withColumn("col", column_of(F.col("bounds"), F.col("x0")))
     cy = (F.col("y0") + F.col("y1")) / 2
     return j.filter(F.col("horizontal") & (F.col("y0") > F.col("header_bottom")) & (F.col("bottom").isNull() | (cy <= F.col("bottom"))) & F.col("col").isNotNull())
+
+
+# Rows ---------------------------------------------------------------------
+
+def is_noise(cells, tag_col: int = 0):
+    """Nothing filled; only a tag of up to two characters; or nothing but single marks."""
+    filled = F.filter(cells, lambda c: c != "")
+    tag = F.coalesce(F.get(cells, F.lit(tag_col)), F.lit(""))
+    return (F.size(filled) == 0) | ((F.size(filled) == 1) & (tag != "") & (F.length(tag) <= 2)) | F.forall(
+        filled, lambda c: (F.length(c) <= 1) & ~c.rlike(r"[\p{L}\p{N}]"))
+
+
+def is_band(cells):
+    """One filled cell that is not a door number: a label for the rows below."""
+    filled = F.filter(F.transform(cells, F.trim), lambda c: c != "")
+    return (F.size(filled) == 1) & ~text.is_tag(text.join_split_mark(F.coalesce(F.get(filled, F.lit(0)), F.lit(""))))
+
+
+def is_heading_row(tag):
+    """A label where a door number would be: a known heading, or letters alone."""
+    t = text.norm_header(tag)
+    return (t != "") & (t.isin(text.vocab.HEADING_TAGS) | (~t.rlike("[0-9]") & (F.length(t) >= 3)))
+
+
+def looks_like_header(cells, headers):
+    """A row repeating the headings: it shares max(2, half of its own distinct cells) with them."""
+    norm = lambda a: F.array_distinct(F.transform(F.filter(a, lambda c: c != ""), text.norm_header))
+    row, head = norm(cells), norm(headers)
+    return (F.size(row) > 0) & (F.size(head) > 0) & (
+        F.size(F.array_intersect(row, head)) >= F.greatest(F.lit(2), F.floor(F.size(row) / 2)))
+
+
+def reads_as_headers(c):
+    """Two or more words, every one a known heading or group word."""
+    # Words that group columns.
+    groups = ["DOOR", "DOORS", "FRAME", "FRAMES", "OPENING", "OPENINGS", "LEAF", "LEAVES", "PANEL", "PANELS", "DETAILS",
+              "DIMENSION", "DIMENSIONS", "AND", "OF", "TOTAL"]
+    words = F.filter(F.split(F.upper(c), r"[^A-Z0-9.#_]+"), lambda w: w != "")
+    return (F.size(words) >= 2) & F.forall(words, lambda w: w.isin(groups) | (F.size(text.header_words(w)) > 0))
+
+
+def is_caption(c):
+    t = F.trim(c)
+    return F.length(t).between(1, 80) & ~reads_as_headers(t) & ~F.startswith(F.ltrim(F.upper(t)), F.lit("NOTE"))
+
+
+def metric_columns(cells: DataFrame, table: Sequence[str]) -> DataFrame:
+    """(table, col) whose filled cells are mostly metric sizes, never the tag column.
+
+    ``cells`` is long: one row per (table, row, col) with value and field.
+    """
+    from mullion.functions import sizes
+
+    n = cells.filter("coalesce(field, '') <> 'door_tag' AND trim(value) <> ''").groupBy(*table, "col").agg(
+        F.count(F.lit(1)).alias("filled"), F.count(F.when(sizes.is_metric(F.col("value")), 1)).alias("metric"))
+    return n.filter("metric > 0 AND metric * 2 > filled").select(*table, "col")
+
+
+def drop_data_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Heading lines without the trailing run that reads as data; the first line always stays.
+
+    ``lines(keys, line, cells, numeric)`` holds one row per heading line.
+    """
+    data = (F.col("cells") >= 3) & (F.col("numeric") >= F.col("cells") * 0.6)
+    last = lines.groupBy(*keys).agg(F.greatest(F.coalesce(F.max(F.when(~data, F.col("line"))), F.min("line")), F.min("line")).alias("_last"))
+    return lines.join(last, list(keys)).filter(F.col("line") <= F.col("_last")).drop("_last")
+
+
+def tag_evidence(rows: DataFrame, table: Sequence[str]) -> DataFrame:
+    """Per table: rows, tagged rows, distinct tags, tag-shaped tags, and whether the tags number doors."""
+    t = F.when(F.coalesce("door_tag", F.lit("")) != "", F.col("door_tag"))
+    n = rows.groupBy(*table).agg(F.count(F.lit(1)).alias("rows"), F.count(t).alias("tagged"), F.countDistinct(t).alias("distinct_tags"),
+                                 F.count(F.when(text.is_tag(t), 1)).alias("shaped"))
+    return n.withColumn("names_doors", (F.col("tagged") >= 2) & (F.col("distinct_tags") * 2 >= F.col("tagged")) & (F.col("shaped") * 2 >= F.col("tagged")))
+
+
+def looks_like_schedule(evidence: DataFrame) -> DataFrame:
+    """Adds ``accepted``; needs rows, fields (mapped count), has_tag, names_doors and foreign."""
+    weak = F.col("has_tag") & (F.col("fields") >= 3) & F.col("names_doors") & ~F.col("foreign")
+    return evidence.withColumn("accepted", (F.col("rows") >= 2) & ((F.col("fields") >= 4) | weak))
+
+
+def is_thin(cells: DataFrame, table: Sequence[str]) -> DataFrame:
+    """Tables with too few columns (under five) or too few filled cells (under 30 %)."""
+    n = cells.groupBy(*table).agg(F.countDistinct("col").alias("columns"), F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("value") != "", 1)).alias("filled"))
+    return n.withColumn("thin", (F.col("columns") < 5) | (F.col("filled") < F.col("cells") * 0.3))
+
+
+def column_samples(cells: DataFrame, keys: Sequence[str], k: int = 3) -> DataFrame:
+    """First ``k`` distinct values of each column, in row order."""
+    from mullion.operators.ranking import smallest
+
+    first = cells.filter("value <> ''").groupBy(*keys, "value").agg(F.min("row").alias("row"))
+    return smallest(first, keys, [F.col("row"), F.col("value")], k).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda s: s.value).alias("samples"))
+
+
+def infer_tag_column(cells: DataFrame, table: Sequence[str]) -> DataFrame:
+    """The column that numbers the rows: filled on 60 %, short, 90 % distinct; most distinct, then leftmost."""
+    v = F.when(F.trim("value") != "", F.trim("value"))
+    n = cells.groupBy(*table, "col").agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("filled"), F.countDistinct(v).alias("kinds"), F.max(F.length(v)).alias("longest"))
+    ok = n.filter("filled >= 3 AND filled >= rows * 0.6 AND longest <= 10 AND kinds >= filled * 0.9")
+    return ok.groupBy(*table).agg(F.max_by("col", F.struct(F.col("kinds") / F.col("filled"), -F.col("col"))).alias("col"))
+
+
+def settle_fields(columns: DataFrame, table: Sequence[str]) -> DataFrame:
+    """Headings checked against values; one row per table with the settled ``fields`` and ``size_col``.
+
+    ``columns`` has, per (table, col): field, header (normalised), rows, filled, marks
+    (single non-letter values) and pairs (values holding two sizes). A table has few columns.
+    """
+    c = columns.withColumn("field", F.when(F.col("field").isin("hw_set", "door_type") & (F.col("filled") > 0) & (F.col("marks") == F.col("filled")), "").otherwise(F.col("field")))
+    t = c.groupBy(*table).agg(F.max("rows").alias("_rows"), F.array_sort(F.collect_list(F.struct("col", "field", "header", "filled", "pairs"))).alias("_c"))
+
+    def settle(df: DataFrame, field: str, word: str) -> DataFrame:
+        mine = F.get(F.filter("_c", lambda x: x.field == field), F.lit(0))
+        good = F.coalesce(mine.filled * 2 >= F.col("_rows"), F.lit(False))
+        able = F.filter("_c", lambda x: ((x.field == "") | (x.field == field)) & F.contains(F.concat(F.lit(" "), x.header, F.lit(" ")), F.lit(f" {word} "))
+                        & (x.filled * 2 >= F.col("_rows")))
+        best = F.array_max(F.transform(able, lambda x: F.struct(x.filled.alias("filled"), (-x.col).alias("left"))))
+        df = df.withColumn("_good", good).withColumn("_to", F.when(~good, -best.left))
+        return df.withColumn("_c", F.when(F.col("_good"), F.col("_c")).otherwise(F.transform("_c", lambda x: F.struct(
+            x.col.alias("col"), F.when(x.col == F.col("_to"), field).when(x.field == field, "").otherwise(x.field).alias("field"),
+            x.header.alias("header"), x.filled.alias("filled"), x.pairs.alias("pairs"))))).drop("_good", "_to")
+
+    t = settle(settle(t, "door_width", "WIDTH"), "door_height", "HEIGHT")
+    fields = F.transform("_c", lambda x: x.field)
+    pair = F.filter("_c", lambda x: (x.field == "") & (x.filled > 0) & (x.filled * 2 >= F.col("_rows")) & (x.pairs * 2 > x.filled))
+    lacking = ~F.array_contains(fields, "door_width") | ~F.array_contains(fields, "door_height")
+    return t.select(*table, fields.alias("fields"), F.when(lacking, F.get(pair, F.lit(0)).col).alias("size_col"))
+
+
+def levels_from_titles(titles: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """Level of each table of a document: its title without what all titles share.
+
+    The prefix two extreme titles share is the prefix all share, so a document's
+    titles meet only in min, max and a few counts.
+    """
+    doc = list(doc)
+    t = titles.withColumn("t", F.regexp_replace(F.trim("title"), r"\s+", " ")).filter("t <> ''")
+    letter = F.length(F.regexp_extract("t", r"^(.*\p{L})", 1))
+    g = t.groupBy(*doc).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min(F.length("t")).alias("shortest"), F.max(letter).alias("letter"))
+    upto = F.sequence(F.lit(1), F.col("shortest"))
+    shared = F.size(F.filter(upto, lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i)))
+    g = g.filter("a <> b").withColumn("shared", shared).filter("shared < shortest")
+    cuts = F.filter(F.sequence(F.lit(0), F.col("shared")), lambda i: (i == 0) | (F.substring("a", i, F.lit(1)).isin(" ", "_", "-", ":") & (i < F.col("letter"))))
+    g = g.withColumn("cut", F.array_max(cuts)).select(*doc, "cut")
+    named = t.join(g, doc).withColumn("level", F.btrim(F.substr("t", F.col("cut") + 1), F.lit(" _-:")))
+    whole = named.groupBy(*doc).agg(F.min(F.col("level") != "").alias("_ok"))
+    return named.join(whole.filter("_ok"), doc).filter(F.col("level") != F.trim("title")).drop("_ok", "t", "cut")
+
+
+def drop_attached(rows: DataFrame, values: DataFrame, doc: Sequence[str], table: Sequence[str]) -> DataFrame:
+    """Tables that are not attached to another: under half of their rows (or under three) name another table's door.
+
+    ``rows(doc, table, row, door_tag)``; ``values(doc, table, row, value)``. When every
+    table of a document is attached, all stay.
+    """
+    doc, table = list(doc), list(table)
+    keys = [*doc, *table]
+    tags = rows.filter("door_tag <> ''").select(*keys, "door_tag").distinct()
+    owners = tags.groupBy(*doc, "door_tag").agg(F.count(F.lit(1)).alias("_owners"))
+    own = tags.select(*keys, F.col("door_tag").alias("word")).withColumn("_own", F.lit(True))
+    words = values.withColumn("word", F.get(F.split(F.trim("value"), r"\s+"), F.lit(0))).select(*keys, "row", "word").distinct()
+    hits = (words.join(owners.withColumnRenamed("door_tag", "word"), [*doc, "word"]).join(own, [*keys, "word"], "left")
+            .filter("_own IS NULL").select(*keys, "row").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_hits")))
+    t = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(hits, keys, "left")
+    t = t.withColumn("_drop", F.coalesce((F.col("_hits") >= 3) & (F.col("_hits") >= F.col("_n") * 0.5), F.lit(False)))
+    all_of = t.groupBy(*doc).agg(F.min("_drop").alias("_all"))
+    return t.join(all_of, doc).filter("NOT _drop OR _all").select(*keys)
+
+
+def doors_by_order(schedules: DataFrame, doors: DataFrame) -> DataFrame:
+    """Doors with the table they came from by running row ranges.
+
+    Refused for a document where two tables share page and row count or where the
+    totals do not meet the last row index. ``schedules(document_id, page, table, row_count)``.
+    """
+    ranged = seq_running(schedules)
+    dup = schedules.groupBy("document_id", "page", "row_count").agg(F.count(F.lit(1)).alias("_n")).groupBy("document_id").agg(F.max("_n").alias("_dup"))
+    total = schedules.groupBy("document_id").agg(F.sum("row_count").alias("_total"))
+    last = doors.groupBy("document_id").agg((F.max("row_index") + 1).alias("_rows"))
+    good = dup.join(total, "document_id").join(last, "document_id").filter("_dup = 1 AND _total = _rows").select("document_id")
+    # Each table's range is listed by row index, so the match is an equi join.
+    rows = ranged.filter("row_count > 0").select("document_id", "table", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("row_count") - 1)).alias("row_index"))
+    return doors.join(good, "document_id", "left_semi").join(rows, ["document_id", "row_index"])
+
+
+def seq_running(schedules: DataFrame) -> DataFrame:
+    from mullion.operators import sequence as seq
+
+    d = seq.running(schedules, ["document_id"], F.floor(F.col("page") / 64), ["page", "table"], {"_before": ("sum", F.col("row_count"))}, inclusive=False)
+    return d.withColumn("_start", F.col("_before").cast("bigint"))
+
+
+def leave_out_removed(tables: DataFrame, removed: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """Tables nobody removed before: same page and same title, case and spaces aside."""
+    norm = F.trim(F.regexp_replace(F.upper("title"), r"\s+", " "))
+    gone = removed.select(*doc, "page", norm.alias("_t")).distinct()
+    return tables.withColumn("_t", norm).join(gone, [*doc, "page", "_t"], "left_anti").drop("_t")
