@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mullion.operators import sequence as seq
+from mullion.runtime import cut
 
 
 def finish_blocks(lines: DataFrame, keys: Sequence[str], order: str, width: float) -> DataFrame:
@@ -42,13 +43,14 @@ def read_finish_columns(pieces: DataFrame, keys: Sequence[str], reach: float = 1
     from mullion.functions import text, vocab
 
     keys = list(keys)
-    lines = seq.mean_lines(pieces, keys, "yc", 2.5, 64.0).withColumnRenamed("line_start", "line")
+    # The lines and their facts feed several joins: written once, not worked out again for each.
+    lines = cut(seq.mean_lines(pieces, keys, "yc", 2.5, 64.0).withColumnRenamed("line_start", "line"))
     money = F.col("text").rlike(vocab.MONEY_RE)
     facts = lines.groupBy(*keys, "line").agg(F.max(F.contains("text", F.lit("PRICE BASED ON FINISH"))).alias("anchor"), (F.max(money) & F.max(F.col("text") == ".")).alias("row"))
     bucket = F.floor(F.col("line") / 256)
     facts = seq.running(facts, keys, bucket, ["line"], {"block": ("last", F.when(F.col("anchor"), F.col("line")))})
     facts = seq.running(facts, [*keys, "block"], bucket, ["line"], {"_rows": ("sum", F.col("row").cast("int"))}, inclusive=False).filter("block IS NOT NULL AND NOT anchor")
-    j = lines.join(facts.select(*keys, "line", "block", "row", "_rows"), [*keys, "line"]).withColumn("xc", (F.col("x0") + F.col("x1")) / 2)
+    j = cut(lines.join(facts.select(*keys, "line", "block", "row", "_rows"), [*keys, "line"]).withColumn("xc", (F.col("x0") + F.col("x1")) / 2))
     heads = j.filter("NOT row AND _rows = 0").withColumn("fin", F.explode(text.finishes_in(F.col("text"))))
     cols = seq.anchored(heads, [*keys, "block"], "xc", stack, 512.0).select(*keys, "block", F.col("cluster").alias("cx"), "fin").distinct()
     rows = j.filter("row")

@@ -157,3 +157,105 @@ def tile_points(replies: DataFrame, tiles: DataFrame, keys: Sequence[str]) -> Da
     cy = F.col("ty0") + F.col("fy") * (F.col("ty1") - F.col("ty0"))
     half = F.col("span") / 2
     return f.withColumns({"x0": (cx - half) / F.col("width"), "y0": (cy - half) / F.col("height"), "x1": (cx + half) / F.col("width"), "y1": (cy + half) / F.col("height")})
+
+
+def chains(segs: DataFrame, least: int = 4) -> DataFrame:
+    """Segments joined at their ends into chains of four or more. ``segs(id, a, b)`` with end-point ids."""
+    from mullion.operators import graph
+
+    comp = graph.components(segs.select("a", "b"))
+    lone = segs.join(comp.select(F.col("id").alias("a"), "component"), "a", "left").withColumn("chain", F.coalesce("component", "a"))
+    n = lone.groupBy("chain").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("chain")
+    return lone.join(n, "chain", "left_semi")
+
+
+def assign_swings(points: DataFrame, arcs: DataFrame, keys: Sequence[str], reach: float, expected: float) -> DataFrame:
+    """One arc per point, as many points served as possible; the hardest points choose first and may move others.
+
+    Points and arcs that can reach each other form small pieces of a sheet (a run of doors); each
+    piece is matched on its own by augmenting paths.
+    """
+    import pandas as pd
+
+    from mullion.operators import graph
+
+    keys = list(keys)
+    off = F.round(F.abs(F.col("radius") - expected) / expected, 2)
+    gap = hypot(F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy"))
+    wanted = points_near(points, arcs, keys, reach).select(*keys, "point", "arc", off.alias("off"), gap.alias("gap"), "residual")
+    ids = wanted.select((F.col("point") * 2).alias("a"), (F.col("arc") * 2 + 1).alias("b"))
+    piece = graph.components(ids).filter("id % 2 = 0").select((F.col("id") / 2).cast("bigint").alias("point"), F.col("component").alias("piece"))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["point", "off", "gap", "residual", "arc"])
+        want = {p: list(g.arc) for p, g in pdf.groupby("point", sort=True)}
+        holder: dict = {}
+
+        def claim(point, asked) -> bool:
+            """Depth first over choices; a stack of iterators, so long chains need no recursion."""
+            path = [(point, iter(want[point]), None)]
+            while path:
+                p, choices, _ = path[-1]
+                arc = next((a for a in choices if a not in asked), None)
+                if arc is None:
+                    path.pop()
+                    continue
+                asked.add(arc)
+                path[-1] = (p, choices, arc)
+                if arc not in holder:
+                    for q, _, a in path:
+                        holder[a] = q
+                    return True
+                path.append((holder[arc], iter(want[holder[arc]]), None))
+            return False
+
+        for p in sorted(want, key=lambda p: (len(want[p]), p)):
+            claim(p, set())
+        return pd.DataFrame([(q, a) for a, q in holder.items()], columns=["point", "arc"])
+
+    return wanted.join(piece, "point").groupBy("piece").applyInPandas(match, "point long, arc long")
+
+
+# Edge directions of the marks tags are drawn in.
+NAMED_SHAPES = [([0, 90], "square"), ([45, 135], "diamond"), ([0, 60, 120], "hexagon"), ([30, 90, 150], "hexagon")]
+
+
+def rings(marks: DataFrame, segs: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
+    """Segments around each mark: within 1.6 sizes of it and not the glyph itself. ``reach`` bounds 1.6 x size."""
+    s = segs.filter(hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= 0.5)
+    box = s.select(*keys, F.col("id").alias("bseg"), F.least("x0", "x1").alias("bx0"), F.least("y0", "y1").alias("by0"), (F.greatest("x0", "x1") + 1e-9).alias("bx1"),
+                   (F.greatest("y0", "y1") + 1e-9).alias("by1"), F.struct("x0", "y0", "x1", "y1").alias("bs"))
+    around = F.col("size") * 1.6
+    m = marks.select(*keys, "id", "cx", "cy", "size", (F.col("cx") - around - 1e-9).alias("x0"), (F.col("cy") - around - 1e-9).alias("y0"), (F.col("cx") + around).alias("x1"), (F.col("cy") + around).alias("y1"))
+    p = boxes_overlapping(m, box, keys, reach)
+    d0 = hypot(F.col("bs.x0") - F.col("cx"), F.col("bs.y0") - F.col("cy"))
+    d1 = hypot(F.col("bs.x1") - F.col("cx"), F.col("bs.y1") - F.col("cy"))
+    deg = F.degrees(F.atan2(F.col("bs.y1") - F.col("bs.y0"), F.col("bs.x1") - F.col("bs.x0")))
+    return (p.withColumns({"d0": d0, "d1": d1, "angle": (F.bround(F.pmod(deg, F.lit(180.0)) / 15, 0) * 15).cast("bigint")})
+            .filter(F.greatest("d0", "d1") > F.col("size") * 0.45))
+
+
+def enclosures(marks: DataFrame, segs: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
+    """Signature, shape and radius of what is drawn around each mark."""
+    from mullion.operators import sequence as seq
+
+    k = [*keys, "id"]
+    r = rings(marks, segs, keys, reach)
+    sig = r.groupBy(*k, "angle").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").groupBy(*k).agg(F.array_sort(F.collect_list("angle")).alias("signature"))
+    radius = r.select(*k, F.explode(F.array("d0", "d1")).alias("d")).groupBy(*k).agg(seq.upper_median("d").alias("radius"))
+    j = radius.join(sig, k, "left").withColumn("signature", F.coalesce("signature", F.array().cast("array<bigint>")))
+    shape = F.when(F.size("signature") >= 6, "circle")
+    for angles, name in NAMED_SHAPES:
+        shape = shape.when(F.col("signature") == F.array(*[F.lit(a).cast("bigint") for a in angles]), name)
+    return j.withColumn("shape", shape.otherwise(""))
+
+
+def wall_tags(marks: DataFrame, segs: DataFrame, keys: Sequence[str], reach: float, least: int = 3) -> DataFrame:
+    """Marks whose ring shares half of the shape the page draws them in, learned from three or more alike."""
+    keys = list(keys)
+    e = enclosures(marks, segs, keys, reach).filter(F.size("signature") > 0)
+    usual = e.groupBy(*keys, "signature").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).groupBy(*keys).agg(
+        F.max_by(F.struct("signature", "n"), F.struct("n", -F.col("first"))).alias("u"))
+    usual = usual.select(*keys, F.when(F.col("u.n") >= least, F.col("u.signature")).otherwise(F.array().cast("array<bigint>")).alias("_shape"))
+    same = (F.size("_shape") == 0) | (F.size(F.array_intersect("signature", "_shape")) * 2 >= F.size("_shape"))
+    return e.join(usual, keys).filter((F.size("signature") >= 2) & same).drop("_shape")

@@ -7,7 +7,7 @@ from mullion.operators import bookread as br, books as bk, prices as pr
 from mullion.plans.pricing import _KEY
 from mullion.registry import query
 
-_KEYED = "upper(regexp_replace(text, '[0-9]+', '#', 'g'))"
+_KEYED = "upper(regexp_replace(replace(text, 'ß', 'ss'), '[0-9]+', '#', 'g'))"
 
 
 @query("A22", f"""
@@ -15,7 +15,7 @@ WITH o AS (SELECT book, page, {_KEYED} AS key, bool_or(line < 2) AS edge FROM L_
 p AS (SELECT book, count(DISTINCT page) AS pages FROM L_book GROUP BY 1 HAVING count(DISTINCT page) >= 4)
 SELECT book, key FROM n JOIN p USING (book) WHERE n > pages * 0.4 OR e > pages * 0.2""")
 def a22(t):
-    return bk.furniture(t.L_book.withColumn("edge", F.col("line") < 2))
+    return bk.furniture(t.L_book.withColumn("edge", F.col("line") < 2).withColumn("text", F.replace("text", F.lit("ß"), F.lit("ss"))))
 
 
 _TOKENS = """i AS (SELECT book, page, line, w, text, 8 + length(text) % 3 AS size FROM (SELECT book, page, line, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS w FROM (SELECT book, page, line, string_split(text, ' ') AS ws FROM L_book)) WHERE text <> ''),
@@ -31,13 +31,13 @@ def book_tokens(t):
 big AS (SELECT p.*, 0 AS pref FROM p JOIN b USING (book, page) WHERE line <= last * 0.35 AND size >= body * 1.15 AND NOT price AND NOT no),
 ld AS (SELECT book, page, min(line) AS line FROM (SELECT book, page, line FROM p GROUP BY ALL HAVING NOT bool_and(no)) GROUP BY 1, 2),
 fst AS (SELECT p.*, 1 AS pref FROM p JOIN ld USING (book, page, line) WHERE NOT price), c AS (SELECT * FROM big UNION ALL SELECT * FROM fst),
-h AS (SELECT book, page, text, min(line * 1000000 + w) AS at FROM c WHERE pref = (SELECT min(pref) FROM c d WHERE d.book = c.book AND d.page = c.page) GROUP BY 1, 2, 3),
-hd AS (SELECT book, page, string_agg(text, ' - ' ORDER BY at) AS h FROM h GROUP BY 1, 2),
+h AS (SELECT book, page, text, min(line * 1000000 + w) AS pos FROM c WHERE pref = (SELECT min(pref) FROM c d WHERE d.book = c.book AND d.page = c.page) GROUP BY 1, 2, 3),
+hd AS (SELECT book, page, string_agg(text, ' - ' ORDER BY pos) AS h FROM h GROUP BY 1, 2),
 pl AS (SELECT book, page, line, bool_or(price) AS pr FROM p GROUP BY ALL),
-k AS (SELECT p.book, p.page, trim(text, '*†,;:().') AS code, min(CASE WHEN pr THEN 0 ELSE 1 END * 1000000000000 + line * 1000000 + w) AS at FROM p JOIN pl USING (book, page, line) GROUP BY 1, 2, 3),
-ok AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY at) AS rn FROM k WHERE regexp_matches(code, '^[A-Z0-9][A-Za-z0-9./#-]{{2,}}$') AND regexp_matches(code, '[0-9]') AND NOT regexp_matches(code, '^[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}$')
+k AS (SELECT p.book, p.page, trim(text, '*†,;:().') AS code, min(CASE WHEN pr THEN 0 ELSE 1 END * 1000000000000 + line * 1000000 + w) AS pos FROM p JOIN pl USING (book, page, line) GROUP BY 1, 2, 3),
+ok AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY pos) AS rn FROM k WHERE regexp_matches(code, '^[A-Z0-9][A-Za-z0-9./#-]{{2,}}$') AND regexp_matches(code, '[0-9]') AND NOT regexp_matches(code, '^[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}$')
   AND NOT regexp_matches(code, '^([0-9]{{1,3}}(,[0-9]{{3}})*|[0-9]{{4,5}})\.[0-9][0-9]$') AND NOT regexp_matches(code, '^US[0-9]+[A-Z]{{0,3}}$|^(6[0-9][0-9]|7[0-2][0-9])[A-Za-z]{{0,2}}$')
-  AND NOT regexp_matches(code, '^([0-9]+(-[0-9]+)+|(19|20)[0-9][0-9]|[0-9]{{1,3}})$|[a-z]{{2,}}$')), md AS (SELECT book, page, string_agg(code, ',' ORDER BY at) AS models FROM ok WHERE rn <= 25 GROUP BY 1, 2)
+  AND NOT regexp_matches(code, '^([0-9]+(-[0-9]+)+|(19|20)[0-9][0-9]|[0-9]{{1,3}})$|[a-z]{{2,}}$')), md AS (SELECT book, page, string_agg(code, ',' ORDER BY pos) AS models FROM ok WHERE rn <= 25 GROUP BY 1, 2)
 SELECT book, page, trim(left(coalesce(h, ''), 150), ' -') AS heading, prices, coalesce(models, '') AS models FROM b LEFT JOIN hd USING (book, page) LEFT JOIN md USING (book, page)""")
 def a23(t):
     return bk.page_map(book_tokens(t)).select("book", "page", "heading", "prices", F.array_join("models", ",").alias("models"))
@@ -61,8 +61,8 @@ def a24(t):
 @query("A31", """
 WITH l AS (SELECT book, page, line, length(book) % 3 AS m FROM L_book), f AS (SELECT book, page FROM (SELECT DISTINCT book, page FROM L_book) QUALIFY row_number() OVER (PARTITION BY book ORDER BY page) <= 6),
 e AS (SELECT book, arg_min(page % 28 + 1, page * 1000000 + line) AS d FROM l WHERE (book, page) IN (SELECT * FROM f) AND m = 0 AND line % 7 = 3 GROUP BY 1),
-s AS (SELECT book, line % 9 + 1 AS mon, count(*) AS n, min(page * 1000000 + line) AS at FROM l WHERE (book, page) IN (SELECT * FROM f) AND NOT (m = 0 AND line % 7 = 3) AND m < 2 GROUP BY 1, 2),
-u AS (SELECT book, mon FROM s QUALIFY row_number() OVER (PARTITION BY book ORDER BY n DESC, at) = 1)
+s AS (SELECT book, line % 9 + 1 AS mon, count(*) AS n, min(page * 1000000 + line) AS pos FROM l WHERE (book, page) IN (SELECT * FROM f) AND NOT (m = 0 AND line % 7 = 3) AND m < 2 GROUP BY 1, 2),
+u AS (SELECT book, mon FROM s QUALIFY row_number() OVER (PARTITION BY book ORDER BY n DESC, pos) = 1)
 SELECT coalesce(e.book, u.book) AS book, CAST(coalesce(make_date(2026, 3, CAST(d AS INT)), make_date(2026, CAST(mon AS INT), 1)) AS VARCHAR) AS effective_date FROM e FULL JOIN u ON e.book = u.book""")
 def a31(t):
     said = F.concat(F.lit("Prices Effective March "), F.col("page") % 28 + 1, F.lit(", 2026"))
