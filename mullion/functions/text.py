@@ -194,7 +194,9 @@ def header_words(c: Column) -> Column:
         F.array_union(F.array_compact(F.transform(tokens, lambda t: F.element_at(spell, t))),
                       F.array_intersect(tokens, F.array(*[F.lit(w) for w in single]))),
         F.filter(F.array(*[F.lit(w) for w in phrases]), lambda w: F.contains(text, w)))
-    ok = (text != "") & (F.length(text) <= 32) & (F.size(tokens) <= 5)
+    # Most cells hold no such word: one pattern rules them out before any array work.
+    any_word = "|".join(re.escape(w) for w in sorted({*vocab.HEADER_WORDS, *vocab.ABBREVIATIONS}))
+    ok = c.rlike(f"(?i){any_word}") & (F.length(text) <= 32) & (F.size(tokens) <= 5)
     return F.when(ok, hits).otherwise(F.array().cast("array<string>"))
 
 

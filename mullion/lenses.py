@@ -176,6 +176,19 @@ LENS_SQL: dict[str, str] = {
 }
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Raw texts over all cores when the input has fewer splits than that.
+
+    Exploding text multiplies it, so a small file read by one task would leave the
+    rest idle; an input with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The driver tables of one folder and the lenses over them."""
 
@@ -186,7 +199,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return read_table(self.spark, self.dir, name)
+        df = read_table(self.spark, self.dir, name)
+        return spread(df) if name in TEXT_TABLES else df
 
     @cached_property
     def L_title(self) -> DataFrame:

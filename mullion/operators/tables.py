@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from mullion.functions import text
-from mullion.runtime import small
+from mullion.runtime import cut, small
 
 
 def map_headers(tables: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -252,3 +252,327 @@ def leave_out_removed(tables: DataFrame, removed: DataFrame, doc: Sequence[str])
     norm = F.trim(F.regexp_replace(F.upper("title"), r"\s+", " "))
     gone = removed.select(*doc, "page", norm.alias("_t")).distinct()
     return tables.withColumn("_t", norm).join(gone, [*doc, "page", "_t"], "left_anti").drop("_t")
+
+
+# Grids --------------------------------------------------------------------
+
+def ruled_grid(headers: DataFrame, rulings: DataFrame, keys: Sequence[str], tol: float = 4.0) -> DataFrame:
+    """Column and row bounds of ruled tables.
+
+    ``headers(keys, hx0, hy0, hx1, hy1, tag_x)`` is each table's header block, ``rulings(page keys, axis, pos, start, end)``.
+    A vertical rule counts where it crosses 45 % of the header (at least 4 pt); a horizontal one where it covers 70 %
+    of the width; rows end at the first gap over three times the upper-median one.
+    """
+    from mullion.operators import sequence as seq
+
+    keys = list(keys)
+    page = [k for k in keys if k in rulings.columns]
+    h = headers.withColumn("need", F.greatest((F.col("hy1") - F.col("hy0")) * 0.45, F.lit(tol)))
+
+    def grouped(axis: str) -> DataFrame:
+        r = seq.anchored(rulings.filter(F.col("axis") == axis).select(*page, "pos", "start", "end"), page, "pos", tol, 512.0)
+        mean = r.groupBy(*page, "cluster").agg(F.avg("pos").alias("at"))
+        return r.join(mean, [*page, "cluster"]).select(*page, "at", F.col("start").alias("s"), F.col("end").alias("e"))
+
+    v = cut(grouped("v").join(h, page))
+    clip = v.filter((F.col("e") > F.col("hy0")) & (F.col("s") < F.col("hy1"))).select(
+        *keys, "at", F.greatest("s", "hy0").alias("s"), F.least("e", "hy1").alias("e"))
+    cover = seq.coverage(clip, [*keys, "at"], "s", "e", F.lit(float("-inf")), F.lit(float("inf")), 512.0)
+    cols = cover.join(h, keys).filter("covered >= need").groupBy(*keys, "hx0", "hx1", "hy0", "hy1", "tag_x").agg(F.array_sort(F.collect_set("at")).alias("xs"))
+    cols = cols.withColumn("left", F.array_max(F.filter("xs", lambda x: x <= F.col("hx0") + 2))).withColumn("right", F.array_min(F.filter("xs", lambda x: x >= F.col("hx1") - 2)))
+    cols = cols.filter((F.size("xs") >= 4) & (F.col("right") - F.col("left") >= 100))
+    cols = cols.withColumn("bounds", F.filter("xs", lambda x: x.between(F.col("left"), F.col("right")))).filter(F.size("bounds") >= 4)
+    hz = cut(grouped("h").join(cols.select(*keys, "left", "right", "hy0", "hy1"), page))
+    hclip = hz.filter((F.col("e") > F.col("left")) & (F.col("s") < F.col("right"))).select(*keys, "at", F.greatest("s", "left").alias("s"), F.least("e", "right").alias("e"))
+    rows = seq.coverage(hclip, [*keys, "at"], "s", "e", F.lit(float("-inf")), F.lit(float("inf")), 512.0).join(cols.select(*keys, "left", "right"), keys)
+    ys = rows.filter(F.col("covered") >= (F.col("right") - F.col("left")) * 0.7).groupBy(*keys).agg(F.array_sort(F.collect_set("at")).alias("ys"))
+    g = cols.join(ys, keys)
+    g = g.withColumn("header_bottom", F.array_min(F.filter("ys", lambda y: y >= F.col("hy1") - 2))).withColumn(
+        "header_top", F.coalesce(F.array_max(F.filter("ys", lambda y: y <= F.col("hy0") + 2)), F.col("hy0") - 2))
+    g = g.withColumn("_below", F.filter("ys", lambda y: y >= F.col("header_bottom") - 0.5)).filter(F.size("_below") >= 3)
+    gaps = F.transform(F.slice("_below", 2, 9999), lambda y, i: y - F.get("_below", i))
+    g = g.withColumn("_gaps", gaps).withColumn("_usual", F.get(F.array_sort("_gaps"), F.floor(F.size("_gaps") / 2).cast("int")))
+    stop = F.array_position(F.transform("_gaps", lambda d: d > F.col("_usual") * 3), True)
+    g = g.withColumn("row_bounds", F.when(stop == 0, F.col("_below")).otherwise(F.slice("_below", 1, stop.cast("int")))).filter(F.size("row_bounds") >= 3)
+    return g.select(*keys, "left", "right", "header_top", "header_bottom", "bounds", "row_bounds", "tag_x")
+
+
+def trim_to_tagged(grid: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows below the last one with a tag go, judged in the column holding most tags (nearest the seed on a tie)."""
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    cy = (F.col("y0") + F.col("y1")) / 2
+    j = items.filter(F.col("horizontal") & text.is_tag(F.col("text"))).join(grid, page)
+    j = j.withColumn("col", column_of(F.col("bounds"), F.col("x0"))).withColumn("row", column_of(F.col("row_bounds"), cy)).filter("col IS NOT NULL AND row IS NOT NULL")
+    per = j.groupBy(*keys, "col").agg(F.countDistinct("row").alias("n"), F.max("row").alias("last"), F.first(F.abs(F.element_at("bounds", F.col("col") + 1) - F.col("tag_x"))).alias("d"))
+    best = per.groupBy(*keys).agg(F.max_by("last", F.struct("n", -F.col("d"), -F.col("col"))).alias("_last"))
+    return grid.join(best, keys, "left").withColumn("row_bounds", F.when(F.col("_last").isNull(), F.col("row_bounds")).otherwise(F.slice("row_bounds", F.lit(1), F.col("_last") + 2))).drop("_last")
+
+
+def banded_grid(items: DataFrame, headers: DataFrame, keys: Sequence[str], tol: float = 6.0) -> DataFrame:
+    """Columns of an unruled table from the left edges its data shares.
+
+    A column starts where max(2, n / 200) items share a left edge; with under three such
+    edges the table has no banded grid (callers fall back on heading centres).
+    """
+    from mullion.operators import sequence as seq
+
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    d = items.filter("horizontal").join(headers, page).filter((F.col("y0") > F.col("hy1")) & F.col("x0").between(F.col("hx0") - 60, F.col("hx1") + 60))
+    c = seq.anchored(d.select(*keys, "x0", "x1", "hx1"), keys, "x0", tol, 512.0)
+    n = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("x1").alias("_x1"), F.first("hx1").alias("_hx1"))
+    starts = c.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_c")).join(n, keys).filter(F.col("_c") >= F.greatest(F.lit(2), F.floor(F.col("_n") / 200)))
+    g = starts.groupBy(*keys).agg(F.array_sort(F.collect_list("cluster")).alias("xs"), F.greatest(F.first("_hx1") + 60, F.first("_x1") + 3).alias("right")).filter(F.size("xs") >= 3)
+    return g.select(*keys, F.concat(F.array(F.get("xs", F.lit(0)) - 3), F.slice("xs", 2, 9999), F.array("right")).alias("bounds"))
+
+
+def aligned_grid(items: DataFrame, seeds: DataFrame, keys: Sequence[str], on_row: float = 2.5) -> DataFrame:
+    """Rows and columns of a table drawn with neither rules nor bands, from the pitch of its tag column.
+
+    ``seeds(keys, seed_x, seed_y)``: where the tag column and its heading stand. Rows are the longest evenly
+    pitched run of tags; columns are x spans covered by cells on those rows; neighbours left and
+    right of the tag column join while most of what they hold sits on the rows and no wide gutter opens
+    a table of its own.
+    """
+    from mullion.operators import sequence as seq
+
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    flat = cut(items.filter("horizontal").join(seeds, page).withColumn("cy", F.bround((F.col("y0") + F.col("y1")) / 2, 1)).withColumn("cx", (F.col("x0") + F.col("x1")) / 2)
+               .filter("y1 > seed_y").select(*keys, "x0", "x1", "cx", "cy", "text", "seed_x"))
+    door = flat.filter(text.is_tag(F.col("text")) & (F.abs(F.col("x0") - F.col("seed_x")) <= 6))
+    run = seq.longest_run(door.select(*keys, F.col("cy").alias("v")), keys, "v", 3.0, 256.0).filter("rows >= 5")
+    rows = cut(door.join(run, keys).filter(F.col("cy").between(F.col("top"), F.col("bottom"))).select(*keys, "cy", "top", "bottom", "pitch").distinct())
+    band = flat.join(run, keys).filter(F.col("cy").between(F.col("top") - F.col("pitch") / 2, F.col("bottom") + F.col("pitch") / 2))
+    near = rows.select(*keys, F.col("cy").alias("ry")).withColumn("_g", F.explode(F.sequence(F.floor((F.col("ry") - on_row) / 8), F.floor((F.col("ry") + on_row) / 8))))
+    hit = band.withColumn("_g", F.floor(F.col("cy") / 8)).join(near, [*keys, "_g"]).filter(F.abs(F.col("ry") - F.col("cy")) <= on_row)
+    on = hit.select(*keys, "x0", "x1", "cx", "cy", "text").distinct()
+    stray = run.select(*keys, F.greatest(F.lit(1), F.floor(F.col("rows") / 25)).alias("stray"))
+    spans = cut(seq.histogram_spans(on, keys, "x0", "x1", stray, 512.0).join(run.select(*keys, "rows"), keys))
+    in_span = lambda df, pad: df.join(spans.select(*keys, "lo", "hi"), keys).filter((F.col("x1") > F.col("lo")) & (F.col("x0") < F.col("hi")))
+    held = in_span(band, 0).groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("all"))
+    good = in_span(on, 0).groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("aligned"), F.countDistinct("text").alias("kinds"), F.min(text.is_tag(F.col("text"))).alias("tags"))
+    s = spans.join(held, [*keys, "lo"], "left").join(good, [*keys, "lo"], "left").join(seeds.select(*keys, "seed_x"), keys)
+    s = s.withColumn("belongs", F.coalesce(F.col("aligned") >= F.col("all") * 0.6, F.lit(False))).withColumn(
+        "starts", F.coalesce((F.col("aligned") >= F.col("rows") * 0.8) & F.col("tags") & (F.col("kinds") >= F.col("aligned") * 0.9), F.lit(False)))
+    # The spans of one table are few (its columns), so they are put in order per table.
+    t = s.groupBy(*keys, "seed_x", "rows").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "belongs", "starts"))).alias("c"))
+    gut = F.array_sort(F.transform(F.slice("c", 2, 9999), lambda x, i: x.lo - F.get("c", i).hi))
+    t = t.withColumn("_wide", F.greatest(F.lit(40.0), F.coalesce(F.get(gut, F.floor(F.size(gut) / 2).cast("int")), F.lit(40)).cast("double") * 3))
+    home = F.array_position(F.transform("c", lambda x: F.col("seed_x").between(x.lo - 1, x.hi + 1)), True)
+    t = t.withColumn("_home", home.cast("int")).filter("_home > 0")
+    stops = F.transform("c", lambda x, i: ~x.belongs | (F.when(i < F.col("_home") - 1, F.get("c", i + 1).lo - x.hi).otherwise(x.lo - F.get("c", i - 1).hi).cast("double") > F.col("_wide")) & x.starts)
+    t = t.withColumn("_stop", F.transform(stops, lambda b: F.coalesce(b, F.lit(False))))
+    first = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size("c")), lambda i: (i < F.col("_home")) & F.get("_stop", i - 1))), F.lit(0)) + 1
+    last = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.size("c")), lambda i: (i > F.col("_home")) & F.get("_stop", i - 1))), F.size("c") + 1) - 1
+    t = t.withColumn("_first", first).withColumn("_last", last).withColumn("spans", F.slice("c", F.col("_first"), F.col("_last") - F.col("_first") + 1)).filter(F.size("spans") >= 4)
+    mid = F.transform(F.slice("spans", 2, 9999), lambda x, i: (x.lo + F.get("spans", i).hi) / 2)
+    t = t.withColumn("bounds", F.concat(F.array(F.get("spans", F.lit(0)).lo - 2.0), mid, F.array(F.element_at("spans", -1).hi + 2.0)))
+    return t.join(run.drop("rows"), keys).select(*keys, "bounds", "rows", "top", "bottom", "pitch")
+
+
+def joined(parts):
+    """Texts of one cell in reading order: 3 pt lines, then left to right. ``parts`` is (y0, x0, text) structs."""
+    return F.trim(F.array_join(F.transform(F.array_sort(parts), lambda p: p.text), " "))
+
+
+def reading_part():
+    return F.struct(F.bround(F.col("y0") / 3, 0).alias("line"), F.col("x0").alias("x0"), F.col("text").alias("text"))
+
+
+def cells(items: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Filled cells of ruled tables: (row, col, text) of every item whose left edge and centre a cell holds."""
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    j = items.filter("horizontal").join(grid.select(*keys, "bounds", "row_bounds"), page)
+    j = j.withColumn("col", column_of(F.col("bounds"), F.col("x0"))).withColumn("row", column_of(F.col("row_bounds"), (F.col("y0") + F.col("y1")) / 2))
+    return j.filter("col IS NOT NULL AND row IS NOT NULL").groupBy(*keys, "row", "col").agg(joined(F.collect_list(reading_part())).alias("text"))
+
+
+def header_texts(items: DataFrame, grid: DataFrame, keys: Sequence[str], rulings: DataFrame | None = None, tol: float = 4.0) -> DataFrame:
+    """Heading of each column; a group heading is pushed down onto the columns between the rules around it."""
+    from mullion.operators import sequence as seq
+
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    cy = (F.col("y0") + F.col("y1")) / 2
+    band = items.join(grid.select(*keys, "bounds", "header_top", "header_bottom"), page).filter(cy.between(F.col("header_top") - 0.5, F.col("header_bottom") + 0.5))
+    own = column_of(F.col("bounds"), F.when(F.col("horizontal"), F.col("x0")).otherwise((F.col("x0") + F.col("x1")) / 2))
+    band = band.withColumn("own", own)
+    if rulings is None:
+        spread = band.filter("own IS NOT NULL").withColumn("col", F.col("own"))
+    else:
+        ident = [*keys, "x0", "y0", "x1", "y1", "text", "horizontal"]
+        v = rulings.filter("axis = 'v'").select(*page, "pos", "start", "end")
+        tall = F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
+        c = band.join(v, page).filter(F.least("end", "y1") - F.greatest("start", "y0") >= tall * 0.45)
+        edge = c.groupBy(*ident).agg(F.max(F.when(F.col("pos") <= F.col("x0") + 1, F.col("pos"))).alias("l"), F.min(F.when(F.col("pos") >= F.col("x1") - 1, F.col("pos"))).alias("r"))
+        b = band.join(edge, ident, "left")
+        at = F.sequence(F.lit(0), F.size("bounds") - 2)
+        over = F.filter(at, lambda k: (F.get("bounds", k) >= F.col("l") - 1) & (F.get("bounds", k + 1) <= F.col("r") + 1))
+        mine = F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array().cast("array<int>"))
+        spread = b.withColumn("col", F.explode(F.when(F.col("horizontal") & F.col("l").isNotNull() & F.col("r").isNotNull() & (F.size(over) > 0), over).otherwise(mine)))
+    return spread.groupBy(*keys, "col").agg(joined(F.collect_list(reading_part())).alias("header"))
+
+
+def table_bounds(items: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Box of each table: its header's top, its columns, and the rule under its lowest text."""
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    cy = (F.col("y0") + F.col("y1")) / 2
+    inside = items.filter("horizontal").join(grid.select(*keys, "bounds", "header_bottom"), page).filter((cy > F.col("header_bottom")) & column_of(F.col("bounds"), F.col("x0")).isNotNull())
+    low = inside.groupBy(*keys).agg(F.max("y1").alias("lowest"))
+    g = grid.join(low, keys, "left")
+    end = F.element_at("row_bounds", -1)
+    bottom = F.when(F.col("lowest").isNull(), end).otherwise(F.coalesce(F.array_min(F.filter("row_bounds", lambda b: b >= F.col("lowest") - 1)), end))
+    return g.select(*keys, "left", F.least("header_top", "header_bottom").alias("top"), "right", bottom.alias("bottom"))
+
+
+def table_titles(items: DataFrame, grid: DataFrame, keys: Sequence[str], reach: float = 34.0) -> DataFrame:
+    """Caption floating just above each table, unless it reads as headings or is a note."""
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    band = items.filter("horizontal").join(grid.select(*keys, "left", "right", "header_top"), page).filter(
+        cy.between(F.col("header_top") - reach - 0.5, F.col("header_top") + 0.5) & cx.between(F.col("left") - 1, F.col("right") + 1))
+    t = band.groupBy(*keys).agg(joined(F.collect_list(F.struct(F.bround(cy / 3, 0).alias("line"), F.col("x0").alias("x0"), F.col("text").alias("text")))).alias("title"))
+    return t.filter(is_caption(F.col("title")))
+
+
+def heading_top(items: DataFrame, grid: DataFrame, keys: Sequence[str], most: int = 2, gap: float = 20.0, cells_least: int = 3, long: int = 32) -> DataFrame:
+    """Header top climbed over group-heading lines stacked above it: three or more short cells, at most two lines, 20 pt apart."""
+    from mullion.operators import sequence as seq
+
+    keys = list(keys)
+    page = [k for k in keys if k in items.columns]
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    near = items.filter("horizontal").join(grid.select(*keys, "left", "right", "header_top"), page).filter(
+        (cy < F.col("header_top")) & (cy > F.col("header_top") - 4 * gap * most) & cx.between(F.col("left") - 1, F.col("right") + 1))
+    # Lines are numbered upwards, so the ordering value is the negated baseline.
+    up = seq.anchored(near.withColumn("_up", -F.col("y0")), keys, "_up", 3.0, 512.0)
+    line = up.groupBy(*keys, "header_top", "cluster").agg(F.count(F.lit(1)).alias("n"), F.max("y1").alias("low"), F.min("y0").alias("high"), F.max(F.length("text")).alias("longest"))
+    stack = line.groupBy(*keys, "header_top").agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "low", "high", "longest"))).alias("c"))
+    start = F.struct(F.col("header_top").alias("top"), F.lit(False).alias("stop"))
+    climb = F.aggregate(F.slice("c", 1, most), start, lambda s, x: F.when(
+        ~s.stop & (x.n >= cells_least) & (s.top - x.low <= gap) & (x.longest <= long), F.struct((x.high - 2.0).alias("top"), F.lit(False).alias("stop"))).otherwise(
+        F.struct(s.top.alias("top"), F.lit(True).alias("stop"))), lambda s: s.top)
+    return grid.join(stack.select(*keys, climb.alias("_top")), keys, "left").withColumn("header_top", F.coalesce("_top", "header_top")).drop("_top")
+
+
+def body_top(lines: DataFrame, values: DataFrame, keys: Sequence[str], share: float = 0.5) -> DataFrame:
+    """Top of an aligned table's body: lines above the first row that look like its values belong to it.
+
+    ``lines(keys, line, y0, y1, col, text)`` numbers lines upwards from the first row (1 is nearest);
+    ``values(keys, col, text)`` are the body's cells. A line of two or more cells joins while half of them match a
+    value, or a value's digit-and-letter shape, of their column.
+    """
+    keys = list(keys)
+    shape = lambda c: F.regexp_replace(F.regexp_replace(F.upper(F.trim(c)), r"\d", "9"), "[A-Z]", "A")
+    known = values.select(*keys, "col", F.explode(F.array(F.upper(F.trim("text")), shape(F.col("text")))).alias("v")).distinct()
+    probe = lines.withColumn("_cell", F.monotonically_increasing_id()).select("*", F.explode(F.array_distinct(F.array(F.upper(F.trim("text")), shape(F.col("text"))))).alias("v"))
+    hit = cut(probe).join(known.withColumn("_k", F.lit(1)), [*keys, "col", "v"], "left").groupBy(*keys, "line", "_cell").agg(F.max("_k").alias("_k"))
+    n = hit.groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("n"), F.count("_k").alias("hits"))
+    bad = n.filter((F.col("n") < 2) | (F.col("hits") < F.col("n") * share)).groupBy(*keys).agg(F.min("line").alias("_bad"))
+    took = n.join(bad, keys, "left").filter(F.col("_bad").isNull() | (F.col("line") < F.col("_bad"))).select(*keys, "line")
+    return lines.join(took, [*keys, "line"], "left_semi").groupBy(*keys).agg((F.min("y0") - 1.0).alias("body_top"), F.countDistinct("line").alias("lines"))
+
+
+def extract_rows(cell_rows: DataFrame, headers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Door rows from a table's cells: headings mapped, a repeated header and noise dropped, bands carried down as
+    levels, metric sizes written in feet, tags cleaned, and unmapped columns kept in ``extra``.
+
+    ``cell_rows(keys, row, col, text)``, ``headers(keys, col, header)``.
+    """
+    from mullion import schemas
+    from mullion.functions import sizes
+    from mullion.operators import sequence as seq
+
+    keys = list(keys)
+    h = headers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", "header"))).alias("_h")).select(*keys, F.col("_h.col").alias("cols"), F.col("_h.header").alias("headers"))
+    m = map_headers(h, keys)
+    cut_m = cut(m)
+    w = cell_rows.join(cut_m, keys)
+    at = F.array_position("cols", F.col("col")).cast("int") - 1
+    w = w.withColumn("field", F.get("fields", at)).withColumn("header", F.get("headers", at))
+    row = w.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_m"), F.first("cols").alias("cols"), F.first("headers").alias("headers"), F.first("fields").alias("fields"))
+    line = row.withColumn("cells", F.transform("cols", lambda c: F.coalesce(F.element_at("_m", c), F.lit("")))).drop("_m")
+    first = line.groupBy(*keys).agg(F.min("row").alias("_first"))
+    line = line.join(first, keys).filter(~((F.col("row") == F.col("_first")) & looks_like_header(F.col("cells"), F.col("headers")))).drop("_first")
+    line = cut(line.withColumn("_band", is_band(F.col("cells"))))
+    tag_at = F.greatest(F.array_position("fields", "door_tag").cast("int") - 1, F.lit(0))
+    label = F.when(F.col("_band"), F.get(F.filter("cells", lambda c: F.trim(c) != ""), F.lit(0)))
+    line = seq.running(line, keys, F.floor(F.col("row") / 256), ["row"], {"level": ("last", label)}).filter("NOT _band").withColumn("level", F.coalesce("level", F.lit("")))
+    line = line.filter((F.size(F.filter("cells", lambda c: c != "")) > 0) & ~F.forall(F.filter("cells", lambda c: c != ""), lambda c: (F.length(c) <= 1) & ~c.rlike(r"[\p{L}\p{N}]")))
+    long = line.select(*keys, "row", F.posexplode(F.arrays_zip("fields", "cells")).alias("col", "z")).select(*keys, "row", "col", F.col("z.fields").alias("field"), F.col("z.cells").alias("value"))
+    metric = metric_columns(long, keys).groupBy(*keys).agg(F.collect_set("col").alias("_metric"))
+    line = line.join(metric, keys, "left").withColumn("_metric", F.coalesce("_metric", F.array().cast("array<int>")))
+    line = line.withColumn("cells", F.transform("cells", lambda c, i: F.when(F.array_contains("_metric", i), F.coalesce(sizes.to_feet_inches(c), c)).otherwise(c)))
+    cell = lambda f: F.coalesce(F.get("cells", F.array_position("fields", f).cast("int") - 1), F.lit(""))
+    has = lambda f: F.array_contains("fields", f)
+    out = line.withColumn("_tag", F.when(has("door_tag"), text.join_split_mark(cell("door_tag"))).otherwise(F.lit(""))).filter(~is_heading_row(F.col("_tag")))
+    out = out.withColumn("_t", text.run_on_tag(F.col("_tag")))
+    value = {f: F.when(has(f), cell(f)).otherwise(F.lit("")) for f in schemas.CANONICAL_FIELDS}
+    value["door_tag"] = F.col("_t.tag")
+    value["from_space"] = F.coalesce(F.nullif(value["from_space"], F.lit("")), F.col("_t.room"))
+    for f in ("door_width", "door_height"):
+        value[f] = F.coalesce(sizes.bare_mm(value[f]), value[f])
+    extra = F.map_from_entries(F.filter(F.transform(F.arrays_zip("headers", "fields", "cells"), lambda z, i: F.struct(
+        F.when(z.fields == "", text.extra_key(z.headers, i)).alias("key"), z.cells.alias("value"))), lambda e: e.key.isNotNull()))
+    return out.select(*keys, "row", *[v.alias(f) for f, v in value.items()], "level", extra.alias("extra"), F.size(F.filter("fields", lambda f: f != "")).alias("mapped"), "headers", "fields")
+
+
+def judge(rows: DataFrame, titles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Verdict per table from weighed clues: found at six points, unsure at three, else rejected; with its reasons.
+
+    ``rows`` are extracted rows, ``titles(keys, title, index_level)``.
+    """
+    from mullion.functions import sizes
+
+    keys = list(keys)
+    # Columns that describe a door, those nothing else carries, and cells that say nothing.
+    door = ["door_width", "door_height", "door_type", "door_material", "door_finish", "frame_material", "frame_finish", "fire_rating", "hw_set", "threshold"]
+    only = ["frame_material", "frame_finish", "fire_rating", "hw_set", "threshold"]
+    nothing = ["", "-", "--", "–", "—", "X", "N/A", "NA", "TBD", "?"]
+    means = lambda c: ~F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))).isin(nothing)
+
+    def size(c):
+        feet = sizes.parse_feet(c)
+        mm = F.regexp_extract(F.trim(c), r"(?i)^\(?\d?\)?\s*(\d{3,4})(?:\s*mm)?$", 1).try_cast("int")
+        return F.coalesce(feet.between(1.5, 14), mm.between(450, 4300), F.lit(False))
+
+    ev = tag_evidence(rows, keys)
+    n = rows.groupBy(*keys).agg(*[F.count(F.when(means(F.col(f)), 1)).alias(f"_n_{f}") for f in door], F.count(F.when(size(F.col("door_width")) | size(F.col("door_height")), 1)).alias("_sized"),
+                                F.first("headers").alias("headers"), F.first("fields").alias("fields"))
+    t = ev.join(n, keys).join(titles, keys, "left").withColumn("title", F.upper(F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", " "))))
+    headed = F.exists("headers", lambda h: text.contains_any(F.upper(h), text.vocab.SHEET_DOOR_WORDS))
+    cap = text.contains_any(F.col("title"), text.vocab.SHEET_DOOR_WORDS)
+    other = ~headed & (text.is_other_schedule(F.col("title")) | (F.contains("title", F.lit("SCHEDULE")) & ~cap))
+    t = t.withColumns({"_headed": headed, "_cap": cap, "_other": other})
+    filled = lambda fs: sum([F.when(F.array_contains("fields", f) & (F.col(f"_n_{f}") >= F.col("rows") * 0.25), 1).otherwise(0) for f in fs])
+    described = F.when(F.col("_other"), filled(only)).otherwise(filled(door))
+    foreign = F.exists("headers", text.names_another_trade)
+    clues = [
+        (F.when(F.col("_headed"), 2), "column headings name a door"),
+        (F.when(F.col("index_level").isNotNull() & ~F.col("_other"), F.when(F.col("index_level") == "named", 3).otherwise(1)), "sheet index points here"),
+        (F.when(F.col("_cap"), 3).when(F.col("_other"), -4), "caption"),
+        (F.when(described > 0, F.least(described, F.lit(5))).otherwise(-2), "columns that describe a door"),
+        (F.when((F.col("_sized") * 2 >= F.col("rows")) & ~F.col("_other"), 2), "rows carry a door size"),
+        (F.when(F.array_contains("fields", "door_tag"), 1).otherwise(-2), "door number column"),
+        (F.when(F.col("names_doors"), 1).when((F.col("tagged") >= 2) & (F.col("distinct_tags") * 2 >= F.col("tagged")), 0).otherwise(-2), "door numbers"),
+        (F.when(foreign, -4), "columns only another trade prints"),
+    ]
+    score = sum([F.coalesce(c, F.lit(0)) for c, _ in clues])
+    why = F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat(c.cast("string"), F.lit(" " + w))) for c, w in clues]))
+    return t.select(*keys, "rows", score.alias("score"), F.when(score >= 6, "found").when(score >= 3, "unsure").otherwise("reject").alias("outcome"), why.alias("reasons"))
+
+
+def detect(verdicts: DataFrame, indexed: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """Tables to keep per document: those on index pages, and those of all pages only where the index found none.
+
+    ``verdicts(doc, page, table, score, outcome)``, ``indexed(doc, page)``; adds ``via``.
+    """
+    doc = list(doc)
+    v = verdicts.filter("outcome <> 'reject'").join(indexed.select(*doc, "page", F.lit(True).alias("_ix")).distinct(), [*doc, "page"], "left")
+    have = v.filter("_ix AND outcome = 'found'").select(*doc).distinct().withColumn("_have", F.lit(True))
+    return v.join(have, doc, "left").filter("_ix OR _have IS NULL").withColumn("via", F.when(F.col("_ix"), "index").otherwise("all pages")).drop("_ix", "_have")

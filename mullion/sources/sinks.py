@@ -84,7 +84,7 @@ def master_sheet(doors: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     place = first([sides, *[extra(k) for k in ("location", "lock_function", "room")]])
     outside = F.exists(F.array(have("from_space"), have("to_space"), place), lambda s: s.rlike(r"(?i)\bEXT(ERIOR)?\b"))
     value = {c: have(f) for c, f in DIRECT.items()}
-    value |= {c: first([have(OWN_FIELD[c])] * (c in OWN_FIELD) + [extra(k) for k in ks]) for c, ks in FROM_EXTRA.items()}
+    value |= {c: first([have(OWN_FIELD[c]) for _ in range(c in OWN_FIELD)] + [extra(k) for k in ks]) for c, ks in FROM_EXTRA.items()}
     value |= {"DOOR LOCATION": place, "INTERIOR/EXTERIOR": F.when(outside, "EXTERIOR").otherwise(""), "QUANTITY": F.lit("1"),
               "LEAF COUNT": F.regexp_extract(have("door_width"), r"(?i)^\s*(\d+)\s*[*x]\s*\d", 1)}
     return doors.select(*keep, *[value.get(c, F.lit("")).alias(c) for c in MASTER_COLUMNS])

@@ -20,7 +20,7 @@ STALE_MINUTES, PLAN_STALE_MINUTES = 45, 120
 def as_seen(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs as a caller should see them: one still reading past its limit is reported failed; nothing is rewritten."""
     limit = F.when(F.col("kind") == "plan", PLAN_STALE_MINUTES * 60).otherwise(STALE_MINUTES * 60)
-    stale = (F.col("status") == "reading") & (now.cast("double") - F.col("updated_at").cast("double") > limit)
+    stale = (F.col("status") == "reading") & (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) > limit * 1_000_000)
     return jobs.withColumn("status", F.when(stale, "failed").otherwise(F.col("status"))).withColumn("stale", stale)
 
 
