@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from mullion.runtime import cut
+
 
 def _total(kind: str, value: Column, order: Sequence[str]) -> Column:
     if kind == "last":
@@ -76,7 +78,8 @@ def anchored(df: DataFrame, keys: Sequence[str], value: str, tol: float, width:
     and over its distinct values only.
     """
     keys = list(keys)
-    runs = chained(df.select(*keys, value).distinct(), keys, value, value, tol, width, name="_run")
+    # Read by the fold and by the naming join, so the numbered distinct values are written once.
+    runs = cut(chained(df.select(*keys, value).distinct(), keys, value, value, tol, width, name="_run"))
     firsts = (runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_set(value)).alias("_v"))
               .withColumn("_v", F.aggregate(
                   "_v", F.slice("_v", 1, 1),
@@ -94,7 +97,7 @@ def mean_lines(df: DataFrame, keys: Sequence[str], value: str, tol: float, width
     """
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    runs = chained(counts, keys, value, value, tol, width, name="_run")
+    runs = cut(chained(counts, keys, value, value, tol, width, name="_run"))
 
     def step(s: Column, v: Column) -> Column:
         joins = F.abs(s.total / s.n - v.v) <= tol

@@ -21,7 +21,7 @@ def as_seen(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs as a caller should see them: one still reading past its limit is reported failed; nothing is rewritten."""
     limit = F.when(F.col("kind") == "plan", F.lit(PLAN_STALE_MINUTES * 60_000_000).cast("bigint")).otherwise(F.lit(STALE_MINUTES * 60_000_000).cast("bigint"))
     stale = (F.col("status") == "reading") & (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) > limit)
-    return jobs.withColumn("status", F.when(stale, "failed").otherwise(F.col("status"))).withColumn("stale", stale)
+    return jobs.withColumns({"stale": stale, "status": F.when(stale, "failed").otherwise(F.col("status"))})
 
 
 class LatestTable:
