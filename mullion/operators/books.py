@@ -183,9 +183,9 @@ def page_text(pieces: DataFrame, keys) -> DataFrame:
 
 
 def mapped_books(pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """Books per maker that are known and have a stored first page. ``registry(book, maker, readers)`` is a small fixed table."""
+    """Books per maker that are known and have a stored first page. ``registry(book, maker, readers)`` lists the known books."""
     first = pages.filter("pdf_page = 1").select("book").distinct()
-    return first.join(F.broadcast(registry), "book").groupBy("maker").agg(F.array_sort(F.collect_set("book")).alias("books"))
+    return first.join(small(registry), "book").groupBy("maker").agg(F.array_sort(F.collect_set("book")).alias("books"))
 
 
 def merge_guides(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

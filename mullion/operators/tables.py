@@ -281,7 +281,7 @@ def ruled_grid(headers: DataFrame, rulings: DataFrame, keys: Sequence[str], tol:
     cols = cover.join(h, keys).filter("covered >= need").groupBy(*keys, "hx0", "hx1", "hy0", "hy1", "tag_x").agg(F.array_sort(F.collect_set("at")).alias("xs"))
     cols = cols.withColumn("left", F.array_max(F.filter("xs", lambda x: x <= F.col("hx0") + 2))).withColumn("right", F.array_min(F.filter("xs", lambda x: x >= F.col("hx1") - 2)))
     cols = cols.filter((F.size("xs") >= 4) & (F.col("right") - F.col("left") >= 100))
-    cols = cols.withColumn("bounds", F.filter("xs", lambda x: x.between(F.col("left"), F.col("right")))).filter(F.size("bounds") >= 4)
+    cols = cut(cols.withColumn("bounds", F.filter("xs", lambda x: x.between(F.col("left"), F.col("right")))).filter(F.size("bounds") >= 4))
     hz = cut(grouped("h").join(cols.select(*keys, "left", "right", "hy0", "hy1"), page))
     hclip = hz.filter((F.col("e") > F.col("left")) & (F.col("s") < F.col("right"))).select(*keys, "at", F.greatest("s", "left").alias("s"), F.least("e", "right").alias("e"))
     rows = seq.coverage(hclip, [*keys, "at"], "s", "e", F.lit(float("-inf")), F.lit(float("inf")), 512.0).join(cols.select(*keys, "left", "right"), keys)

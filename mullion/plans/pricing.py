@@ -6,6 +6,7 @@ from mullion.functions import text
 from mullion.lenses import pick
 from mullion.operators import prices as pr
 from mullion.registry import query
+from mullion.runtime import small
 
 _KEY = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
 _PK = f"{_KEY.format('model')} || '|' || {_KEY.format('finish')} || '|' || {_KEY.format('size')}"
@@ -123,7 +124,7 @@ def a34(t):
     makers = brands(t).filter("k <= 15").select(F.col("b").alias("manufacturer"))
     items = pr.product_key(t.L_items).withColumn("written", F.lower("manufacturer")).drop("manufacturer")
     found = pr.resolve_makers(items, makers, pr.maker_codes(*codes(t)))
-    return (items.join(F.broadcast(found), "written").groupBy(F.coalesce("manufacturer", F.lit("")).alias("maker"))
+    return (items.join(small(found), "written").groupBy(F.coalesce("manufacturer", F.lit("")).alias("maker"))
             .agg(F.array_join(F.array_sort(F.collect_set("written")), ",").alias("written"), F.count(F.lit(1)).alias("items"), F.countDistinct("product_key").alias("products")))
 
 
