@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mullion.llm import exact, packing
+from mullion.llm import exact, packing, tokenstore, warc
+from mullion.llm.common import folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives, index = folder(spark, "warc"), folder(spark, "captures")
+    warc.write_archives(warc.with_types(pages), archives)
+    warc.write_index(spark, archives, index)
+    records = warc.read_ranges(warc.locate(warc.keys_of(pages), index), archives)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -31,11 +51,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "tokenstore")
+    tokenstore.write(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return tokenstore.read_all(spark, path, with_ids=False)
+
+
 QUERIES = {
+    "op2_warc_index": op2_warc_index,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_token_store": op10_token_store,
 }
 SQL = {
+    "op2_warc_index": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
 
