@@ -33,6 +33,7 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.pieces = regex.compile(PIECES)
+        self.blanks = regex.compile(r" (?:\s|$)")
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -40,16 +41,31 @@ class Encoder:
         kind = f"<u{self.width}"
         if not self.by_piece:
             return [np.asarray(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        cut = [None if self.added and self.added.search(t) else self.pieces.findall(t) for t in texts]
-        distinct = set().union(*filter(None, cut))
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(distinct)
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.asarray(e.ids, kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, parts)) if parts is not None
-                else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, kind).tobytes()
-                for t, parts in zip(texts, cut)]
+        cut = [None if self.added and self.added.search(t) else self.words(t) for t in texts]
+        known, words = self.known, set().union(*filter(None, cut))
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            self.known = known = {}
+            new = list(words)
+        parts = {w: [w] if w[1:].isalpha() and w[0] == " " else self.pieces.findall(w) for w in new}
+        fresh = list({p for ps in parts.values() for p in ps if p not in known})
+        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            known[p] = np.array(e.ids, kind).tobytes()
+        for w, ps in parts.items():
+            if len(ps) != 1:
+                known[w] = b"".join([known[p] for p in ps])
+        return [b"".join(map(known.__getitem__, ws)) if ws is not None
+                else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, kind).tobytes()
+                for t, ws in zip(texts, cut)]
+
+    def words(self, text: str) -> list[str]:
+        """Parts of a text that begin where a space is followed by a non-space: no piece spans two of them."""
+        if not text:
+            return []
+        if self.blanks.search(text):
+            return self.pieces.findall(text)
+        first, *rest = text.split(" ")
+        return ([first] if first else []) + [" " + w for w in rest]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mullion.llm import exact, packing, tokenstore, warc
+from mullion.llm import exact, html, packing, quality, tokenstore, toxicity, warc
 from mullion.llm.common import folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ FROM g
 """
 
 
+def op3_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,14 @@ FROM t WINDOW w AS (PARTITION BY body)
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.decompose(table(spark, sf_dir, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,7 +71,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc_index": op2_warc_index,
+    "op3_tag_path_text": op3_tag_path_text,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_store": op10_token_store,
 }
