@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mullion.llm import exact, html, ngram_join, packing, quality, tokenstore, toxicity, warc
+from mullion.llm import decontaminate, exact, html, ngram_join, packing, quality, tokenstore, toxicity, warc
 from mullion.llm.common import folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +54,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_tag_path_text": op3_tag_path_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
