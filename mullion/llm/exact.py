@@ -17,7 +17,7 @@ def squeezed(text: Column) -> Column:
 
 def exact_groups(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text",
                  first: int = 64, growth: int = 8) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns named in ``carry``.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and ``carry``'s columns as ``carried_<name>``.
 
     All documents start in one group. A round splits every open group by the next bytes of its texts: a text is known
     by its group and those bytes alone, compared as bytes, never by a digest. A group of one document, and one whose
@@ -29,24 +29,26 @@ def exact_groups(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_
     ``kept`` is true for one row of each group of equal texts, that with the smallest doc_id; among rows that repeat
     that id as well, one. Null and empty texts are equal; null ids come last. ``text_sha256`` only describes the text.
     """
-    carry = list(carry)
-    one = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(0)
+    carry, with_text = list(carry), text_col in carry
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry) if c != text_col]
+    one = F.struct(*others) if others else F.lit(0)
     name = F.col(f"`{id_col}`")
     state = docs.select(
-        name.alias("id"), squeezed(F.col(f"`{text_col}`")).alias("body"), one.alias("more"), F.monotonically_increasing_id().alias("row"))
+        name.alias("id"), F.col(f"`{text_col}`").alias("text"), one.alias("more"), F.monotonically_increasing_id().alias("row"))
     # A label any row of a group would compute alike; it names the group, it does not decide equality.
-    label = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.xxhash64("body").alias("mark"))
-    state = state.withColumn("label", label).withColumn("sha", F.sha2(F.col("body").cast("binary"), 256)).withColumn("group", label)
+    label = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.xxhash64(squeezed(F.col("text"))).alias("mark"))
+    state = state.withColumn("label", label).withColumn("sha", F.sha2(squeezed(F.col("text")).cast("binary"), 256)).withColumn("group", label)
     state = state.withColumn("group", F.lit(None).cast(state.schema["label"].dataType))
     done, at, width, keys = [], 1, first, ["group", "ended", "digit"]
     while True:
-        bytes_ = F.col("body").cast("binary")
-        cutting = state.withColumn("digit", F.substring(bytes_, at, width)).withColumn("ended", F.octet_length("body") < at + width)
+        bytes_ = squeezed(F.col("text")).cast("binary")
+        cutting = state.withColumn("digit", F.substring(bytes_, at, width)).withColumn("ended", F.octet_length(bytes_) < at + width)
         groups = cutting.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lowest")).filter("size > 1")
         g = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys], "size", "lowest")
         met = cutting.join(g, F.col("group").eqNullSafe(F.col("g_group")) & (F.col("ended") == F.col("g_ended")) & (F.col("digit") == F.col("g_digit")), "left")
         open_ = F.col("size").isNotNull() & ~F.col("ended")
-        step = cut(met.select("id", "row", "label", "sha", "more", "lowest", "size", open_.alias("open"), F.when(open_, F.col("body")).alias("body")))
+        step = cut(met.select("id", "row", "label", "sha", "more", "lowest", "size", open_.alias("open"),
+                              (F.col("text") if with_text else F.when(open_, F.col("text"))).alias("text")))
         done.append(step.filter("NOT open"))
         state = step.filter("open").withColumn("group", F.col("lowest")).drop("open", "size", "lowest")
         if state.isEmpty():
@@ -59,7 +61,7 @@ def exact_groups(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_
     best = (settled.filter(F.col("size").isNotNull() & (F.col("label") == F.col("lowest")))
             .groupBy(F.col("lowest").alias("w_lowest")).agg(F.min("row").alias("winner")))
     out = settled.join(best, F.col("lowest") == F.col("w_lowest"), "left")
-    more = [F.col(f"more.c{i}").alias(c) for i, c in enumerate(carry)]
+    more = [(F.col("text") if c == text_col else F.col(f"more.c{i}")).alias(f"carried_{c}") for i, c in enumerate(carry)]
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("lowest.id"))
     return out.select(
         F.col("id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mullion.llm import decontaminate, exact, html, ngram_join, packing, quality, tokenstore, toxicity, warc
+from mullion.llm import decontaminate, exact, html, ngram_join, packing, pii, quality, tokenstore, toxicity, warc
 from mullion.llm.common import folder
 
+PII_KEY = "registered query; a user passes a secret"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archives, index = folder(spark, "warc"), folder(spark, "captures")
@@ -78,6 +83,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_warc_index": op2_warc_index,
     "op3_tag_path_text": op3_tag_path_text,
     "op4_exact_dedup": op4_exact_dedup,
