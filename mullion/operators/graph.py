@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mullion.runtime import cut
+from mullion.runtime import cut, settled
 
 
 def first_fit(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -39,17 +39,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: neighbours move to the smallest
     one known, so the number of rounds grows with the logarithm of the longest path.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+    e = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    was = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = settled(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         m = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = cut(large.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = settled(large.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                     .unionByName(m.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        if small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty():
+        e, now = small, mark(small)
+        if now == was:
             break
-        e = small
+        was = now
     members = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return members.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 

@@ -33,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``cut``, then partitions of about ``rows`` rows, by counting them: later steps over a small frame stay few tasks."""
+    done = cut(df)
+    return done.coalesce(done.count() // rows + 1)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast hint when the optimizer's own size estimate allows it.
 
