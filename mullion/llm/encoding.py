@@ -47,8 +47,10 @@ class Encoder:
         if len(known) + len(new) > REMEMBERED:
             self.known = known = {}
             new = list(words)
-        parts = {w: [w] if w[1:].isalpha() and w[0] == " " else self.pieces.findall(w) for w in new}
-        fresh = list({p for ps in parts.values() for p in ps if p not in known})
+        fresh, parts = [w for w in new if w[0] == " " and w[1:].isalpha()], {}
+        if len(fresh) < len(new):
+            parts = {w: self.pieces.findall(w) for w in new if w[0] != " " or not w[1:].isalpha()}
+            fresh = list(set(fresh).union(*parts.values()).difference(w for w in set().union(*parts.values()) if w in known))
         for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             known[p] = np.array(e.ids, kind).tobytes()
         for w, ps in parts.items():

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mullion.llm.common import picked, plain
+from mullion.llm.common import chunks, picked, plain
 from mullion.llm.encoding import encoder
 
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, bucket int, ids binary"
@@ -19,7 +19,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 
 def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
-              id_col: str = "doc_id", text_col: str = "text", part: int = 256) -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text", part: int = 4 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, bucket, ids, sequence_id, offset.
 
     A document's ids, with ``end_id`` after them, are cut where the binary digits of their number say, so each piece is
@@ -28,7 +28,7 @@ def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int
     numbers sequences of one bucket next to each other. ``ids`` are unsigned 32-bit little-endian.
 
     Null and empty texts give the end id alone. Rows that repeat a doc_id are packed as documents of their own; a null
-    doc_id stays null. Other columns are not looked at. Memory: ``part`` texts at a time.
+    doc_id stays null. Other columns are not looked at. Memory: texts of about ``part`` characters at a time.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -36,10 +36,10 @@ def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int
     def cut(batches):
         coder = encoder(tokenizer)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(names), part):
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in chunks(texts, part):
                 rows = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "bucket", "ids")}
-                for doc, raw in zip(names[lo:lo + part], coder.ids(texts[lo:lo + part].to_pylist())):
+                for doc, raw in zip(names[lo:hi], coder.ids(texts[lo:hi])):
                     ids = np.append(np.frombuffer(raw, f"<u{coder.width}"), end_id).astype("<u4")
                     at, whole = 0, ids.tobytes()
                     for size in piece_lengths(len(ids), longest):

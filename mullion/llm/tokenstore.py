@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from mullion.llm import mph
-from mullion.llm.common import picked, plain
+from mullion.llm.common import chunks, picked, plain
 from mullion.llm.encoding import encoder
 
 BLOCK_SCHEMA = ("shard int, block int, first_key bigint, last_key bigint, has_null boolean, docs int, tokens bigint, width int, "
@@ -72,9 +72,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields)], schema=fields)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for name, raw in zip(part.column(0).to_pylist(), coder.ids(part.column(1).to_pylist())):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in chunks(texts, 4 << 20):
+                for name, raw in zip(ids[lo:hi], coder.ids(texts[lo:hi])):
                     names.append(name)
                     raws.append(raw + end)
                     held += len(raw) // coder.width + 1
