@@ -95,7 +95,7 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
     return scramble(out)
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 20):
+def chunks(texts: list[bytes], limit: int = 1 << 18):
     """Index ranges of texts whose sizes add up to about ``limit`` bytes; a longer text stands alone."""
     start, held = 0, 0
     for i, t in enumerate(texts):

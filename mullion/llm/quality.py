@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from mullion.llm.common import chunks, fold_of, picked, plain, scramble, span_hashes
@@ -70,7 +71,7 @@ def word_vectors(texts: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(BUCKETS * DIMENSIONS)
         for batch in batches:
             raw = _encoded(batch, 0)
-            for lo, hi in chunks(raw, 2 << 20):
+            for lo, hi in chunks(raw, 1 << 20):
                 hashes, _, _, before = token_hashes(raw[lo:hi])
                 b = buckets(hashes)
                 doc = np.repeat(np.arange(hi - lo), np.diff(before))
@@ -200,10 +201,11 @@ def scored(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                score = net.probability(pooled(_encoded(part, 1), vectors).astype(float))
+                texts = [(t or "").encode() for t in pc.struct_field(part.column(0), [text_col]).to_pylist()]
+                score = net.probability(pooled(texts, vectors).astype(float))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), plain(F.col(f"`{text_col}`")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int"
     return rows.mapInArrow(run, schema)
 
