@@ -59,7 +59,7 @@ def read_finish_columns(pieces: DataFrame, keys: Sequence[str], reach: float = 1
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s.text).alias("l")))
     at = lambda i: F.get("l", F.lit(i))
     left = left.filter((F.size("l") >= 3) & (at(1) == ".") & (at(2) != ".") & ~F.startswith(at(2), F.lit("[")))
-    model = left.select(*keys, "line", F.explode(text.expand_product(at(0))).alias("_p"), at(2).alias("_f"), F.array_contains(F.slice("l", 4, 99), "F").alias("_fire"))
+    model = left.select(*keys, "line", F.explode(text.expand_product(at(0))).alias("_p"), at(2).alias("_f"), F.array_contains(F.slice("l", F.lit(4), F.size("l")), "F").alias("_fire"))
     model = model.select(*keys, "line", F.concat("_p", "_f", F.when(F.col("_fire"), "-F").otherwise("")).alias("model"))
     price = rows.filter(money).select(*keys, "block", "line", "xc", F.col("text").alias("price_text"))
     near = price.join(cols.select(*keys, "block", "cx").distinct(), [*keys, "block"]).withColumn("_d", F.abs(F.col("cx") - F.col("xc"))).filter(F.col("_d") <= reach)

@@ -290,7 +290,7 @@ def ruled_grid(headers: DataFrame, rulings: DataFrame, keys: Sequence[str], tol:
     g = g.withColumn("header_bottom", F.array_min(F.filter("ys", lambda y: y >= F.col("hy1") - 2))).withColumn(
         "header_top", F.coalesce(F.array_max(F.filter("ys", lambda y: y <= F.col("hy0") + 2)), F.col("hy0") - 2))
     g = g.withColumn("_below", F.filter("ys", lambda y: y >= F.col("header_bottom") - 0.5)).filter(F.size("_below") >= 3)
-    gaps = F.transform(F.slice("_below", 2, 9999), lambda y, i: y - F.get("_below", i))
+    gaps = F.transform(F.slice("_below", F.lit(2), F.size("_below")), lambda y, i: y - F.get("_below", i))
     g = g.withColumn("_gaps", gaps).withColumn("_usual", F.get(F.array_sort("_gaps"), F.floor(F.size("_gaps") / 2).cast("int")))
     stop = F.array_position(F.transform("_gaps", lambda d: d > F.col("_usual") * 3), True)
     g = g.withColumn("row_bounds", F.when(stop == 0, F.col("_below")).otherwise(F.slice("_below", 1, stop.cast("int")))).filter(F.size("row_bounds") >= 3)
@@ -324,7 +324,7 @@ def banded_grid(items: DataFrame, headers: DataFrame, keys: Sequence[str], tol:
     n = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("x1").alias("_x1"), F.first("hx1").alias("_hx1"))
     starts = c.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_c")).join(n, keys).filter(F.col("_c") >= F.greatest(F.lit(2), F.floor(F.col("_n") / 200)))
     g = starts.groupBy(*keys).agg(F.array_sort(F.collect_list("cluster")).alias("xs"), F.greatest(F.first("_hx1") + 60, F.first("_x1") + 3).alias("right")).filter(F.size("xs") >= 3)
-    return g.select(*keys, F.concat(F.array(F.get("xs", F.lit(0)) - 3), F.slice("xs", 2, 9999), F.array("right")).alias("bounds"))
+    return g.select(*keys, F.concat(F.array(F.get("xs", F.lit(0)) - 3), F.slice("xs", F.lit(2), F.size("xs")), F.array("right")).alias("bounds"))
 
 
 def aligned_grid(items: DataFrame, seeds: DataFrame, keys: Sequence[str], on_row: float = 2.5) -> DataFrame:
@@ -358,7 +358,7 @@ def aligned_grid(items: DataFrame, seeds: DataFrame, keys: Sequence[str], on_row
         "starts", F.coalesce((F.col("aligned") >= F.col("rows") * 0.8) & F.col("tags") & (F.col("kinds") >= F.col("aligned") * 0.9), F.lit(False)))
     # The spans of one table are few (its columns), so they are put in order per table.
     t = s.groupBy(*keys, "seed_x", "rows").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "belongs", "starts"))).alias("c"))
-    gut = F.array_sort(F.transform(F.slice("c", 2, 9999), lambda x, i: x.lo - F.get("c", i).hi))
+    gut = F.array_sort(F.transform(F.slice("c", F.lit(2), F.size("c")), lambda x, i: x.lo - F.get("c", i).hi))
     t = t.withColumn("_wide", F.greatest(F.lit(40.0), F.coalesce(F.get(gut, F.floor(F.size(gut) / 2).cast("int")), F.lit(40)).cast("double") * 3))
     home = F.array_position(F.transform("c", lambda x: F.col("seed_x").between(x.lo - 1, x.hi + 1)), True)
     t = t.withColumn("_home", home.cast("int")).filter("_home > 0")
@@ -367,7 +367,7 @@ def aligned_grid(items: DataFrame, seeds: DataFrame, keys: Sequence[str], on_row
     first = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size("c")), lambda i: (i < F.col("_home")) & F.get("_stop", i - 1))), F.lit(0)) + 1
     last = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.size("c")), lambda i: (i > F.col("_home")) & F.get("_stop", i - 1))), F.size("c") + 1) - 1
     t = t.withColumn("_first", first).withColumn("_last", last).withColumn("spans", F.slice("c", F.col("_first"), F.col("_last") - F.col("_first") + 1)).filter(F.size("spans") >= 4)
-    mid = F.transform(F.slice("spans", 2, 9999), lambda x, i: (x.lo + F.get("spans", i).hi) / 2)
+    mid = F.transform(F.slice("spans", F.lit(2), F.size("spans")), lambda x, i: (x.lo + F.get("spans", i).hi) / 2)
     t = t.withColumn("bounds", F.concat(F.array(F.get("spans", F.lit(0)).lo - 2.0), mid, F.array(F.element_at("spans", -1).hi + 2.0)))
     return t.join(run.drop("rows"), keys).select(*keys, "bounds", "rows", "top", "bottom", "pitch")
 

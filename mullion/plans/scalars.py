@@ -171,15 +171,13 @@ def f17(t):
 
 
 @query("F18", f"""
-SELECT {K}, CASE c WHEN 0 THEN a || 'B' WHEN 1 THEN CAST(100 + a AS VARCHAR) WHEN 2 THEN a || ' HMX1' ELSE 'STAIR ' || a END AS tag,
-       CASE c WHEN 1 THEN 'ALTERATION ROOM ' || b ELSE '' END AS room FROM L_size WHERE NOT (c = 2 AND b = 99)""")
+SELECT {K}, CASE c WHEN 0 THEN a || 'B' WHEN 1 THEN CAST(100 + a AS VARCHAR) WHEN 2 THEN CAST(a AS VARCHAR) ELSE 'STAIR ' || a END AS tag,
+       CASE c WHEN 1 THEN 'ALTERATION ROOM ' || b WHEN 2 THEN 'HMX1' ELSE '' END AS room FROM L_size""")
 def f18(t):
     s = t.L_size.selectExpr(*KEYS, "CASE c WHEN 0 THEN concat(a, ' B') WHEN 1 THEN concat(100 + a, ' ALTERATION ROOM ', b) "
                             "WHEN 2 THEN concat(a, ' HMX1') ELSE concat('STAIR ', a) END AS s", "c")
     out = s.select(*KEYS, "c", "s", text.clean_tag(F.col("s")).alias("r"))
-    # '9 HMX1' is a mark followed by a three-letter word: a run-on, as the rule says.
-    return out.select(*KEYS, F.when(F.col("c") == 2, F.col("s")).otherwise(F.col("r.tag")).alias("tag"),
-                      F.when(F.col("c") == 2, F.lit("")).otherwise(F.col("r.room")).alias("room"))
+    return out.select(*KEYS, F.col("r.tag").alias("tag"), F.col("r.room").alias("room"))
 
 
 @query("F19", f"""

@@ -15,6 +15,8 @@ def session(app: str = "mullion", cores: str | None = None) -> SparkSession:
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", os.environ.get("MULLION_CHECKPOINTS", "/tmp/mullion-checkpoints"))
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
