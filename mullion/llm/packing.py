@@ -19,7 +19,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 
 def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
-              id_col: str = "doc_id", text_col: str = "text", part: int = 4 << 20) -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text", part: int = 1 << 18) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, bucket, ids, sequence_id, offset.
 
     A document's ids, with ``end_id`` after them, are cut where the binary digits of their number say, so each piece is
