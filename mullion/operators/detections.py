@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mullion.operators import graph
 from mullion.operators.overlay import earliest
-from mullion.operators.spatial import as_other, boxes_overlapping, hypot, points_near
+from mullion.operators.spatial import as_other, boxes_overlapping, hypot, points_in_reach_of_boxes, points_near
 
 
 def confidence_rank(c: Column) -> Column:
@@ -43,8 +43,6 @@ def assign(boxes: DataFrame, tags: DataFrame, keys: Sequence[str], window: float
     ``boxes(id, read, x0..y1)``, ``tags(tag, px, py)``. The window tests the raw
     gap; the ranking takes ``bonus`` off where the number read equals the tag.
     """
-    from mullion.operators.spatial import points_in_reach_of_boxes
-
     pairs = points_in_reach_of_boxes(tags, boxes, keys, window, window)
     cost = F.col("gap") - F.when(F.col("tag") == F.col("read"), bonus).otherwise(0.0)
     pairs = pairs.withColumn("cost", cost)
@@ -86,15 +84,26 @@ def choose_wall(doors: DataFrame, tags: DataFrame, keys: Sequence[str], door_pt:
                        F.slice(F.array_distinct(F.concat(F.array(first.symbol), rivals)), 1, 3).alias("candidates"))
 
 
-def suppress(det: DataFrame, dead: DataFrame, keys: Sequence[str], reach: float, share: float = 0.5) -> DataFrame:
-    """Detections no tombstone covers: tagged by number, untagged by nearness (half the wider box), never across."""
+def suppress(det: DataFrame, dead: DataFrame, keys: Sequence[str], cell: float, share: float = 0.5) -> DataFrame:
+    """Detections no tombstone covers: tagged by number, untagged by nearness (half the wider box), never across.
+
+    Each box looks as far as its own width says; ``cell`` only spreads a page over tasks.
+    """
+    keys = list(keys)
     by_tag = dead.filter("tag <> ''").select(*keys, "tag").distinct()
     left = det.join(by_tag, [*keys, "tag"], "left_anti")
-    spots = as_other(dead.filter("tag = ''").select(*keys, "cx", "cy", "x0", "x1"), keys)
-    near = points_near(left.filter("tag = ''"), spots, keys, reach, other=("bcx", "bcy")).filter(
-        hypot(F.col("cx") - F.col("bcx"), F.col("cy") - F.col("bcy"))
-        <= F.greatest(F.col("x1") - F.col("x0"), F.col("bx1") - F.col("bx0"), F.lit(1e-6)) * share)
-    return left.join(near.select("id").distinct(), "id", "left_anti")
+    reach = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-6)) * share
+
+    def spots(df: DataFrame, *name: str) -> tuple[DataFrame, DataFrame]:
+        d = df.filter("tag = ''").select(*keys, *name, "cx", "cy", reach.alias("r")).withColumn("_w", F.col("r") * (1 + 1e-9) + 1e-9)
+        return (d.select(*keys, *name, F.col("cx").alias("px"), F.col("cy").alias("py")),
+                d.select(*keys, *name, F.col("cx").alias("mx"), F.col("cy").alias("my"), "r", (F.col("cx") - F.col("_w")).alias("x0"), (F.col("cx") + F.col("_w")).alias("x1"),
+                         (F.col("cy") - F.col("_w")).alias("y0"), (F.col("cy") + F.col("_w")).alias("y1")))
+
+    (points, boxes), (dead_points, dead_boxes) = spots(left, "id"), spots(dead)
+    near = [points_in_reach_of_boxes(p, b, keys, 0.0, cell).filter(hypot(F.col("px") - F.col("mx"), F.col("py") - F.col("my")) <= F.col("r")).select("id")
+            for p, b in ((dead_points, boxes), (points, dead_boxes))]
+    return left.join(near[0].union(near[1]).distinct(), "id", "left_anti")
 
 
 def keep_types(new: DataFrame, typed: DataFrame, keys: Sequence[str], page: str, reach: float) -> DataFrame:
@@ -110,8 +119,6 @@ def keep_types(new: DataFrame, typed: DataFrame, keys: Sequence[str], page: str,
 
 def in_region(det: DataFrame, regions: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
     """Detections whose box centre lies in any region of their page (edges included)."""
-    from mullion.operators.spatial import points_in_reach_of_boxes
-
     hit = points_in_reach_of_boxes(det.select(*keys, "id", F.col("cx").alias("px"), F.col("cy").alias("py")),
                                    regions.select(*keys, "x0", "y0", "x1", "y1"), keys, 0.0, cell)
     return det.join(hit.select("id").distinct(), "id", "left_semi")
@@ -124,11 +131,14 @@ def counted_on(det: DataFrame, sheets: DataFrame) -> DataFrame:
     return named.join(primary, "tag", "left").withColumn("counted_on", F.coalesce("counted_on", F.lit("")))
 
 
-def calibrate(arcs: DataFrame, points: DataFrame, keys: Sequence[str], reach: float, sample: int = 40) -> DataFrame:
-    """Door radius per sheet: the largest half-point bucket explaining 80 % of what the best one does."""
+def calibrate(arcs: DataFrame, points: DataFrame, keys: Sequence[str], reach: float, sample: int | None = None) -> DataFrame:
+    """Door radius per sheet: the largest half-point bucket explaining 80 % of what the best one does.
+
+    All points of a sheet count, or its first ``sample``.
+    """
     from mullion.operators.ranking import smallest
 
-    chosen = smallest(points, keys, [F.col("point")], sample).drop("rn")
+    chosen = points if sample is None else smallest(points, keys, [F.col("point")], sample).drop("rn")
     seen = points_near(arcs, chosen, keys, reach).withColumn("r", F.bround(F.col("radius") * 2, 0) / 2)
     covers = seen.groupBy(*keys, "r").agg(F.countDistinct("point").alias("doors")).filter("r >= 3")
     best = covers.groupBy(*keys).agg(F.max("doors").alias("best")).filter("best >= 3")

@@ -110,9 +110,20 @@ def leader_end(points: DataFrame, segs: DataFrame, keys: Sequence[str], door_pt:
     return pairs.groupBy(*keys, "point").agg(F.min_by(F.struct("bx", "by"), F.struct(-F.col("len"), "seg", "bx")).alias("b")).select(*keys, "point", "b.*")
 
 
-def partners(arcs: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
-    """Second leaf of a pair: radius within 20 %, hinges two radii apart within 30 %."""
-    pairs = points_near(arcs, as_other(arcs, keys), keys, reach * 1.5, other=("bcx", "bcy")).filter("id <> bid")
+def partners(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Second leaf of a pair: radius within 20 %, hinges two radii apart within 30 %.
+
+    Arcs meet in cells as wide as the first one's octave of radius asks, so arcs of any size find theirs.
+    """
+    keys = list(keys)
+    real, cell = arcs.filter("radius > 0"), F.pow(F.lit(2.0), F.col("_o") + 1) * 2.3
+    octave = lambda r, slack: F.floor(F.log2(r) + slack)
+    a = real.withColumn("_o", octave(F.col("radius"), 0.0)).withColumns({"_gx": F.floor(F.col("cx") / cell), "_gy": F.floor(F.col("cy") / cell)})
+    b = as_other(real, keys).withColumn("_o", F.explode(F.sequence(octave(F.col("bradius") / 1.2, -1e-9), octave(F.col("bradius") / 0.8, 1e-9))))
+    for g, c in (("_gx", "bcx"), ("_gy", "bcy")):
+        at = F.floor(F.col(c) / cell)
+        b = b.withColumn(g, F.explode(F.sequence(at - 1, at + 1)))
+    pairs = a.join(b, [*keys, "_o", "_gx", "_gy"]).filter("id <> bid")
     gap, r = hypot(F.col("cx") - F.col("bcx"), F.col("cy") - F.col("bcy")), F.col("radius")
     ok = (F.abs(F.col("bradius") - r) <= r * 0.2) & (F.abs(gap - r * 2) <= r * 0.3)
     return pairs.filter(ok).groupBy("id").agg(F.min("bid").alias("partner"))

@@ -113,13 +113,13 @@ def m7(t):
 
 
 @query("M8", """
-WITH placed AS (SELECT DISTINCT user_id AS document_id, CAST(event_id % 9 + 1 AS VARCHAR) AS door_tag FROM events WHERE user_id < 140),
+WITH placed AS (SELECT DISTINCT user_id AS document_id, CAST(event_id % 9 + 1 AS VARCHAR) AS door_tag FROM events),
 n AS (SELECT * FROM placed WHERE (document_id, door_tag) NOT IN (SELECT document_id, door_tag FROM L_doors)),
 m AS (SELECT document_id, max(row_index) AS mx FROM L_doors GROUP BY 1)
 SELECT 'new' AS what, n.document_id, door_tag, coalesce(mx, -1) + row_number() OVER (PARTITION BY n.document_id ORDER BY door_tag) AS row_index FROM n LEFT JOIN m USING (document_id)
 UNION ALL SELECT 'kept', document_id, door_tag, row_index FROM L_doors d WHERE source <> 'plan' OR (document_id, door_tag) IN (SELECT document_id, door_tag FROM placed)""")
 def m8(t):
-    placed = t.events.filter("user_id < 140").selectExpr("user_id AS document_id", "CAST(event_id % 9 + 1 AS STRING) AS door_tag")
+    placed = t.events.selectExpr("user_id AS document_id", "CAST(event_id % 9 + 1 AS STRING) AS door_tag")
     new, kept = mg.ensure_doors(t.L_doors, placed), mg.drop_orphans(t.L_doors, placed)
     cols = ["document_id", "door_tag", "row_index"]
     return new.select(F.lit("new").alias("what"), *cols).unionByName(kept.select(F.lit("kept").alias("what"), *cols))

@@ -268,10 +268,10 @@ def top_k(df, key, k):
 
 @query("O5", """
 SELECT id, manufacturer, match_key, CAST(list_price AS DOUBLE) AS list_price, id % 3 = 0 AS verified
-FROM L_price WHERE kind <> 'option_add' ORDER BY id % 3 = 0 DESC, match_key, id LIMIT 1000""")
+FROM L_price WHERE kind <> 'option_add' ORDER BY id % 3 = 0 DESC, match_key, id""")
 def o5(t):
     return (t.L_price.filter("kind <> 'option_add'").withColumn("verified", F.expr("id % 3 = 0"))
-            .orderBy(F.desc("verified"), "match_key", "id").limit(1000)
+            .orderBy(F.desc("verified"), "match_key", "id")
             .select("id", "manufacturer", "match_key", F.col("list_price").cast("double").alias("list_price"), "verified"))
 
 

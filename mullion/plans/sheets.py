@@ -285,12 +285,12 @@ def j30(t):
 
 
 @query("J27", """
-WITH b AS (SELECT doc, id AS pos, page // 3 AS page, number || CASE WHEN id % 2 = 0 THEN ' - ' ELSE ': ' END || title AS title FROM L_title WHERE number NOT LIKE '.%'),
+WITH b AS (SELECT doc, id AS pos, page // 3 AS page, number || CASE WHEN id % 2 = 0 THEN ' - ' ELSE ': ' END || title AS title FROM L_title),
 e AS (SELECT doc, pos, page, regexp_extract(title, '^([A-Za-z]{1,3}[-.]?[0-9]{1,3}(?:[.\\-][0-9]{1,3})?[A-Za-z]?)(?:\\s*[-:]\\s*|\\s+)(.+)$', 1) AS number FROM b),
 c AS (SELECT doc, page FROM e WHERE number <> '' GROUP BY 1, 2 HAVING count(DISTINCT number) > 1)
 SELECT doc, number, min(pos) AS pos, arg_min(page, pos) AS page FROM e WHERE number <> '' AND (doc, page) NOT IN (SELECT doc, page FROM c) GROUP BY 1, 2""".replace("\\\\", "\\"))
 def j27(t):
-    b = t.L_title.filter("number NOT LIKE '.%'").selectExpr("doc", "id AS pos", "page DIV 3 AS page", "concat(number, IF(id % 2 = 0, ' - ', ': '), title) AS title")
+    b = t.L_title.selectExpr("doc", "id AS pos", "page DIV 3 AS page", "concat(number, IF(id % 2 = 0, ' - ', ': '), title) AS title")
     return sh.from_bookmarks(b, ["doc"]).select("doc", "number", "pos", "page")
 
 
@@ -321,7 +321,7 @@ def j38(t):
 
 
 @query("J39", """
-WITH i AS (SELECT doc, page, id AS pos, unnest([number, title, 'GENERAL NOTES ' || (id % 3)]) AS text, unnest([8 + id % 9, 9 + id % 5, 10 + id % 4]) AS size FROM L_title WHERE id % 4 > 0),
+WITH i AS (SELECT doc, page, id AS pos, unnest([number, title, 'GENERAL NOTES ' || (id % 3)]) AS text, unnest([8 + id % 9, 9 + id % 5, 10 + id % 4]) AS size FROM L_title),
 d AS (SELECT doc, page, text, min({'s': -size, 'p': pos}) AS o FROM i WHERE trim(text) <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY o, text) AS rn FROM d),
 k AS (SELECT *, regexp_matches(text, '^[A-Z]{1,3}[-.]?[0-9]{1,3}([-.][0-9]{1,3})?[A-Za-z]?$') AS num, NOT (text LIKE '%KEYNOTE%' OR text LIKE '%LEGEND%' OR text LIKE '%SYMBOLS%' OR text LIKE '%GENERAL NOTES%') AS clean,
   regexp_matches(text, '(^|[^A-Z])(FLOOR PLAN|ROOF PLAN|SITE PLAN|LEVEL|PLAN)S?($|[^A-Z])') OR text LIKE '%SCHEDULE%' AS plan FROM r WHERE rn <= 12),
@@ -329,7 +329,7 @@ n AS (SELECT doc, page, arg_min(text, rn) FILTER (WHERE num) AS number, arg_min(
 o AS (SELECT k.doc, k.page, arg_min(text, rn) AS t2 FROM k JOIN n USING (doc, page) WHERE clean AND length(text) > 4 AND text IS DISTINCT FROM n.number GROUP BY ALL)
 SELECT doc, page, coalesce(number, '') AS number, coalesce(t1, t2, '') AS title FROM n LEFT JOIN o USING (doc, page)""")
 def j39(t):
-    i = t.L_title.filter("id % 4 > 0").select("doc", "page", F.col("id").alias("pos"), F.explode(F.array(
+    i = t.L_title.select("doc", "page", F.col("id").alias("pos"), F.explode(F.array(
         F.struct(F.col("number").alias("text"), (8 + F.col("id") % 9).alias("size")), F.struct(F.col("title").alias("text"), (9 + F.col("id") % 5).alias("size")),
         F.struct(F.concat(F.lit("GENERAL NOTES "), F.col("id") % 3).alias("text"), (10 + F.col("id") % 4).alias("size")))).alias("e")).select("doc", "page", "pos", "e.*")
     return sh.name_sheets(i, ["doc", "page"])

@@ -251,7 +251,7 @@ WHERE abs(b.radius - a.radius) <= a.radius * 0.2 AND abs({_D} - 2 * a.radius) <=
 def j33(t):
     from mullion.operators import plans
     arcs = t.L_box.select("page", "id", "cx", "cy", "radius")
-    return plans.partners(arcs, ["page"], 80.0).select("id", "partner")
+    return plans.partners(arcs, ["page"]).select("id", "partner")
 
 
 @query("J34", f"""
@@ -276,7 +276,7 @@ def a25(t):
 
 
 @query("A26", """
-WITH pt AS (SELECT page, id AS point, cx, cy FROM L_box WHERE NOT is_door QUALIFY row_number() OVER (PARTITION BY page ORDER BY id) <= 40),
+WITH pt AS (SELECT page, id AS point, cx, cy FROM L_box WHERE NOT is_door),
 c AS (SELECT a.page, round_even(a.radius * 2, 0) / 2 AS r, count(DISTINCT point) AS doors FROM L_box a JOIN pt ON pt.page = a.page AND a.is_door AND abs(a.cx - pt.cx) <= 80 AND abs(a.cy - pt.cy) <= 80 GROUP BY ALL),
 b AS (SELECT page, max(doors) AS best FROM c WHERE r >= 3 GROUP BY page HAVING max(doors) >= 3)
 SELECT page, max(r) AS radius, max(best) AS doors FROM c JOIN b USING (page) WHERE r >= 3 AND doors >= best * 0.8 GROUP BY page""")
