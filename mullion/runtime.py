@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side is broadcast only when its plan's own size estimate is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -28,9 +29,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and drop its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the checkpoint folder and drop its lineage, and its shuffle files with it.
+
+    Once the checkpoint is written nothing reads those files again; left to the driver's garbage collection they pile
+    up over the rounds of an operator.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a frame takes the setting when it is made
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def settled(df: DataFrame, rows: int = 200_000) -> DataFrame:
