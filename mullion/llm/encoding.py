@@ -10,14 +10,15 @@ from tokenizers import Tokenizer
 
 # How a byte-level BPE file splits text before merging: fixed pattern of that family of tokenizers.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 1_000_000  # pieces a worker keeps; past that it starts afresh, results are the same
+REMEMBERED = 1_000_000  # parts a worker keeps; past that it starts afresh, results are the same
+TOGETHER = 1024  # new parts encoded in one call
 
 
 class Encoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Merges never cross the pieces the file's own splitter makes, so each distinct piece is encoded once and its ids
-    reused. A file with another splitter or a normalizer, and a text that holds one of the file's added tokens, go
+    Merges never cross the pieces the file's own splitter makes, so each distinct part made of whole pieces is encoded
+    once and its ids reused. A file with another splitter or a normalizer, and a text that holds one of the file's added tokens, go
     through the tokenizer whole.
     """
 
@@ -34,40 +35,63 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.pieces = regex.compile(PIECES)
         self.blanks = regex.compile(r" (?:\s|$)")
-        self.known: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}  # ids of a space and the key
+        self.alone: dict[str, bytes] = {}  # ids of the key as it stands
+        self.spans = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a byte-level token has one character per byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spans[i] = len(token)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids, ``width`` bytes each, of every text."""
-        kind = f"<u{self.width}"
         if not self.by_piece:
-            return [np.asarray(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return self.plain(texts)
         cut = [None if self.added and self.added.search(t) else self.words(t) for t in texts]
-        known, words = self.known, set().union(*filter(None, cut))
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            self.known = known = {}
-            new = list(words)
-        fresh, parts = [w for w in new if w[0] == " " and w[1:].isalpha()], {}
-        if len(fresh) < len(new):
-            parts = {w: self.pieces.findall(w) for w in new if w[0] != " " or not w[1:].isalpha()}
-            fresh = list(set(fresh).union(*parts.values()).difference(w for w in set().union(*parts.values()) if w in known))
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[p] = np.array(e.ids, kind).tobytes()
-        for w, ps in parts.items():
-            if len(ps) != 1:
-                known[w] = b"".join([known[p] for p in ps])
-        return [b"".join(map(known.__getitem__, ws)) if ws is not None
-                else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, kind).tobytes()
-                for t, ws in zip(texts, cut)]
-
-    def words(self, text: str) -> list[str]:
-        """Parts of a text that begin where a space is followed by a non-space: no piece spans two of them."""
-        if not text:
-            return []
+        after = self.after_space.get
+        found = [list(map(after, c[1])) if c else () for c in cut]
+        new = {w for c, f in zip(cut, found) if None in f for w, x in zip(c[1], f) if x is None}
+        alone = {w for c in cut if c for w in c[0]}
+        if self.learn(alone, new):
+            self.learn(alone, set().union(*[c[1] for c in cut if c]))
+        alone, after = self.alone.__getitem__, self.after_space.__getitem__
+        return [b"".join([*map(alone, c[0]), *(map(after, c[1]) if None in f else f)]) if c else self.plain([t])[0]
+                for t, c, f in zip(texts, cut, found)]
+
+    def words(self, text: str) -> tuple[list[str], list[str]]:
+        """Parts of a text no piece spans: those that stand alone, then those each of which a space goes before.
+
+        A part begins where a space is followed by a non-space. A text with other spaces is cut into its pieces.
+        """
         if self.blanks.search(text):
-            return self.pieces.findall(text)
+            return self.pieces.findall(text), []
         first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + w for w in rest]
+        return [first] if first else [], rest
+
+    def learn(self, alone: set[str], after: set[str]) -> bool:
+        """Encode what is not known yet; true if everything known before had to be forgotten first."""
+        new = [w for w in alone if w not in self.alone], [w for w in after if w not in self.after_space]
+        full = len(self.alone) + len(self.after_space) + len(new[0]) + len(new[1]) > REMEMBERED
+        if full and (self.alone or self.after_space):
+            self.alone, self.after_space = {}, {}
+            return True
+        self.alone.update(zip(new[0], self.plain(new[0])))
+        for lo in range(0, len(new[1]), TOGETHER):
+            group = new[1][lo:lo + TOGETHER]
+            self.after_space.update(zip(group, self.together([" " + w for w in group])))
+        return False
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with a space and a non-space: encoded as one text, cut where their bytes end."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends, want = np.cumsum(self.spans[ids]), np.cumsum([len(w.encode()) for w in words])
+        at = np.searchsorted(ends, want)
+        if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():
+            return self.plain(words)
+        raw, stops = ids.astype(f"<u{self.width}").tobytes(), ((at + 1) * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Each text through the tokenizer."""
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
