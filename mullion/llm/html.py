@@ -22,6 +22,7 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
 ENDS_PARAGRAPH = BLOCKS - frozenset("body html td th tr tbody thead tfoot li dd dt".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl div article section main body aside header footer nav form td blockquote".split())
+CONTAINERS = frozenset("article main section div td body html".split())
 # Words in class, id and role that name what is not the article.
 ASIDE_WORDS = frozenset("""ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus
     footer form gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related reply
@@ -131,14 +132,39 @@ def _inside(e: _Element, tags: tuple) -> bool:
     return False
 
 
+def _within(e: _Element, top: _Element) -> bool:
+    while e is not None and e is not top:
+        e = e.parent
+    return e is top
+
+
+def _region(content: list[_Element]) -> _Element | None:
+    """The smallest container that holds all of ``content``, or the article or main around it; None of no content."""
+    shared = None
+    for e in content:
+        if shared is None:
+            shared = e
+        while not _within(e, shared):
+            shared = shared.parent
+    held = shared
+    while held is not None and held.tag not in ("article", "main"):
+        held = held.parent
+    while held is None and shared is not None:
+        if shared.tag in CONTAINERS or not shared.tag:
+            return shared
+        shared = shared.parent
+    return held
+
+
 def main_text(page: str, sigma: float = 1.0, spread: float = 0.8) -> str:
     """The article of a page, one block per line.
 
     Every block's root-to-leaf tag path gets two ratios over the page: characters of text per node and punctuation marks
     per node. Each block takes its path's ratios, both are smoothed over the page order with a Gaussian, scaled to their
     largest and fused by their product; blocks above ``spread`` times the standard deviation of the fused ratio are
-    content nodes. The article is then the smallest element that holds most of the content nodes' text, and of it all
-    blocks but those of named asides (menus, forms, adverts, comments and the like), so that its short headings stay.
+    content nodes. The article is all content nodes, and of the smallest container that holds every one of them (or the
+    article or main element around it) also the other blocks but those of named asides (menus, forms, adverts, comments
+    and the like), so that its short headings stay.
     """
     found = [(e, t) for e, t in blocks(page) if not e.aside]
     if not found:
@@ -160,29 +186,8 @@ def main_text(page: str, sigma: float = 1.0, spread: float = 0.8) -> str:
 
     fused = smooth(length) * smooth(points + 1e-3)
     content = fused >= spread * fused.std()
-    weight: dict[int, float] = {}
-    for (e, t), c in zip(found, content):
-        if c:
-            while e is not None:
-                weight[id(e)] = weight.get(id(e), 0) + len(t)
-                e = e.parent
-    total = sum(len(t) for (_, t), c in zip(found, content) if c)
-    # Walk down from the root while one child still holds most of the content.
-    best, depth = None, -1
-    for (e, _), c in zip(found, content):
-        if c:
-            while e is not None:
-                if (e.tag in SCOPE or not e.tag) and weight[id(e)] >= 0.6 * total and e.path.count("/") > depth:
-                    best, depth = e, e.path.count("/")
-                e = e.parent
-    kept = []
-    for e, t in found:
-        up = e
-        while up is not None and up is not best:
-            up = up.parent
-        if best is None or up is best:
-            kept.append(t)
-    return "\n".join(kept)
+    region = _region([e for (e, _), c in zip(found, content) if c])
+    return "\n".join(t for (e, t), c in zip(found, content) if c or region is None or _within(e, region))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -115,6 +115,20 @@ def test_main_text():
     assert html.main_text("") == "" and html.main_text("<script>x") == ""
 
 
+LINE = "A sentence of the article, long enough to count. It goes on, as sentences do, for a while."
+
+
+@pytest.mark.parametrize("body, kept", [
+    (f"<article><h1>Head</h1><p>Short lead.</p><div class='entry-content'>{f'<p>{LINE}</p>' * 5}</div></article>", ["Head", "Short lead.", *[LINE] * 5]),
+    (f"<div><section><h2>One</h2>{f'<p>{LINE}</p>' * 5}</section><section><h2>Two</h2>{f'<p>{LINE}</p>' * 3}</section></div>", ["One", *[LINE] * 5, "Two", *[LINE] * 3]),
+    (f"<div><h1>Head</h1><p>He said this.</p><blockquote>{f'<p>{LINE}</p>' * 6}</blockquote><p>{LINE}</p></div>", ["Head", "He said this.", *[LINE] * 7]),
+    (f"<div><h1>Head</h1><p>A table.</p><table>{f'<tr><td>{LINE}</td></tr>' * 6}</table><p>That was it, all of it.</p></div>", ["Head", "A table.", *[LINE] * 6, "That was it, all of it."]),
+])
+def test_main_text_keeps_every_part(body, kept):
+    page = f"<html><body><nav><a>Home</a></nav>{body}<footer>&copy; me</footer></body></html>"
+    assert html.main_text(page).split("\n") == kept
+
+
 def test_main_text_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>Hi, there.</p>", "t"), (None, None, "", "t")], "page_id int, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(df).collect()) == [(0, "", 0), (1, "", 0), (1, "Hi, there.", 10)]
