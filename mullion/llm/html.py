@@ -22,7 +22,9 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
 ENDS_PARAGRAPH = BLOCKS - frozenset("body html td th tr tbody thead tfoot li dd dt".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl div article section main body aside header footer nav form td blockquote".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 CONTAINERS = frozenset("article main section div td body html".split())
+NAME_FACTOR = 0.5  # what a block's fused ratio is worth under a name that speaks against it
 # Words in class, id and role that name what is not the article.
 ASIDE_WORDS = frozenset("""ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus
     footer form gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related reply
@@ -33,20 +35,29 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "aside", "order")
+    __slots__ = ("tag", "path", "parent", "aside", "named", "order")
 
-    def __init__(self, tag, path, parent, aside, order):
-        self.tag, self.path, self.parent, self.aside, self.order = tag, path, parent, aside, order
+    def __init__(self, tag, path, parent, aside, named, order):
+        self.tag, self.path, self.parent, self.aside, self.named, self.order = tag, path, parent, aside, named, order
 
 
-def _named_aside(attributes: str) -> bool:
-    if "=" not in attributes:
-        return False
+def _named_aside(tag: str, attributes: str) -> int:
+    """How far class, id and role name an aside: 2 if one of their names is a listed word, 1 if one has such a word in it.
+
+    On a paragraph or a heading a listed word counts 1; part of a name on an element within a line counts nothing.
+    """
+    if "=" not in attributes or tag in ("body", "html", "article", "main"):
+        return 0
+    level = 0
     for m in NAMED.finditer(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())
-        if not ASIDE_WORDS.isdisjoint(words):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            if name.lower() in ASIDE_WORDS:
+                level = 2
+            elif not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())):
+                level = max(level, 1)
+    if tag in ("p", *HEADINGS):
+        return min(level, 1)
+    return level if tag in BLOCKS or level == 2 else 0
 
 
 def blocks(page: str) -> list[tuple[_Element, str]]:
@@ -54,7 +65,7 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
 
     Elements close where HTML says an end tag may be left out; a stray end tag is passed over.
     """
-    top = _Element("", "", None, False, 0)
+    top = _Element("", "", None, False, 0, 0)
     here, out, held, owner, at, count = top, [], [], top, 0, 0
 
     def flush():
@@ -88,7 +99,7 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
             while e is not top and e.tag != tag and not (tag not in BLOCKS and e.tag in SCOPE):
                 e = e.parent
             if e is not top and e.tag == tag:
-                if e.aside != e.parent.aside:
+                if e.aside != e.parent.aside or e.named:
                     flush()
                 here = e.parent
             continue
@@ -110,13 +121,14 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
             flush()
         if tag in VOID:
             continue
-        aside = here.aside or tag in SKIPPED or (tag not in ("body", "html", "article", "main") and _named_aside(m[3]))
+        aside = here.aside or tag in SKIPPED
+        named = _named_aside(tag, m[3])
         if tag == "header" and not _inside(here, ("article", "main")):
             aside = True
-        if aside != here.aside:
+        if aside != here.aside or named:
             flush()
         count += 1
-        here = _Element(tag, f"{here.path}/{tag}", here, aside, count)
+        here = _Element(tag, f"{here.path}/{tag}", here, aside, named, count)
         if tag in RAW and not m[3].rstrip().endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             pos, here = (close.end() if close else size), here.parent
@@ -156,6 +168,35 @@ def _region(content: list[_Element]) -> _Element | None:
     return held
 
 
+def _spoken_against(found: list[tuple[_Element, str]], high: np.ndarray) -> list[int]:
+    """Per block, the strongest name around it that counts: 0, 1 or 2 as in ``_named_aside``.
+
+    A name does not count on an element with most of the text of the ``high`` blocks; a whole listed word (2) does, unless
+    the element has the page's h1 or main too, or all of that text.
+    """
+    total = sum(len(t) for (_, t), c in zip(found, high) if c)
+    held, lead = {}, set()
+    for (e, t), c in zip(found, high):
+        first = False
+        while e is not None:
+            first = first or e.tag in ("h1", "main")
+            if c:
+                held[e.order] = held.get(e.order, 0) + len(t)
+            if first:
+                lead.add(e.order)
+            e = e.parent
+    out = []
+    for e, _ in found:
+        level = 0
+        while e is not None:
+            mine = held.get(e.order, 0)
+            if e.named and not (2 * mine > total and (e.named == 1 or e.order in lead or mine == total)):
+                level = max(level, e.named)
+            e = e.parent
+        out.append(level)
+    return out
+
+
 def main_text(page: str, sigma: float = 1.0, spread: float = 0.8) -> str:
     """The article of a page, one block per line.
 
@@ -163,8 +204,12 @@ def main_text(page: str, sigma: float = 1.0, spread: float = 0.8) -> str:
     per node. Each block takes its path's ratios, both are smoothed over the page order with a Gaussian, scaled to their
     largest and fused by their product; blocks above ``spread`` times the standard deviation of the fused ratio are
     content nodes. The article is all content nodes, and of the smallest container that holds every one of them (or the
-    article or main element around it) also the other blocks but those of named asides (menus, forms, adverts, comments
-    and the like), so that its short headings stay.
+    article or main element around it) also the other blocks, so that its short headings stay.
+
+    Elements of menus, forms and the like are left out by their tag. A class, id or role that names an aside (adverts,
+    comments) is ignored on an element with most of the high-ratio text. Elsewhere its blocks are no content nodes; inside
+    the container they stay if they are an h1, or if the name is only part of another (or a paragraph's own) and
+    ``NAME_FACTOR`` of the ratio is still above the threshold.
     """
     found = [(e, t) for e, t in blocks(page) if not e.aside]
     if not found:
@@ -185,9 +230,19 @@ def main_text(page: str, sigma: float = 1.0, spread: float = 0.8) -> str:
         return x / x.max() if x.max() > 0 else x
 
     fused = smooth(length) * smooth(points + 1e-3)
-    content = fused >= spread * fused.std()
+    threshold = spread * fused.std()
+    level = np.array(_spoken_against(found, fused >= threshold))
+    if not (level[fused >= threshold] == 0).any():
+        level[level == 1] = 0  # nothing else is left to be the article
+    content = (fused >= threshold) & (level == 0)
     region = _region([e for (e, _), c in zip(found, content) if c])
-    return "\n".join(t for (e, t), c in zip(found, content) if c or region is None or _within(e, region))
+    fused = np.where(level > 0, NAME_FACTOR * fused, fused)
+    kept = []
+    for (e, t), r, against, c in zip(found, fused, level, content):
+        inside = region is None or _within(e, region)
+        if c or (inside and (against == 0 or e.tag == "h1" or (against == 1 and r >= threshold))):
+            kept.append(t)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -129,6 +129,13 @@ def test_main_text_keeps_every_part(body, kept):
     assert html.main_text(page).split("\n") == kept
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "no-sidebar", "layout with-header", "has-comments", "sidebar"])
+def test_main_text_under_a_misleading_name(name):
+    page = (f"<html><body><div class='{name}'><div class='article-header'><h1>Head</h1></div><p class='share-intro'>{LINE}</p><p>{LINE}</p><p class='notice'>{LINE}</p><p>{LINE}</p>"
+            "<div class='share'><p>Share it, now.</p></div></div><div class='comments'><p>I like it, very much. Yes, truly.</p></div></body></html>")
+    assert html.main_text(page).split("\n") == ["Head", *[LINE] * 4]
+
+
 def test_main_text_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>Hi, there.</p>", "t"), (None, None, "", "t")], "page_id int, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(df).collect()) == [(0, "", 0), (1, "", 0), (1, "Hi, there.", 10)]
