@@ -19,7 +19,8 @@ from mullion.runtime import cut
 
 RADIUS = 23            # = 8 * (2 + 1) - 1; a pair at similarity 0.8 is 10 bits apart in the mean, with a deviation of 3
 BLOCKS = 8
-BROADCAST_ROWS = 1 << 20  # anchors or block rows of the benchmark up to which it is broadcast; beyond, the join shuffles
+BROADCAST_BYTES = 1 << 26  # size of a side of the benchmark up to which it is broadcast; beyond, the join shuffles
+ROW_BYTES = 64             # of a row of up to four numbers, with its place in the hash table
 
 
 def words(text: Column) -> Column:
@@ -73,8 +74,9 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _sized(side: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+def _sized(side: DataFrame, rows: int, extra: int = 0) -> DataFrame:
+    """Broadcast hint by a bound: ``rows`` rows of numbers at most, and ``extra`` bytes of arrays and ids in all."""
+    return F.broadcast(side) if rows * ROW_BYTES + extra <= BROADCAST_BYTES else side
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
@@ -100,8 +102,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5,
 
 
 def _search(source: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame:
-    own = cut(items.select("item_id", shingles(F.col("text"), width).alias("grams")).withColumn("m", F.size("grams")).distinct())
-    longest, total = own.agg(F.coalesce(F.max("m"), F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    own = cut(items.select("item_id", shingles(F.col("text"), width).alias("grams")).withColumn("m", F.size("grams")).distinct().withColumn("entry", F.monotonically_increasing_id()))
+    id_bytes = F.octet_length(F.col("item_id").cast("string"))
+    longest, total, entries, named = own.agg(F.coalesce(F.max("m"), F.lit(1)), F.coalesce(F.sum("m"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(id_bytes), F.lit(0))).first()
     lanes = 16 if longest < 1 << 15 else 32
     # The anchors of an item: as many of its shingles as a window at the threshold cannot all miss.
     need = F.col("m") - F.ceil(F.col("m") * percent / 100).cast("int") + 1
@@ -123,14 +126,17 @@ def _search(source: DataFrame, items: DataFrame, width: int, percent: int) -> Da
     blocks = lambda p: F.array(*[F.shiftrightunsigned(p, 8 * b).bitwiseAND(F.lit(255)) + 256 * b for b in range(BLOCKS)])
     keyed = cut(own.withColumn("own_print", simhash(F.col("grams"), lanes)))
     near = F.array(*[F.lit(d) for d in _near_values()])
-    listed = keyed.select("m", "item_id", "grams", "own_print", F.explode(blocks(F.col("own_print"))).alias("block"))
-    listed = listed.select("m", "item_id", "own_print", F.col("grams").alias("item"), F.explode(F.transform(near, lambda d: F.col("block").bitwiseXOR(d))).alias("block"))
-    met = laid.withColumn("block", F.explode(blocks(F.col("print")))).join(_sized(listed, total * BLOCKS * len(_near_values()) // max(1, longest)), ["m", "block"])
+    listed = keyed.select("m", "entry", "own_print", F.explode(blocks(F.col("own_print"))).alias("block"))
+    listed = listed.select("m", "entry", "own_print", F.explode(F.transform(near, lambda d: F.col("block").bitwiseXOR(d))).alias("block"))
+    met = laid.withColumn("block", F.explode(blocks(F.col("print")))).join(_sized(listed, entries * BLOCKS * len(_near_values())), ["m", "block"])
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("own_print")))
     # A pair met in several blocks is taken at the first of them.
     apart = F.col("print").bitwiseXOR(F.col("own_print"))
     close = [F.bit_count(F.shiftrightunsigned(apart, 8 * b).bitwiseAND(F.lit(255))) <= 2 for b in range(BLOCKS)]
     earliest = reduce(lambda rest, b: F.when(close[b], F.lit(b)).otherwise(rest), reversed(range(BLOCKS)), F.lit(BLOCKS))
     met = met.withColumn("distance", distance).filter((F.col("distance") <= RADIUS) & (F.floor(F.col("block") / 256) == earliest))
+    # Only what is near meets the items' ids and shingles.
+    whole = keyed.select("entry", "item_id", F.col("grams").alias("item"))
+    met = met.join(_sized(whole, entries, 8 * total + named), "entry")
     met = met.withColumn("similarity", similarity(F.col("window"), F.col("item"))).filter(F.col("similarity") * 100 >= percent)
     return met.select("doc_id", "item_id", "start", (F.size("window") + width - 1).alias("length"), F.col("distance").cast("int"), "similarity")
