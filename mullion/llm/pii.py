@@ -22,7 +22,11 @@ LATIN = "ba be bo da de do fa fe ga go ha he ka ke la le lo ma me mo na ne no pa
 CYRILLIC = "ба бе бо ва ве да до за ка ко ла ле ло ма ме мо на не но па ра ре ро са се та те то".split()
 
 _TITLES = "|".join(t for t in f"{FEMALE_TITLES} {MALE_TITLES} {OTHER_TITLES}".split())
-_NAME = r"\p{Lu}[\p{L}'-]+"
+# What may stand before a word of a name, as it is.
+PARTICLES = "van von vom zu zur zum den der des de del della di da do dos das du la le los las af av bin ibn ben ter ten y e und"
+# A word of a name is no title and ends before a possessive; initials and particles are passed over.
+_WORD = rf"(?<!\p{{L}})(?!(?:{_TITLES})(?![\p{{L}}'-]))\p{{Lu}}(?=[\p{{L}}'-])\p{{L}}*(?:['-](?!s(?!\p{{L}}))\p{{L}}+)*"
+_WORD_IN_RUN = rf"(?:(?:{PARTICLES.replace(' ', '|')}) ){{0,3}}(?:\p{{Lu}}\. ?){{0,4}}(?:d'|l'|al-|el-)?{_WORD.replace('(?<!' + chr(92) + 'p{L})', '', 1)}"
 PATTERNS = {
     "email": r"[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": r"(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/=-]{8,}",
@@ -32,10 +36,10 @@ PATTERNS = {
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.? )+{_WORD_IN_RUN}(?: {_WORD_IN_RUN})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HINT = r"[@\d]|(?i:password|passwd|secret|token|key)|(?:" + _TITLES + r")\.? \p{Lu}"
+HINT = r"[@\d]|(?i:password|passwd|secret|token|key)|(?:" + _TITLES + r")\.? \p{L}"
 
 
 def kind(value: Column) -> Column:
@@ -46,18 +50,21 @@ def kind(value: Column) -> Column:
     return out
 
 
-def _title(value: Column) -> Column:
-    return F.regexp_extract(value, rf"\A(?:({_TITLES})\.? )", 1)
+def _words(value: Column) -> Column:
+    return F.regexp_extract_all(value, F.lit(_WORD), F.lit(0))
 
 
 def parts(value: Column, type_: Column) -> Column:
     """Array of (type, form) of an entity: one, or the given names and the family name of a person."""
-    rest = F.split(F.regexp_replace(value, rf"\A(?:{_TITLES})\.? ", ""), " ")
-    title = _title(value)
-    gender = F.when(title.isin(*FEMALE_TITLES.split()), "f").when(title.isin(*MALE_TITLES.split()), "m").otherwise("n")
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    rest = _words(value)
+
+    def titled(titles: str) -> Column:
+        return value.rlike(rf"\A(?:(?:{_TITLES})\.? )*?(?:{titles.replace(' ', '|')})\.? ")
+
+    gender = F.when(titled(FEMALE_TITLES), "f").when(titled(MALE_TITLES), "m").otherwise("n")
     person = F.transform(rest, lambda w, i: F.struct(
-        F.concat(F.when(i < F.size(rest) - 1, F.concat(F.lit("given-"), gender)).otherwise(F.lit("family")), F.lit("-"), script).alias("type"), F.lower(w).alias("form")))
+        F.concat(F.when(i < F.size(rest) - 1, F.concat(F.lit("given-"), gender)).otherwise(F.lit("family")), F.lit("-"),
+                 F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")).alias("type"), F.lower(w).alias("form")))
     digits = F.regexp_replace(value, r"\D", "")
     form = (F.when(type_.isin("card", "ssn", "phone"), digits).when(type_ == "email", F.lower(value))
             .when(type_ == "iban", F.regexp_replace(value, " ", "")).when(type_ == "secret", F.regexp_extract(value, r"[=:]\s*\"?(.*)\z", 1)).otherwise(value))
@@ -124,16 +131,33 @@ def surrogate(type_: Column, form: Column, attempt: Column, key: str) -> Column:
     return out
 
 
+def _family(type_: Column) -> Column:
+    """The kind a part's type belongs to."""
+    return F.when(type_.rlike("^(given|family)-"), "name").otherwise(type_)
+
+
+def settled(names: DataFrame) -> DataFrame:
+    """One type for each form of ``names`` (type, form, n): given or family, and the gender, by most of its n mentions."""
+    def n(start: str) -> Column:
+        return F.sum(F.when(F.col("type").startswith(start), F.col("n")).otherwise(0))
+
+    votes = names.groupBy("form").agg(n("family").alias("family"), n("given").alias("given"), n("given-f").alias("f"), n("given-m").alias("m"), F.max(F.substring_index("type", "-", -1)).alias("script"))
+    gender = F.when(F.col("f") > F.col("m"), "given-f-").when(F.col("m") > F.col("f"), "given-m-").otherwise("given-n-")
+    return votes.select(F.concat(F.when(F.col("family") > F.col("given"), "family-").otherwise(gender), "script").alias("type"), "form")
+
+
 def assign(found: DataFrame, key: str) -> DataFrame:
     """Distinct (type, form) with a surrogate each, no two of a type alike and none that is a form of its type itself.
 
+    Given and family names count as one type there.
+
     Rounds go on while a collision is left; what collides is a handful of rows, and only their number reaches the driver.
     """
     table = cut(found.select("type", "form").distinct().withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("type"), F.col("form"), F.lit(0), key)))
     while True:
-        shared = table.groupBy("type", F.lower("surrogate").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("form").alias("owner")).filter("n > 1").drop("n")
-        taken = table.select("type", F.lower("form").alias("low"), F.lit(True).alias("real"))
-        seen = table.withColumn("low", F.lower("surrogate")).join(shared, ["type", "low"], "left").join(taken.distinct(), ["type", "low"], "left")
+        shared = table.groupBy(_family(F.col("type")).alias("class"), F.lower("surrogate").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("form").alias("owner")).filter("n > 1").drop("n")
+        taken = table.select(_family(F.col("type")).alias("class"), F.lower("form").alias("low"), F.lit(True).alias("real"))
+        seen = table.withColumn("class", _family(F.col("type"))).withColumn("low", F.lower("surrogate")).join(shared, ["class", "low"], "left").join(taken.distinct(), ["class", "low"], "left")
         again = F.coalesce("real", F.lit(False)) | F.coalesce(F.col("form") != F.col("owner"), F.lit(False))
         clash = cut(seen.filter(again).select("type", "form"))
         if clash.isEmpty():
@@ -143,6 +167,16 @@ def assign(found: DataFrame, key: str) -> DataFrame:
         table = cut(moved.withColumn("surrogate", F.when(F.col("move") == 1, surrogate(F.col("type"), F.col("form"), F.col("attempt"), key)).otherwise(F.col("surrogate"))).drop("move"))
 
 
+def _cased(word: Column, made: Column) -> Column:
+    return F.when(word == F.upper(word), F.upper(made)).otherwise(made)
+
+
+def _bare(names: Column) -> Column:
+    """Pattern of runs of the name words of one document, standing without a title."""
+    any_ = F.concat(F.lit(r"(?=\p{Lu})(?iu:"), F.array_join(names["form"], "|"), F.lit(r")(?!\p{L})"))
+    return F.concat(F.lit(r"(?<!\p{L})"), any_, F.lit("(?: "), any_, F.lit(")*"))
+
+
 def _fitted(value: Column, type_: Column, made: Column) -> Column:
     """The surrogate in the format the value is written in; ``made`` holds the surrogates of its parts in order."""
     only = F.get(made, F.lit(0))
@@ -152,9 +186,8 @@ def _fitted(value: Column, type_: Column, made: Column) -> Column:
     spaced = F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda acc, c: F.when(
         c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))).otherwise(
         F.struct(F.concat(acc["out"], F.substr(only, acc["at"] + 1, F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))), lambda acc: acc["out"])
-    old = F.split(F.regexp_replace(value, rf"\A(?:{_TITLES})\.? ", ""), " ")
-    cased = F.zip_with(old, made, lambda w, s: F.when(w == F.upper(w), F.upper(s)).otherwise(s))
-    name = F.concat(F.regexp_extract(value, rf"\A((?:{_TITLES})\.? )", 1), F.array_join(cased, " "))
+    cased = F.zip_with(_words(value), made, _cased)
+    name = F.array_join(F.flatten(F.zip_with(F.split(value, _WORD, -1), cased, lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))), "")
     secret = F.concat(F.regexp_extract(value, r"\A(.*?[=:]\s*\"?)", 1), only)
     email = F.when(value == F.upper(value), F.upper(only)).otherwise(only)
     return (F.when(type_.isin("card", "ssn", "phone"), digits).when(type_ == "iban", spaced).when(type_ == "name", name).when(type_ == "secret", secret)
@@ -165,23 +198,37 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row per document: doc_id, text with surrogates, n_entities (replaced, repeats counted).
 
     Texts are read whole; one without entities comes back as it is, null as an empty text. The same part has the same
-    surrogate in every document and way of writing, for one ``key``; keep it secret. Ids may be null or repeat.
+    surrogate in every document and way of writing, for one ``key``; keep it secret. Ids may be null or repeat. A person is
+    found by a title; the words of the name are then replaced wherever they stand in that document. Names that no title
+    goes with in their document are not found.
     """
     source = picked(docs, doc_id=id_col, text=text_col).withColumn("text", plain(F.col("text")))
     hinted = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     values = source.select("doc_id", F.xxhash64("text").alias("mark"), F.explode_outer(F.array_distinct(hinted)).alias("value")).filter("value IS NOT NULL").distinct()
     values = cut(values.withColumn("type", kind(F.col("value"))).withColumn("parts", parts(F.col("value"), F.col("type"))))
-    distinct = values.select("value", "type", "parts").distinct()
-    pieces = distinct.select("value", "type", F.posexplode("parts").alias("at", "part")).select("value", F.col("type").alias("kind"), "at", "part.type", "part.form")
-    table = assign(pieces, key)
+    distinct = values.groupBy("value", "type", "parts").agg(F.count(F.lit(1)).alias("n"))
+    pieces = distinct.select("value", "n", F.col("type").alias("kind"), F.posexplode("parts").alias("at", "part")).select("value", "n", "kind", "at", "part.type", "part.form")
+    found = pieces.filter("kind <> 'name'").select("type", "form").unionByName(settled(pieces.filter("kind = 'name'")))
+    table = assign(found, key).select(_family(F.col("type")).alias("kind"), "form", "surrogate")
     # An entity has as many parts as a name has words.
-    fitted = pieces.join(table, ["type", "form"]).groupBy("value", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("made"))
-    fitted = fitted.select("value", _fitted(F.col("value"), F.col("kind"), F.col("made.surrogate")).alias("replacement"))
+    fitted = pieces.join(table, ["kind", "form"]).groupBy("value", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "form"))).alias("made"))
+    names = F.when(F.col("kind") == "name", F.transform("made", lambda p: F.struct(p["form"].alias("form"), p["surrogate"].alias("surrogate"))))
+    fitted = fitted.select("value", _fitted(F.col("value"), F.col("kind"), F.col("made.surrogate")).alias("replacement"), names.alias("names"))
     # A document's own entities, no more than its text has.
-    maps = values.select("doc_id", "mark", "value").join(fitted, "value").groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("swap"))
-    m = maps.select(F.col("doc_id").alias("m_id"), "mark", "swap")
+    maps = values.select("doc_id", "mark", "value").join(fitted, "value").groupBy("doc_id", "mark").agg(
+        F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("swap"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    m = maps.select(F.col("doc_id").alias("m_id"), "mark", "swap", "names")
     met = source.withColumn("mark", F.xxhash64("text")).join(m.withColumnRenamed("mark", "m_mark"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("mark") == F.col("m_mark")), "left")
-    met = met.withColumn("held", F.when(F.col("swap").isNotNull(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    gaps = F.split("text", ANY, -1)
-    woven = F.array_join(F.flatten(F.zip_with(gaps, F.transform("held", lambda v: F.element_at(F.col("swap"), v)), lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
+    named = F.size("names") > 0
+    pattern = F.concat(F.lit(f"{ANY}|"), _bare(F.col("names")))
+    met = met.withColumn("held", F.when(F.col("swap").isNotNull(), F.when(named, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))))
+    gaps = F.when(named, F.split("text", pattern, -1)).otherwise(F.split("text", ANY, -1))
+
+    def word(w):
+        return _cased(w, F.coalesce(F.element_at(F.map_from_entries("names"), F.lower(w)), w))
+
+    def replaced(v):
+        return F.coalesce(F.element_at(F.col("swap"), v), F.array_join(F.transform(F.split(v, " "), word), " "))
+
+    woven = F.array_join(F.flatten(F.zip_with(gaps, F.transform("held", replaced), lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
     return met.select("doc_id", F.when(F.col("swap").isNull(), F.col("text")).otherwise(woven).alias("text"), F.when(F.col("held").isNull(), 0).otherwise(F.size("held")).cast("bigint").alias("n_entities"))

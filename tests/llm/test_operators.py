@@ -222,6 +222,19 @@ def test_surrogates(spark):
     assert digits(one) == digits(next(t for i, t, _ in got if i == 2))
 
 
+def test_surrogates_of_whole_names_and_bare_mentions(spark):
+    rows = [(1, "Mr John Ronald Reuel Tolkien wrote. Tolkien said, TOLKIEN's book; John Tolkien left. Smithy, tolkienish."), (2, "Dr Anna Jones came. Anna spoke."), (3, "Ms Anna Jones, not Mr Jones"),
+            (4, "Herr Ludwig van Beethoven and Prof. Dr. J. R. Hawking; Beethoven, Hawking"), (5, "Tolkien in a text of his own."), (6, "Г-жа Анна Иванова, Иванова.")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) (\w+) (\w+) wrote\. \4 said, (\w+)'s book; \1 \4 left\. Smithy, tolkienish\.", got[1][0])
+    assert m and m[5] == m[4].upper() and got[1][1] == 4 and len(set(m.groups())) == 5, got[1]
+    a, b = re.fullmatch(r"Dr (\w+) (\w+) came\. \1 spoke\.", got[2][0]), re.fullmatch(r"Ms (\w+) (\w+), not Mr \2", got[3][0])
+    assert a.groups() == b.groups() and a[1].endswith("a") and a[2].endswith("son")
+    assert re.fullmatch(r"Herr (\w+) van (\w+) and Prof\. Dr\. J\. R\. (\w+); \2, \3", got[4][0])
+    assert re.fullmatch(r"Г-жа (\w+) (\w+), \2\.", got[6][0]) and got[5] == (rows[4][1], 0)
+    assert not re.search("John|Ronald|Reuel|Anna|Jones|Ludwig|Beethoven|Hawking|Анна|Иванова", " ".join(t for t, _ in got.values()))
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("family-latin", f"name{i}") for i in range(3000)] + [("ip", f"1.2.{i // 250}.{i % 250}") for i in range(2000)], "type string, form string")
     got = pii.assign(found, "k").collect()
