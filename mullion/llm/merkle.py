@@ -14,7 +14,7 @@ from mullion.llm.common import picked
 from mullion.runtime import cut
 
 FAN = 16         # children of a node
-STRETCH = 4096   # rows of a window; a multiple of FAN
+STRETCH = 256    # rows of a window; a multiple of FAN
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
