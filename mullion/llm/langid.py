@@ -142,10 +142,14 @@ def sample(docs: DataFrame, folds: int, held: int, limit: int) -> tuple[list, Da
     """
     usable = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(fold_of(F.col("doc_id"), folds) != held)
     names = usable.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    languages = [r[0] for r in names.select("lang").distinct().orderBy("lang").collect()]
+    counts = names.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    languages = [r["lang"] for r in counts]
     share = max(8, limit // max(1, len(languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("bigint")), "doc_id")
-    chosen = names.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= share)
+    # Hashes below a bound that lets four times the share through; only those of a language meet in its window.
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << 40))
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], (1 << 40) * min(1.0, 4 * share / r["n"])) for r in counts], "lang string, bound double")
+    few = names.join(bounds, "lang").withColumn("at", at).filter(F.col("at") < F.col("bound"))
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).filter(F.col("rank") <= share)
     chosen = chosen.select("doc_id", "lang")
     if share * len(languages) <= 1 << 18:  # rows; only thousands of languages pass it
         chosen = F.broadcast(chosen)
