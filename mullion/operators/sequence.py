@@ -62,6 +62,33 @@ def lower_quartile(value: str) -> Column:
     return F.expr(f"percentile_disc(0.75) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
+def ranked_before(points: DataFrame, queries: DataFrame, keys: Sequence[str], stretch: int = 256) -> DataFrame:
+    """Adds ``below`` to ``queries(keys, id, at, value)``: how many ``points(keys, at, value)`` of the key stand earlier and lower.
+
+    This gives running order statistics: the running median is under a value when more than half of what came before is.
+    A query meets the points of its own stretch of ``at``; the stretches before it are a few blocks of 1, 2, 4, ... stretches, and
+    in each block the distinct values are counted up in order. No key and no block is gathered: both steps are spread over
+    buckets of position and of value.
+    """
+    keys = list(keys)
+    here = lambda df: df.withColumn("_s", F.floor(F.col("at") / stretch).cast("bigint"))
+    p, q = here(points.select(*keys, "at", "value")), here(queries)
+    near = q.join(p.select(*keys, "_s", F.col("at").alias("_at"), F.col("value").alias("_v")), [*keys, "_s"]).filter("_at < at AND _v < value")
+    # Block b of level l holds stretches b * 2^l to (b + 1) * 2^l - 1; a query looks at one block for each bit set in its stretch.
+    far = q.filter("_s > 0").select(*keys, "id", "value", "_s", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_s"))).cast("int"))).alias("_l"))
+    far = far.filter(F.expr("shiftright(_s, _l) % 2 = 1")).withColumn("_b", F.expr("shiftright(_s, _l) - 1"))
+    last = q.groupBy(*keys).agg(F.max("_s").alias("_last")).filter("_last > 0")
+    held = p.join(last, keys).select(*keys, "value", "_s", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_last"))).cast("int"))).alias("_l"))
+    held = held.withColumn("_b", F.expr("shiftright(_s, _l)")).filter("_b % 2 = 0").groupBy(*keys, "_l", "_b", "value").agg(F.count(F.lit(1)).alias("_n"))
+    both = held.select(*keys, "_l", "_b", "value", "_n", F.lit(None).cast("string").alias("id"), F.lit(1).alias("_kind")).unionByName(
+        far.select(*keys, "_l", "_b", "value", F.lit(0).cast("bigint").alias("_n"), "id", F.lit(0).alias("_kind")))
+    bucket = F.when(F.col("value") > 0, F.floor(F.log2("value") * 1024)).otherwise(-1 << 40)
+    counted = running(both, [*keys, "_l", "_b"], bucket, ["value", "_kind"], {"_sum": ("sum", F.col("_n"))}, inclusive=False).filter("_kind = 0")
+    below = near.select("id", F.lit(1).cast("bigint").alias("_n")).unionByName(counted.select("id", F.col("_sum").alias("_n")))
+    below = below.groupBy("id").agg(F.sum("_n").alias("below"))
+    return queries.join(below, "id", "left").withColumn("below", F.coalesce("below", F.lit(0)))
+
+
 def chained(df: DataFrame, keys: Sequence[str], start: str, end: str, tol: float, width: float,
             ties: Sequence[str] = (), name: str = "run") -> DataFrame:
     """Numbers groups of intervals: a new one where a start lies past every earlier end by more than ``tol``."""

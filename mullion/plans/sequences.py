@@ -129,12 +129,16 @@ def w15(t):
 @query("W16", """
 WITH d AS (SELECT user_id AS k, event_id AS y, event_type AS cell, event_id % 3 <> 0 AS has_tag FROM events),
 s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y) = 1 OR has_tag AS starts FROM d),
-r AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY y) AS row_no FROM s)
+p AS (SELECT *, max(CASE WHEN starts THEN y END) OVER (PARTITION BY k ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS py FROM s),
+g AS (SELECT *, list_sort(list(CASE WHEN starts THEN y - py END) OVER (PARTITION BY k ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'ASC', 'NULLS LAST') AS gs,
+  count(CASE WHEN starts THEN y - py END) OVER (PARTITION BY k ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM p),
+e AS (SELECT k, min(y) AS e FROM g WHERE n > 0 AND y - py > 4 * gs[n // 2 + 1] GROUP BY k),
+r AS (SELECT s.*, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY s.k ORDER BY y) AS row_no FROM s LEFT JOIN e ON e.k = s.k WHERE e.e IS NULL OR y < e.e)
 SELECT k, CAST(row_no AS BIGINT) AS row_no, string_agg(cell, ' ' ORDER BY y) AS text, min(y) AS y FROM r GROUP BY k, row_no""")
 def w16(t):
     from mullion.operators import rows
     d = t.events.selectExpr("user_id AS k", "CAST(event_id AS DOUBLE) AS y", "array(event_type) AS cells", "event_id % 3 <> 0 AS has_tag")
-    return rows.stitch(d, ["k"], 256.0, cut=None).select(
+    return rows.stitch(d, ["k"], 256.0).select(
         "k", F.col("row_no").cast("bigint").alias("row_no"), F.get("cells", F.lit(0)).alias("text"), F.col("y").cast("bigint").alias("y"))
 
 
