@@ -56,10 +56,10 @@ def body_items(items: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFr
 
 # Rows ---------------------------------------------------------------------
 
-def is_noise(cells, tag_col: int = 0):
-    """Nothing filled; only a tag of up to two characters; or nothing but single marks."""
+def is_noise(cells, tag_col=0):
+    """Nothing filled; only a tag of up to two characters; or nothing but single marks. ``tag_col`` is a number or a column."""
     filled = F.filter(cells, lambda c: c != "")
-    tag = F.coalesce(F.get(cells, F.lit(tag_col)), F.lit(""))
+    tag = F.coalesce(F.get(cells, F.lit(tag_col) if isinstance(tag_col, int) else tag_col), F.lit(""))
     return (F.size(filled) == 0) | ((F.size(filled) == 1) & (tag != "") & (F.length(tag) <= 2)) | F.forall(
         filled, lambda c: (F.length(c) <= 1) & ~c.rlike(r"[\p{L}\p{N}]"))
 
@@ -289,12 +289,19 @@ def ruled_grid(headers: DataFrame, rulings: DataFrame, keys: Sequence[str], tol:
     g = cols.join(ys, keys)
     g = g.withColumn("header_bottom", F.array_min(F.filter("ys", lambda y: y >= F.col("hy1") - 2))).withColumn(
         "header_top", F.coalesce(F.array_max(F.filter("ys", lambda y: y <= F.col("hy0") + 2)), F.col("hy0") - 2))
-    g = g.withColumn("_below", F.filter("ys", lambda y: y >= F.col("header_bottom") - 0.5)).filter(F.size("_below") >= 3)
-    gaps = F.transform(F.slice("_below", F.lit(2), F.size("_below")), lambda y, i: y - F.get("_below", i))
-    g = g.withColumn("_gaps", gaps).withColumn("_usual", F.get(F.array_sort("_gaps"), F.floor(F.size("_gaps") / 2).cast("int")))
-    stop = F.array_position(F.transform("_gaps", lambda d: d > F.col("_usual") * 3), True)
-    g = g.withColumn("row_bounds", F.when(stop == 0, F.col("_below")).otherwise(F.slice("_below", 1, stop.cast("int")))).filter(F.size("row_bounds") >= 3)
-    return g.select(*keys, "left", "right", "header_top", "header_bottom", "bounds", "row_bounds", "tag_x")
+    # Each step is bound to a name once: a filter on the result would otherwise write the whole expression out many times over.
+    below = F.filter("ys", lambda y: y >= F.col("header_bottom") - 0.5)
+    gaps = lambda b: F.transform(F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))), lambda y, i: y - F.get(b, i))
+    usual = lambda d: F.get(F.array_sort(d), F.floor(F.size(d) / 2).cast("int"))
+    stop = lambda d: let(usual(d), lambda u: F.array_position(F.transform(d, lambda x: x > u * 3), True))
+    kept = lambda b: let(let(gaps(b), stop), lambda at: F.when(at == 0, b).otherwise(F.slice(b, 1, at.cast("int"))))
+    g = cut(g.withColumn("row_bounds", let(below, lambda b: F.when(F.size(b) >= 3, kept(b)))))
+    return g.filter(F.size("row_bounds") >= 3).select(*keys, "left", "right", "header_top", "header_bottom", "bounds", "row_bounds", "tag_x")
+
+
+def let(value, fn):
+    """``fn`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def trim_to_tagged(grid: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -346,8 +353,9 @@ def aligned_grid(items: DataFrame, seeds: DataFrame, keys: Sequence[str], on_row
     rows = cut(door.join(run, keys).filter(F.col("cy").between(F.col("top"), F.col("bottom"))).select(*keys, "cy", "top", "bottom", "pitch").distinct())
     band = flat.join(run, keys).filter(F.col("cy").between(F.col("top") - F.col("pitch") / 2, F.col("bottom") + F.col("pitch") / 2))
     near = rows.select(*keys, F.col("cy").alias("ry")).withColumn("_g", F.explode(F.sequence(F.floor((F.col("ry") - on_row) / 8), F.floor((F.col("ry") + on_row) / 8))))
+    band = cut(band.select(*keys, "x0", "x1", "cx", "cy", "text"))  # all of the body and what stands on its rows are read three times each
     hit = band.withColumn("_g", F.floor(F.col("cy") / 8)).join(near, [*keys, "_g"]).filter(F.abs(F.col("ry") - F.col("cy")) <= on_row)
-    on = hit.select(*keys, "x0", "x1", "cx", "cy", "text").distinct()
+    on = cut(hit.select(*keys, "x0", "x1", "cx", "cy", "text").distinct())
     stray = run.select(*keys, F.greatest(F.lit(1), F.floor(F.col("rows") / 25)).alias("stray"))
     spans = cut(seq.histogram_spans(on, keys, "x0", "x1", stray, 512.0).join(run.select(*keys, "rows"), keys))
     in_span = lambda df, pad: df.join(spans.select(*keys, "lo", "hi"), keys).filter((F.col("x1") > F.col("lo")) & (F.col("x0") < F.col("hi")))
@@ -361,12 +369,13 @@ def aligned_grid(items: DataFrame, seeds: DataFrame, keys: Sequence[str], on_row
     gut = F.array_sort(F.transform(F.slice("c", F.lit(2), F.size("c")), lambda x, i: x.lo - F.get("c", i).hi))
     t = t.withColumn("_wide", F.greatest(F.lit(40.0), F.coalesce(F.get(gut, F.floor(F.size(gut) / 2).cast("int")), F.lit(40)).cast("double") * 3))
     home = F.array_position(F.transform("c", lambda x: F.col("seed_x").between(x.lo - 1, x.hi + 1)), True)
-    t = t.withColumn("_home", home.cast("int")).filter("_home > 0")
+    t = cut(t.withColumn("_home", home.cast("int"))).filter("_home > 0")
     stops = F.transform("c", lambda x, i: ~x.belongs | (F.when(i < F.col("_home") - 1, F.get("c", i + 1).lo - x.hi).otherwise(x.lo - F.get("c", i - 1).hi).cast("double") > F.col("_wide")) & x.starts)
     t = t.withColumn("_stop", F.transform(stops, lambda b: F.coalesce(b, F.lit(False))))
     first = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size("c")), lambda i: (i < F.col("_home")) & F.get("_stop", i - 1))), F.lit(0)) + 1
     last = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.size("c")), lambda i: (i > F.col("_home")) & F.get("_stop", i - 1))), F.size("c") + 1) - 1
-    t = t.withColumn("_first", first).withColumn("_last", last).withColumn("spans", F.slice("c", F.col("_first"), F.col("_last") - F.col("_first") + 1)).filter(F.size("spans") >= 4)
+    t = t.withColumn("_first", first).withColumn("_last", last).withColumn("spans", F.slice("c", F.col("_first"), F.col("_last") - F.col("_first") + 1))
+    t = cut(t.drop("c", "_stop")).filter(F.size("spans") >= 4)
     mid = F.transform(F.slice("spans", F.lit(2), F.size("spans")), lambda x, i: (x.lo + F.get("spans", i).hi) / 2)
     t = t.withColumn("bounds", F.concat(F.array(F.get("spans", F.lit(0)).lo - 2.0), mid, F.array(F.element_at("spans", -1).hi + 2.0)))
     return t.join(run.drop("rows"), keys).select(*keys, "bounds", "rows", "top", "bottom", "pitch")
@@ -478,54 +487,11 @@ def body_top(lines: DataFrame, values: DataFrame, keys: Sequence[str], share: fl
     return lines.join(took, [*keys, "line"], "left_semi").groupBy(*keys).agg((F.min("y0") - 1.0).alias("body_top"), F.countDistinct("line").alias("lines"))
 
 
-def extract_rows(cell_rows: DataFrame, headers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Door rows from a table's cells: headings mapped, a repeated header and noise dropped, bands carried down as
-    levels, metric sizes written in feet, tags cleaned, and unmapped columns kept in ``extra``.
-
-    ``cell_rows(keys, row, col, text)``, ``headers(keys, col, header)``.
-    """
-    from mullion import schemas
-    from mullion.functions import sizes
-    from mullion.operators import sequence as seq
-
-    keys = list(keys)
-    h = headers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", "header"))).alias("_h")).select(*keys, F.col("_h.col").alias("cols"), F.col("_h.header").alias("headers"))
-    m = map_headers(h, keys)
-    cut_m = cut(m)
-    w = cell_rows.join(cut_m, keys)
-    at = F.array_position("cols", F.col("col")).cast("int") - 1
-    w = w.withColumn("field", F.get("fields", at)).withColumn("header", F.get("headers", at))
-    row = w.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_m"), F.first("cols").alias("cols"), F.first("headers").alias("headers"), F.first("fields").alias("fields"))
-    line = row.withColumn("cells", F.transform("cols", lambda c: F.coalesce(F.element_at("_m", c), F.lit("")))).drop("_m")
-    first = line.groupBy(*keys).agg(F.min("row").alias("_first"))
-    line = line.join(first, keys).filter(~((F.col("row") == F.col("_first")) & looks_like_header(F.col("cells"), F.col("headers")))).drop("_first")
-    line = cut(line.withColumn("_band", is_band(F.col("cells"))))
-    tag_at = F.greatest(F.array_position("fields", "door_tag").cast("int") - 1, F.lit(0))
-    label = F.when(F.col("_band"), F.get(F.filter("cells", lambda c: F.trim(c) != ""), F.lit(0)))
-    line = seq.running(line, keys, F.floor(F.col("row") / 256), ["row"], {"level": ("last", label)}).filter("NOT _band").withColumn("level", F.coalesce("level", F.lit("")))
-    line = line.filter((F.size(F.filter("cells", lambda c: c != "")) > 0) & ~F.forall(F.filter("cells", lambda c: c != ""), lambda c: (F.length(c) <= 1) & ~c.rlike(r"[\p{L}\p{N}]")))
-    long = line.select(*keys, "row", F.posexplode(F.arrays_zip("fields", "cells")).alias("col", "z")).select(*keys, "row", "col", F.col("z.fields").alias("field"), F.col("z.cells").alias("value"))
-    metric = metric_columns(long, keys).groupBy(*keys).agg(F.collect_set("col").alias("_metric"))
-    line = line.join(metric, keys, "left").withColumn("_metric", F.coalesce("_metric", F.array().cast("array<int>")))
-    line = line.withColumn("cells", F.transform("cells", lambda c, i: F.when(F.array_contains("_metric", i), F.coalesce(sizes.to_feet_inches(c), c)).otherwise(c)))
-    cell = lambda f: F.coalesce(F.get("cells", F.array_position("fields", f).cast("int") - 1), F.lit(""))
-    has = lambda f: F.array_contains("fields", f)
-    out = line.withColumn("_tag", F.when(has("door_tag"), text.join_split_mark(cell("door_tag"))).otherwise(F.lit(""))).filter(~is_heading_row(F.col("_tag")))
-    out = out.withColumn("_t", text.run_on_tag(F.col("_tag")))
-    value = {f: F.when(has(f), cell(f)).otherwise(F.lit("")) for f in schemas.CANONICAL_FIELDS}
-    value["door_tag"] = F.col("_t.tag")
-    value["from_space"] = F.coalesce(F.nullif(value["from_space"], F.lit("")), F.col("_t.room"))
-    for f in ("door_width", "door_height"):
-        value[f] = F.coalesce(sizes.bare_mm(value[f]), value[f])
-    extra = F.map_from_entries(F.filter(F.transform(F.arrays_zip("headers", "fields", "cells"), lambda z, i: F.struct(
-        F.when(z.fields == "", text.extra_key(z.headers, i)).alias("key"), z.cells.alias("value"))), lambda e: e.key.isNotNull()))
-    return out.select(*keys, "row", *[v.alias(f) for f, v in value.items()], "level", extra.alias("extra"), F.size(F.filter("fields", lambda f: f != "")).alias("mapped"), "headers", "fields")
-
-
 def judge(rows: DataFrame, titles: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Verdict per table from weighed clues: found at six points, unsure at three, else rejected; with its reasons.
 
-    ``rows`` are extracted rows, ``titles(keys, title, index_level)``.
+    ``rows`` are extracted rows, ``titles(keys, title, index_level)``. A number column found by its values alone
+    (``tag_guessed`` on the rows) counts against the table.
     """
     from mullion.functions import sizes
 
@@ -543,7 +509,8 @@ def judge(rows: DataFrame, titles: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ev = tag_evidence(rows, keys)
     n = rows.groupBy(*keys).agg(*[F.count(F.when(means(F.col(f)), 1)).alias(f"_n_{f}") for f in door], F.count(F.when(size(F.col("door_width")) | size(F.col("door_height")), 1)).alias("_sized"),
-                                F.first("headers").alias("headers"), F.first("fields").alias("fields"))
+                                F.first("headers").alias("headers"), F.first("fields").alias("fields"),
+                                (F.max("tag_guessed") if "tag_guessed" in rows.columns else F.lit(False)).alias("_guessed"))
     t = ev.join(n, keys).join(titles, keys, "left").withColumn("title", F.upper(F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", " "))))
     headed = F.exists("headers", lambda h: text.contains_any(F.upper(h), text.vocab.SHEET_DOOR_WORDS))
     cap = text.contains_any(F.col("title"), text.vocab.SHEET_DOOR_WORDS)
@@ -554,13 +521,13 @@ def judge(rows: DataFrame, titles: DataFrame, keys: Sequence[str]) -> DataFrame:
     foreign = F.exists("headers", text.names_another_trade)
     clues = [
         (F.when(F.col("_headed"), 2), "column headings name a door"),
-        (F.when(F.col("index_level").isNotNull() & ~F.col("_other"), F.when(F.col("index_level") == "named", 3).otherwise(1)), "sheet index points here"),
+        (F.when(F.col("index_level").isNotNull() & ~F.col("_other"), F.when(F.col("index_level") == "named", 3).otherwise(1)), "listed in the index"),
         (F.when(F.col("_cap"), 3).when(F.col("_other"), -4), "caption"),
         (F.when(described > 0, F.least(described, F.lit(5))).otherwise(-2), "columns that describe a door"),
-        (F.when((F.col("_sized") * 2 >= F.col("rows")) & ~F.col("_other"), 2), "rows carry a door size"),
-        (F.when(F.array_contains("fields", "door_tag"), 1).otherwise(-2), "door number column"),
+        (F.when((F.col("_sized") * 2 >= F.col("rows")) & ~F.col("_other"), 2), "sizes a door can have"),
+        (F.when(F.array_contains("fields", "door_tag"), F.when(F.col("_guessed"), -1).otherwise(1)).otherwise(-2), "door number column"),
         (F.when(F.col("names_doors"), 1).when((F.col("tagged") >= 2) & (F.col("distinct_tags") * 2 >= F.col("tagged")), 0).otherwise(-2), "door numbers"),
-        (F.when(foreign, -4), "columns only another trade prints"),
+        (F.when(foreign, -4), "columns of another trade"),
     ]
     score = sum([F.coalesce(c, F.lit(0)) for c, _ in clues])
     why = F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat(c.cast("string"), F.lit(" " + w))) for c, w in clues]))
