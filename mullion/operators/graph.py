@@ -17,20 +17,41 @@ from mullion.runtime import cut, settled
 def first_fit(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Ids kept when nodes are taken best first and one that conflicts with a kept one is dropped.
 
-    ``nodes(id)``; ``conflicts(id, rival)`` lists, per node, the better-placed nodes it clashes with.
+    ``nodes(id)``; ``conflicts(id, rival)`` lists, per node, the better-placed nodes it clashes with. A node stands for "no
+    rival is kept", one literal per rival. A node with a single literal says the same as, or the opposite of, another node, so
+    chains of such nodes are followed by pointer doubling, and literals about them become literals about where the chain leads.
+    Literals that agree fall together, two that differ settle their node. A chain is so settled in the logarithm of its length,
+    and every round also settles all that the plain order settles next. A literal about nothing (null) is a settled node.
     """
-    nodes, edges = cut(nodes.select("id")), cut(conflicts.select("id", "rival").distinct())
-    kept = []
-    while not edges.isEmpty():
-        free = cut(nodes.join(edges.select("id").distinct(), "id", "left_anti"))
-        kept.append(free)
-        lost = cut(edges.join(free.withColumnRenamed("id", "rival"), "rival", "left_semi").select("id").distinct())
-        nodes = cut(nodes.join(free, "id", "left_anti").join(lost, "id", "left_anti"))
-        edges = cut(edges.join(lost, "id", "left_anti").join(lost.withColumnRenamed("id", "rival"), "rival", "left_anti"))
-    out = nodes
-    for k in kept:
-        out = out.unionByName(k)
-    return out
+    nodes = nodes.select("id").distinct()
+    rivals = conflicts.select("id", F.col("rival").alias("anchor")).distinct()
+    rivals = rivals.join(nodes.withColumnRenamed("id", "anchor"), "anchor", "left_semi")
+    literals = nodes.join(rivals, "id", "left").select("id", "anchor", F.when(F.col("anchor").isNull(), 1).otherwise(0).alias("sign"))
+
+    def follow(df: DataFrame, to: DataFrame) -> DataFrame:
+        """Literals about nodes that ``to(id, anchor, sign)`` explains, in terms of what explains them."""
+        names = to.select(F.col("id").alias("anchor"), F.col("anchor").alias("_to"), F.col("sign").alias("_sign"))
+        j = df.join(names, "anchor", "left")
+        told = F.col("_sign").isNotNull()
+        return j.select("id", F.when(told, F.col("_to")).otherwise(F.col("anchor")).alias("anchor"),
+                        F.when(told, (F.col("sign") == F.col("_sign")).cast("int")).otherwise(F.col("sign")).alias("sign"))
+
+    def merged(df: DataFrame) -> DataFrame:
+        per = df.groupBy("id", "anchor").agg(F.min("sign").alias("sign"), F.max("sign").alias("_most"))
+        state = per.groupBy("id").agg(F.max(F.when(F.col("anchor").isNull(), F.col("sign") == 0).otherwise(F.col("sign") != F.col("_most"))).alias("_lost"), F.count("anchor").alias("_open"))
+        stays = per.filter("anchor IS NOT NULL").join(state.filter("NOT _lost"), "id", "left_semi").select("id", "anchor", "sign")
+        done = state.filter("_lost OR _open = 0").select("id", F.lit(None).cast(per.schema["anchor"].dataType).alias("anchor"), F.when(F.col("_lost"), 0).otherwise(1).alias("sign"))
+        return stays.unionByName(done)
+
+    while True:
+        literals = cut(literals)
+        size, still = literals.agg(F.count(F.lit(1)), F.count("anchor")).first()
+        literals = literals.coalesce(size // 200_000 + 1)  # rounds over a small frame stay few tasks
+        if not still:
+            return literals.filter("sign = 1").select("id")
+        alone = literals.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("anchor").alias("anchor"), F.first("sign").alias("sign")).filter("_n = 1").drop("_n")
+        twice = follow(alone, alone)
+        literals = merged(follow(literals, follow(twice, twice)))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -112,3 +112,30 @@ def test_quote(spark, model, finish, size, status, price):
     item = spark.createDataFrame([("x", "M", model, finish, size)], "product string, manufacturer string, model string, finish string, size string")
     got = prices.quote(item, book).first()
     assert (got.status, got.list_price) == (status, price)
+
+
+def test_first_fit_follows_chains_by_doubling(spark, monkeypatch):
+    from mullion.operators import graph
+
+    rnd = random.Random(3)
+    cases = {
+        "chain": (1000, [(i, i - 1) for i in range(1, 1000)]),
+        "two rivals each": (40, [(i, i - k) for i in range(40) for k in (1, 2) if i >= k]),
+        "star": (300, [(i, 0) for i in range(1, 300)]),
+        "random": (1500, [(i, rnd.randrange(i)) for i in range(1, 1500) for _ in range(rnd.randrange(4))]),
+        "no conflict": (5, []),
+    }
+    rounds, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or write(df))
+    for name, (n, conflicts) in cases.items():
+        rounds.clear()
+        got = {r.id for r in graph.first_fit(spark.range(n), spark.createDataFrame(conflicts, "id long, rival long")).collect()}
+        kept, rivals = set(), {}
+        for a, b in conflicts:
+            rivals.setdefault(a, []).append(b)
+        for i in range(n):
+            if not any(r in kept for r in rivals.get(i, [])):
+                kept.add(i)
+        assert got == kept, name
+        if name == "chain":
+            assert len(rounds) <= 7
