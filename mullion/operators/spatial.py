@@ -30,6 +30,21 @@ def points_near(points: DataFrame, others: DataFrame, keys: Sequence[str], reach
             .filter((F.abs(F.col(at[0]) - F.col(other[0])) <= reach_x) & (F.abs(F.col(at[1]) - F.col(other[1])) <= ry)))
 
 
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str) -> DataFrame:
+    """(point, interval) pairs with lo <= at <= hi on the same keys.
+
+    Cells are as wide as the interval: one of length 2^l to 2^(l+1) is listed in the two or three cells of level l + 1 it
+    touches, a point in one cell of each level its key has. A long interval is so listed no oftener than a short one.
+    """
+    level = F.floor(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(1.0)))).cast("int") + 1
+    b = intervals.filter(F.col(hi) >= F.col(lo)).withColumn("_lv", level)
+    size = F.pow(F.lit(2.0), F.col("_lv"))
+    levels = b.select(*keys, "_lv").distinct()
+    b = b.withColumn("_gx", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))))
+    a = points.join(levels, list(keys)).withColumn("_gx", F.floor(F.col(at) / size))
+    return a.join(b, [*keys, "_lv", "_gx"]).drop("_lv", "_gx").filter(F.col(at).between(F.col(lo), F.col(hi)))
+
+
 def points_in_reach_of_boxes(points: DataFrame, boxes: DataFrame, keys: Sequence[str], reach: float, cell: float,
                              at: tuple[str, str] = ("px", "py")) -> DataFrame:
     """(point, box) pairs whose gap, zero inside the box, is at most ``reach``; adds ``gap``."""

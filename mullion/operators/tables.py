@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from mullion.functions import text
+from mullion.operators.spatial import points_in_intervals
 from mullion.runtime import cut, small
 
 
@@ -358,9 +359,11 @@ def aligned_grid(items: DataFrame, seeds: DataFrame, keys: Sequence[str], on_row
     on = cut(hit.select(*keys, "x0", "x1", "cx", "cy", "text").distinct())
     stray = run.select(*keys, F.greatest(F.lit(1), F.floor(F.col("rows") / 25)).alias("stray"))
     spans = cut(seq.histogram_spans(on, keys, "x0", "x1", stray, 512.0).join(run.select(*keys, "rows"), keys))
-    in_span = lambda df, pad: df.join(spans.select(*keys, "lo", "hi"), keys).filter((F.col("x1") > F.col("lo")) & (F.col("x0") < F.col("hi")))
-    held = in_span(band, 0).groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("all"))
-    good = in_span(on, 0).groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("aligned"), F.countDistinct("text").alias("kinds"), F.min(text.is_tag(F.col("text"))).alias("tags"))
+    # A table has few spans (its columns), so they ride along as one list and no span meets an item it does not cross.
+    columns = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    in_span = lambda df: df.join(columns, keys).withColumn("_s", F.explode(F.filter("_spans", lambda s: (F.col("x1") > s.lo) & (F.col("x0") < s.hi)))).withColumn("lo", F.col("_s.lo"))
+    held = in_span(band).groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("all"))
+    good = in_span(on).groupBy(*keys, "lo").agg(F.count(F.lit(1)).alias("aligned"), F.countDistinct("text").alias("kinds"), F.min(text.is_tag(F.col("text"))).alias("tags"))
     s = spans.join(held, [*keys, "lo"], "left").join(good, [*keys, "lo"], "left").join(seeds.select(*keys, "seed_x"), keys)
     s = s.withColumn("belongs", F.coalesce(F.col("aligned") >= F.col("all") * 0.6, F.lit(False))).withColumn(
         "starts", F.coalesce((F.col("aligned") >= F.col("rows") * 0.8) & F.col("tags") & (F.col("kinds") >= F.col("aligned") * 0.9), F.lit(False)))
@@ -415,7 +418,9 @@ def header_texts(items: DataFrame, grid: DataFrame, keys: Sequence[str], rulings
         ident = [*keys, "x0", "y0", "x1", "y1", "text", "horizontal"]
         v = rulings.filter("axis = 'v'").select(*page, "pos", "start", "end")
         tall = F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
-        c = band.join(v, page).filter(F.least("end", "y1") - F.greatest("start", "y0") >= tall * 0.45)
+        # An overlap of 45 % of a span's height holds its 45 % or its 55 % mark, so only rules at one of the two are looked at.
+        marks = band.withColumn("mark", F.explode(F.array(*[F.col("y0") + (F.col("y1") - F.col("y0")) * share for share in (0.45, 0.55)])))
+        c = points_in_intervals(marks, v, page, "mark", "start", "end").filter(F.least("end", "y1") - F.greatest("start", "y0") >= tall * 0.45)
         edge = c.groupBy(*ident).agg(F.max(F.when(F.col("pos") <= F.col("x0") + 1, F.col("pos"))).alias("l"), F.min(F.when(F.col("pos") >= F.col("x1") - 1, F.col("pos"))).alias("r"))
         b = band.join(edge, ident, "left")
         at = F.sequence(F.lit(0), F.size("bounds") - 2)
