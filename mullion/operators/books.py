@@ -200,7 +200,7 @@ def merge_guides(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return families, notes.select("book", "body", F.col("at._o").alias("load"), F.col("at.pos").alias("pos"))
 
 
-def plan_calls(found: DataFrame, max_pages: int = 12, max_products: int = 10) -> DataFrame:
+def plan_calls(found: DataFrame, max_pages: int = 4, max_products: int = 15) -> DataFrame:
     """Read batches: a product joins the first batch sharing a page that stays within both caps.
 
     Products without a common page never meet, so each maker's product-page graph is cut into its

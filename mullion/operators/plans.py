@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from mullion.functions import text
-from mullion.operators.spatial import as_other, boxes_overlapping, hypot, points_near
+from mullion.operators.spatial import as_other, boxes_overlapping, hypot, points_near, points_within_own_reach
 from mullion.runtime import small
 
 # Fixed value: what a sheet number looks like.
@@ -69,7 +69,7 @@ def join_stacked(items: DataFrame, tags: DataFrame, keys: Sequence[str]) -> Data
 
     Number and letter must each be the other's nearest candidate. Adds ``merged``.
     """
-    keys, tall = list(keys), 200.0
+    keys = list(keys)
     cols = ["x0", "y0", "x1", "y1", "text", "size"]
     spot = items.select(*keys, *cols, F.struct(*cols).alias("me"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     letters = spot.filter("text RLIKE '^[A-Z]{1,2}$'").select(*keys, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("me").alias("letter"))
@@ -77,7 +77,8 @@ def join_stacked(items: DataFrame, tags: DataFrame, keys: Sequence[str]) -> Data
     height = F.greatest(F.col("number.size"), F.col("number.y1") - F.col("number.y0"), F.lit(1e-6))
     width = F.greatest(F.col("number.x1") - F.col("number.x0"), height)
     drop = F.col("oy") - F.col("cy")
-    pairs = points_near(numbers, letters, keys, tall, tall / 2).filter(
+    # A letter stands at most 1.7 heights below its number and 0.6 widths beside it.
+    pairs = points_within_own_reach(numbers, letters, keys, F.greatest(height * 1.7, width * 0.6)).filter(
         (drop > 0) & (drop <= height * 1.7) & (F.abs(F.col("ox") - F.col("cx")) <= width * 0.6)
         & (F.abs(F.col("letter.size") - F.col("number.size")) <= F.col("number.size") * 0.25)).withColumn("drop", drop)
     known = pairs.withColumn("tag", F.concat("number.text", "letter.text")).join(tags.select("tag").distinct(), "tag", "left_semi")

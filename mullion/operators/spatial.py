@@ -30,6 +30,23 @@ def points_near(points: DataFrame, others: DataFrame, keys: Sequence[str], reach
             .filter((F.abs(F.col(at[0]) - F.col(other[0])) <= reach_x) & (F.abs(F.col(at[1]) - F.col(other[1])) <= ry)))
 
 
+def points_within_own_reach(points: DataFrame, others: DataFrame, keys: Sequence[str], reach: Column,
+                            at: tuple[str, str] = ("cx", "cy"), other: tuple[str, str] = ("ox", "oy")) -> DataFrame:
+    """Pairs with |dx| and |dy| up to the point's own ``reach`` on the same keys.
+
+    A point is listed in the cells around it on the level its reach calls for (cells of 2^l, at most three by three),
+    an other in one cell of every level its key has.
+    """
+    a = points.withColumn("_r", reach).withColumn("_lv", F.ceil(F.log2(F.greatest(F.col("_r"), F.lit(1.0)))).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("_lv"))
+    levels = a.select(*keys, "_lv").distinct()
+    a = (a.withColumn("_gx", F.explode(_span(F.col(at[0]) - F.col("_r"), F.col(at[0]) + F.col("_r"), size)))
+         .withColumn("_gy", F.explode(_span(F.col(at[1]) - F.col("_r"), F.col(at[1]) + F.col("_r"), size))))
+    b = others.join(levels, list(keys)).withColumn("_gx", _cell(F.col(other[0]), size)).withColumn("_gy", _cell(F.col(other[1]), size))
+    near = (F.abs(F.col(at[0]) - F.col(other[0])) <= F.col("_r")) & (F.abs(F.col(at[1]) - F.col(other[1])) <= F.col("_r"))
+    return a.join(b, [*keys, "_lv", "_gx", "_gy"]).filter(near).drop("_lv", "_gx", "_gy", "_r")
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str) -> DataFrame:
     """(point, interval) pairs with lo <= at <= hi on the same keys.
 

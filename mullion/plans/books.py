@@ -162,10 +162,20 @@ def u8(t):
     return fam.select("book", F.lit("family").alias("kind"), "name", "body").unionByName(notes.select("book", F.lit("note").alias("kind"), F.col("load").cast("string").alias("name"), "body"))
 
 
-@query("U7")
+@query("U7", """
+WITH RECURSIVE p AS (SELECT manufacturer AS maker, model AS product, partkey % 50 + 1 AS page, min(partkey) AS pos FROM L_items GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY maker ORDER BY pos, product) AS i FROM (SELECT maker, product, min(pos) AS pos, list(DISTINCT page) AS pages FROM p GROUP BY 1, 2)),
+f AS (SELECT maker, CAST(0 AS BIGINT) AS i, [{'pages': [CAST(-1 AS BIGINT)], 'n': CAST(99 AS BIGINT), 'head': ''}] AS b, '' AS product, CAST(0 AS BIGINT) AS h FROM (SELECT DISTINCT maker FROM o)
+  UNION ALL SELECT maker, i, CASE WHEN h IS NULL THEN list_append(b, {'pages': pages, 'n': CAST(1 AS BIGINT), 'head': product})
+      ELSE list_transform(b, lambda x, j: CASE WHEN j = h THEN {'pages': list_distinct(list_concat(x.pages, pages)), 'n': x.n + 1, 'head': x.head} ELSE x END) END, product, coalesce(h, len(b) + 1)
+  FROM (SELECT f.maker, o.i, f.b, o.product, o.pages, CAST(list_position(list_transform(f.b, lambda x: len(list_intersect(x.pages, o.pages)) > 0 AND x.n < 15 AND len(list_distinct(list_concat(x.pages, o.pages))) <= 4), true) AS BIGINT) AS h
+        FROM f JOIN o ON o.maker = f.maker AND o.i = f.i + 1))
+SELECT maker, product, b[h].head AS head FROM f WHERE i > 0""")
 def u7(t):
     found = t.L_items.selectExpr("manufacturer AS maker", "model AS product", "partkey % 50 + 1 AS page", "partkey AS pos").groupBy("maker", "product", "page").agg(F.min("pos").alias("pos"))
-    return bk.plan_calls(found).select("maker", "product", "piece", "batch")
+    calls = bk.plan_calls(found).join(found.groupBy("maker", "product").agg(F.min("pos").alias("pos")), ["maker", "product"])
+    heads = calls.groupBy("maker", "piece", "batch").agg(F.min_by("product", F.struct("pos", "product")).alias("head"))
+    return calls.join(heads, ["maker", "piece", "batch"]).select("maker", "product", "head")
 
 
 _LAY = """SELECT pdf_page, id, ['626', '630', '689'][CAST(j + 1 AS INT)] AS finish, list_price + j AS list_price FROM L_price, (SELECT unnest([0, 1, 2]) AS j) WHERE NOT (j = 2 AND id % 4 = 0)"""

@@ -323,12 +323,12 @@ def o2(t):
 
 
 @query("J36", """
-WITH c AS (SELECT DISTINCT manufacturer, model, upper(string_split(model, ' ')[2]) AS cand FROM L_items), b AS (SELECT DISTINCT 'Brand#' || (pdf_page % 25 + 1) AS maker, upper(string_split(model, ' ')[2]) AS code FROM L_price WHERE id % 5 = 0)
+WITH c AS (SELECT DISTINCT manufacturer, model, upper(string_split(model, ' ')[2]) AS cand FROM L_items), b AS (SELECT DISTINCT 'Brand#' || (pdf_page % 25 + 1) AS maker, upper(string_split(model, ' ')[2]) AS code FROM L_price)
 SELECT manufacturer, count(*) AS models, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.maker = c.manufacturer AND b.code = c.cand)) AS printed,
   count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.maker <> c.manufacturer AND b.code = c.cand)) AS elsewhere FROM c GROUP BY manufacturer""")
 def j36(t):
     items = t.L_items.select("manufacturer", "model").distinct()
-    book = t.L_price.filter("id % 5 = 0").selectExpr("concat('Brand#', pdf_page % 25 + 1) AS maker", "array(upper(split(model, ' ')[1])) AS models")
+    book = t.L_price.selectExpr("concat('Brand#', pdf_page % 25 + 1) AS maker", "array(upper(split(model, ' ')[1])) AS models")
     from mullion.operators import books
     return books.printed_in_maps(items, book)
 

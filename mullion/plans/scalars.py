@@ -332,9 +332,12 @@ def p13(t):
     return t.L_title.select("id", "title", text.is_floor_plan(F.col("title")).alias("floor_plan"))
 
 
+_NOT_A_PLAN = f"""{says('title', vocab.INDEX_TITLES)} OR ({_PLAN} AND NOT {_FLOOR} AND {says('title', vocab.ANOTHER_SUBJECT)})
+       OR ({says('title', vocab.OTHER_PROJECTION)} AND NOT {_PLAN}) OR ({says('title', vocab.CEILING_TITLES)} AND NOT {_FLOOR})"""
+
+
 @query("P14", f"""
-SELECT id, {says('title', vocab.INDEX_TITLES)} OR ({_PLAN} AND NOT {_FLOOR} AND {says('title', vocab.ANOTHER_SUBJECT)})
-       OR ({says('title', vocab.OTHER_PROJECTION)} AND NOT {_PLAN}) OR ({says('title', vocab.CEILING_TITLES)} AND NOT {_FLOOR}) AS not_a_plan,
+SELECT id, {_NOT_A_PLAN} AS not_a_plan,
        (title LIKE '%ENLARGED%' OR title LIKE '%ENL. PLAN%' OR title LIKE '%UNIT PLAN%') AND title NOT LIKE '%FLOOR PLAN%' AS enlargement
 FROM L_title""")
 def p14(t):
@@ -387,8 +390,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY id, heading ORDER BY i) AS nth F
 first AS (SELECT *, CASE WHEN nth = 1 THEN CASE heading {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _FIRST.items())} END
      END AS field FROM n),
 second AS (SELECT *, CASE WHEN nth = 2 THEN CASE heading {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _FRAME.items())} WHEN 'TO ROOM' THEN 'from_space' END END AS handed FROM first)
-SELECT id, i, heading, coalesce(field, CASE WHEN handed IS NOT NULL AND NOT EXISTS (
-    SELECT 1 FROM first f WHERE f.id = s.id AND f.field = s.handed) THEN handed END, '') AS field FROM second s""")
+SELECT s.id, s.i, s.heading, coalesce(s.field, CASE WHEN f.id IS NULL THEN s.handed END, '') AS field
+FROM second s LEFT JOIN (SELECT DISTINCT id, field FROM first WHERE field IS NOT NULL) f ON f.id = s.id AND f.field = s.handed""")
 def f3(t):
     rows = tables.map_headers(header_rows(t), ["id"])
     return rows.select("id", F.posexplode(F.arrays_zip("headers", "fields")).alias("i", "z")).select(

@@ -139,12 +139,13 @@ def a19(t):
     return cells.select("id", F.explode(text.header_words(F.col("h"))).alias("word")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("word")), ",").alias("words"))
 
 
-@query("A20", f"""WITH l AS ({_LONG}) SELECT document_id, count(*) FILTER (WHERE value <> '' AND value IS NOT NULL AND row_index % 3 > 0) < count(*) * 0.3 OR count(DISTINCT col) < 5 AND document_id < 0 AS thin FROM l GROUP BY 1""")
+@query("A20", f"""WITH l AS ({_LONG}), w AS (SELECT document_id, col, CASE WHEN row_index % 3 > 0 THEN value ELSE '' END AS value FROM l UNION ALL SELECT document_id, 4, '' FROM l WHERE document_id % 2 = 0 AND col = 0)
+SELECT document_id, count(*) FILTER (WHERE value <> '') < count(*) * 0.3 OR count(DISTINCT col) < 5 AS thin FROM w GROUP BY 1""")
 def a20(t):
-    cells = long_cells(t).withColumn("value", F.when(F.col("row") % 3 > 0, F.col("value")).otherwise(""))
-    # a fifth, always empty, column keeps the column test out of the way
-    n = tb.is_thin(cells, ["document_id"])
-    return n.select("document_id", (F.col("filled") < F.col("cells") * 0.3).alias("thin"))
+    cells = long_cells(t).select("document_id", "col", F.when(F.col("row") % 3 > 0, F.col("value")).otherwise("").alias("value"))
+    # Every other document has a fifth column, with nothing in it.
+    fifth = cells.filter("document_id % 2 = 0 AND col = 0").select("document_id", F.lit(4).alias("col"), F.lit("").alias("value"))
+    return tb.is_thin(cells.unionByName(fifth), ["document_id"]).select("document_id", "thin")
 
 
 @query("A35", f"""WITH l AS ({_LONG}), f AS (SELECT document_id, col, value, min(row_index) AS r FROM l WHERE value <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY document_id, col ORDER BY r, value) AS rn FROM f)
