@@ -54,6 +54,47 @@ def first_fit(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
         literals = merged(follow(literals, follow(twice, twice)))
 
 
+def widest_matching(wanted: DataFrame) -> DataFrame:
+    """(a, b) pairs, each side once, as many as there can be over the edges ``wanted(a, b, turn, liking)``.
+
+    First every ``a`` asks for the ``b`` it likes best and the one whose turn is first gets it. Then, in phases, layers of a
+    breadth-first search grow from all free ``a`` at once: a ``b`` is claimed by one tree, and what holds it is in the next layer.
+    In the first layer that reaches free ``b``, each tree that did hands its path over: every ``a`` on it moves on to the next ``b``.
+    Trees share nothing, so all paths of a phase are taken together; a search that reaches nothing ends it. A phase serves
+    every tree that can be served by a path of its length, so phases are few, and no piece of the graph meets in one task.
+    """
+    wanted = cut(wanted.select("a", "b", "turn", "liking"))
+    best = wanted.groupBy("a").agg(F.min_by(F.struct("b", "turn"), "liking").alias("w"))
+    held = cut(best.groupBy(F.col("w.b").alias("b")).agg(F.min_by("a", "w.turn").alias("a")).select("a", "b"))
+    while True:
+        turns = wanted.groupBy("a").agg(F.min("turn").alias("turn"))
+        layer = cut(turns.join(held, "a", "left_anti").select("a", F.col("a").alias("root"), "turn"))
+        trees = cut(wanted.limit(0).select("b", "a", F.col("a").alias("root"), F.lit(0).alias("level")))
+        level, reached = 0, None
+        while not layer.isEmpty():
+            level += 1
+            open_edges = wanted.select("a", "b", "liking").join(layer, "a").join(trees.select("b"), "b", "left_anti")
+            claim = open_edges.groupBy("b").agg(F.min_by(F.struct("a", "root"), F.struct("turn", "liking")).alias("c"), F.min("turn").alias("turn"))
+            new = cut(claim.join(held.withColumnRenamed("a", "holder"), "b", "left").select("b", "c.a", "c.root", "turn", "holder"))
+            trees = cut(trees.unionByName(new.select("b", "a", "root", F.lit(level).alias("level"))))
+            free = new.filter("holder IS NULL")
+            if not free.isEmpty():
+                reached = free
+                break
+            layer = cut(new.select(F.col("holder").alias("a"), "root", "turn"))
+        if reached is None:
+            return held
+        # Back along each path: the a that claimed the end gets it, and gives up its own b to the a that claimed that one.
+        step = cut(reached.groupBy("root").agg(F.min("b").alias("b")).join(trees, ["root", "b"]).select("root", "a", "b"))
+        moves = step
+        for _ in range(level - 1):
+            given = step.join(held.withColumnRenamed("b", "left"), "a").select("root", F.col("left").alias("b"))
+            step = given.join(trees, ["root", "b"]).select("root", "a", "b")
+            moves = moves.unionByName(step)
+        moves = cut(moves.select("a", "b"))
+        held = cut(held.join(moves, "a", "left_anti").unionByName(moves))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over ``edges(a, b)``.
 

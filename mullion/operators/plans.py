@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from mullion.functions import text
+from mullion.operators import graph
 from mullion.operators.spatial import as_other, boxes_overlapping, hypot, points_near, points_within_own_reach
 from mullion.runtime import small
 
@@ -182,50 +183,18 @@ def chains(segs: DataFrame, least: int = 4) -> DataFrame:
 
 
 def assign_swings(points: DataFrame, arcs: DataFrame, keys: Sequence[str], reach: float, expected: float) -> DataFrame:
-    """One arc per point, as many points served as possible; the hardest points choose first and may move others.
+    """One arc per point, as many points served as possible: (point, arc).
 
-    Points and arcs that can reach each other form small pieces of a sheet (a run of doors); each
-    piece is matched on its own by augmenting paths.
+    Points take their best arc (radius, distance, residual), the points with fewest choices first; the rest is matched by
+    ``graph.widest_matching`` for all sheets together.
     """
-    import pandas as pd
-
-    from mullion.operators import graph
-
     keys = list(keys)
     off = F.round(F.abs(F.col("radius") - expected) / expected, 2)
     gap = hypot(F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy"))
-    wanted = points_near(points, arcs, keys, reach).select(*keys, "point", "arc", off.alias("off"), gap.alias("gap"), "residual")
-    ids = wanted.select((F.col("point") * 2).alias("a"), (F.col("arc") * 2 + 1).alias("b"))
-    piece = graph.components(ids).filter("id % 2 = 0").select((F.col("id") / 2).cast("bigint").alias("point"), F.col("component").alias("piece"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["point", "off", "gap", "residual", "arc"])
-        want = {p: list(g.arc) for p, g in pdf.groupby("point", sort=True)}
-        holder: dict = {}
-
-        def claim(point, asked) -> bool:
-            """Depth first over choices; a stack of iterators, so long chains need no recursion."""
-            path = [(point, iter(want[point]), None)]
-            while path:
-                p, choices, _ = path[-1]
-                arc = next((a for a in choices if a not in asked), None)
-                if arc is None:
-                    path.pop()
-                    continue
-                asked.add(arc)
-                path[-1] = (p, choices, arc)
-                if arc not in holder:
-                    for q, _, a in path:
-                        holder[a] = q
-                    return True
-                path.append((holder[arc], iter(want[holder[arc]]), None))
-            return False
-
-        for p in sorted(want, key=lambda p: (len(want[p]), p)):
-            claim(p, set())
-        return pd.DataFrame([(q, a) for a, q in holder.items()], columns=["point", "arc"])
-
-    return wanted.join(piece, "point").groupBy("piece").applyInPandas(match, "point long, arc long")
+    wanted = points_near(points, arcs, keys, reach).select("point", "arc", F.struct(off.alias("off"), gap.alias("gap"), "residual", "arc").alias("liking"))
+    choices = wanted.groupBy("point").agg(F.count(F.lit(1)).alias("choices"))
+    ranked = wanted.join(choices, "point").select(F.col("point").alias("a"), F.col("arc").alias("b"), F.struct("choices", "point").alias("turn"), "liking")
+    return graph.widest_matching(ranked).select(F.col("a").alias("point"), F.col("b").alias("arc"))
 
 
 # Edge directions of the marks tags are drawn in.

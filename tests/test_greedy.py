@@ -139,3 +139,28 @@ def test_first_fit_follows_chains_by_doubling(spark, monkeypatch):
         assert got == kept, name
         if name == "chain":
             assert len(rounds) <= 7
+
+
+@pytest.mark.parametrize("seed, n, m, links", [(1, 60, 50, 150), (2, 80, 80, 130), (3, 30, 60, 40), (4, 1, 1, 0)])
+def test_widest_matching_is_as_large_as_can_be(spark, seed, n, m, links):
+    rnd = random.Random(seed)
+    edges = sorted({(rnd.randrange(n), rnd.randrange(m)) for _ in range(links)})
+    if seed == 3:
+        edges += [(100 + i, 200 + i) for i in range(25)] + [(100 + i, 201 + i) for i in range(25)]  # a long alternating path
+    want, holder = {}, {}
+    for a, b in edges:
+        want.setdefault(a, []).append(b)
+
+    def claim(a, asked):
+        for b in want[a]:
+            if b not in asked:
+                asked.add(b)
+                if b not in holder or claim(holder[b], asked):
+                    holder[b] = a
+                    return True
+        return False
+
+    size = sum(claim(a, set()) for a in want)
+    df = spark.createDataFrame([(a, b, a, float((a * 7 + b * 3) % 11) + b / 1000) for a, b in edges], "a long, b long, turn long, liking double")
+    got = [(r.a, r.b) for r in graph.widest_matching(df).collect()]
+    assert set(got) <= set(edges) and len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == size
