@@ -65,31 +65,4 @@ def read_finish_columns(pieces: DataFrame, keys: Sequence[str], reach: float = 1
     near = price.join(cols.select(*keys, "block", "cx").distinct(), [*keys, "block"]).withColumn("_d", F.abs(F.col("cx") - F.col("xc"))).filter(F.col("_d") <= reach)
     near = near.groupBy(*keys, "block", "line", "xc", "price_text").agg(F.min_by("cx", F.struct("_d", "cx")).alias("cx"))
     return (near.join(cols, [*keys, "block", "cx"]).join(model, [*keys, "line"])
-            .select(*keys, "model", F.lit("base").alias("kind"), F.col("fin").alias("finish"), "price_text", text.amount(F.col("price_text")).alias("list_price")))
-
-
-def read_rows(pieces: DataFrame, keys: Sequence[str], ) -> DataFrame:
-    """Price rows of tables whose lines name their model: the code left of each price, else the block's code.
-
-    ``pieces(keys, line, w, x0, x1, text)`` with line numbers. A line without a code belongs to
-    the code above until a size and finish repeat; two prices for one model, finish and size on a page
-    reject both.
-    """
-    from mullion.functions import text, vocab
-    from mullion.operators import books, prices as pr
-
-    keys = list(keys)
-    p = pieces.withColumn("kind", text.token_kind(F.col("text")))
-    priced = p.filter("kind = 'price'").select(*keys, "line").distinct()
-    p = p.join(priced, [*keys, "line"], "left_semi")
-    order = ["line", "x0", "w"]
-    p = seq.running(p, keys, F.floor(F.col("line") / 64), order, {"code": ("last", F.when(F.col("kind") == "code", F.struct("line", "text")))})
-    line = p.groupBy(*keys, "line").agg(F.min_by("text", F.when(F.col("kind") == "size", F.col("x0"))).alias("size"), F.min_by("text", F.when(F.col("kind") == "finish", F.col("x0"))).alias("finish"))
-    heads = books.price_headings(pieces, keys)
-    rows = p.filter("kind = 'price' AND code IS NOT NULL").join(line, [*keys, "line"]).join(heads, [*keys, "line", "w"])
-    rows = rows.filter(~F.col("heading").rlike(vocab.MEASURE_HEAD_RE))
-    fins = F.when(books.finish_list(F.col("heading")), F.filter(F.split("heading", r"\s*(?:/|\bor\b|,)\s*|\s+"), lambda w: w != "")).otherwise(F.array(F.coalesce("finish", F.lit(""))))
-    option = F.col("heading").rlike(vocab.OPTION_RE) & (F.size(F.split("heading", " ")) <= 4)
-    out = rows.select(*keys, "line", F.col("code.text").alias("model"), F.when(option, "option_add").otherwise("base").alias("kind"), F.explode(fins).alias("finish"),
-                      F.coalesce(F.when(text.is_size(F.col("heading")), F.col("heading")), "size", F.lit("")).alias("size"), F.col("text").alias("price_text"), text.amount(F.col("text")).alias("list_price"))
-    return pr.reject_conflicts(out, [*keys, "model", "kind", "finish", "size"]).filter("kept").drop("kept")
+            .select(*keys, "line", "xc", "model", F.lit("base").alias("kind"), F.col("fin").alias("finish"), "price_text", text.amount(F.col("price_text")).alias("list_price")))

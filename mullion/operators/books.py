@@ -124,10 +124,10 @@ def rate_pages(lines: DataFrame) -> DataFrame:
     return lines.select("book", "page").distinct().join(said, ["book", "page"], "left_semi")
 
 
-def price_headings(pieces: DataFrame, keys, cell: float = 32.0) -> DataFrame:
+def price_headings(pieces: DataFrame, keys, cell: float = 32.0, also=None) -> DataFrame:
     """Heading of each price: the nearest line above with text spanning its centre, prices' and codes' lines skipped.
 
-    ``pieces(keys, line, w, x0, x1, text)``.
+    ``pieces(keys, line, w, x0, x1, text)``; pieces for which ``also`` holds get their heading too.
     """
     keys = list(keys)
     p = pieces.withColumn("price", text.is_price(F.col("text")))
@@ -135,7 +135,7 @@ def price_headings(pieces: DataFrame, keys, cell: float = 32.0) -> DataFrame:
     over = (p.join(held, [*keys, "line"], "left_anti").select(*keys, F.col("line").alias("hl"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("text").alias("ht"))
             .withColumn("_g", F.explode(F.sequence(F.floor((F.col("hx0") - 4) / cell), F.floor((F.col("hx1") + 4) / cell)))))
     xc = (F.col("x0") + F.col("x1")) / 2
-    prices = p.filter("price").select(*keys, "line", "w", xc.alias("xc"), F.floor(xc / cell).alias("_g"))
+    prices = p.filter("price" if also is None else F.col("price") | also).select(*keys, "line", "w", xc.alias("xc"), F.floor(xc / cell).alias("_g"))
     pairs = prices.join(over, [*keys, "_g"]).filter((F.col("hl") < F.col("line")) & (F.col("hl") >= F.col("line") - 400) & F.col("xc").between(F.col("hx0") - 4, F.col("hx1") + 4))
     said = pairs.groupBy(*keys, "line", "w", "hl").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hx0", "ht"))), lambda s: s.ht), " ").alias("h"))
     codes = (text.is_code(F.col("h")) | F.col("h").rlike(r"^[0-9A-Z]{1,4}[†*]?$")) & ~finish_list(F.col("h"))

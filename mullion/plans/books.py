@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mullion.functions import text
-from mullion.operators import bookread as br, books as bk, prices as pr
+from mullion.operators import books as bk, prices as pr, pricetables as pt
 from mullion.plans.pricing import _KEY
 from mullion.registry import query
 
@@ -178,24 +178,67 @@ def u7(t):
     return calls.join(heads, ["maker", "piece", "batch"]).select("maker", "product", "head")
 
 
-_LAY = """SELECT pdf_page, id, ['626', '630', '689'][CAST(j + 1 AS INT)] AS finish, list_price + j AS list_price FROM L_price, (SELECT unnest([0, 1, 2]) AS j) WHERE NOT (j = 2 AND id % 4 = 0)"""
+_LAY = """SELECT pdf_page, id, ['626', '630', '689'][CAST(j + 1 AS INT)] AS finish, list_price + j AS list_price FROM L_price, (SELECT unnest([0, 1, 2]) AS j) WHERE pdf_page % 3 = 0 AND NOT (j = 2 AND id % 4 = 0)"""
 
 
-def laid_out(t):
+def _piece(y, x, s, width=20.0):
+    return F.struct(y.cast("double").alias("yc"), F.lit(x).cast("double").alias("x0"), F.lit(x + width).cast("double").alias("x1"), s.alias("text"))
+
+
+def _printed(rows, pieces):
+    return rows.select("pdf_page", F.explode(F.array(*pieces)).alias("p")).select("pdf_page", "p.*").filter("text IS NOT NULL")
+
+
+def _tops(rows):
+    return rows.groupBy("pdf_page").agg(F.min("y").alias("y"))
+
+
+def finish_pages(price):
     """Price rows drawn as a page: an anchor line, a line of finishes, then one line per row."""
-    row = t.L_price.selectExpr("pdf_page", "id", "CAST(100 + id * 12 AS DOUBLE) AS yc", "list_price")
-    first = row.groupBy("pdf_page").agg(F.min("yc").alias("y"))
-    piece = lambda x, s: F.struct(F.lit(x).cast("double").alias("x0"), s.alias("text"))
-    price = lambda j: F.concat(F.lit("$"), F.format_number(F.col("list_price") + j, 2))
-    body = row.select("pdf_page", "yc", F.explode(F.array(
-        piece(40, F.concat(F.lit("[98/99]"), "id")), piece(90, F.lit(".")), piece(100, F.lit("L")), piece(300, price(0)), piece(360, price(1)),
-        piece(420, F.when(F.col("id") % 4 != 0, price(2))))).alias("p")).filter("p.text IS NOT NULL")
-    head = first.select("pdf_page", F.explode(F.array(
-        F.struct((F.col("y") - 30).alias("yc"), F.lit(200.0).alias("x0"), F.lit("PRICE BASED ON FINISH").alias("text")),
-        *[F.struct((F.col("y") - 20).alias("yc"), F.lit(x).cast("double").alias("x0"), F.lit(f).alias("text")) for x, f in ((302, "626"), (362, "630"), (422, "689"))])).alias("p"))
-    return body.select("pdf_page", "yc", "p.*").unionByName(head.select("pdf_page", "p.yc", "p.x0", "p.text")).withColumn("x1", F.col("x0") + 20)
-
-
-@query("X21", f"""WITH l AS ({_LAY}) SELECT pdf_page, unnest(['98' || id || 'L', '99' || id || 'L']) AS model, finish, CAST(list_price AS DOUBLE) AS list_price FROM l""")
+    row = price.withColumn("y", 100 + F.col("id") * 12)
+    y, money = F.col("y"), lambda j: F.concat(F.lit("$"), F.format_number(F.col("list_price") + j, 2))
+    body = _printed(row, [_piece(y, 40, F.concat(F.lit("[98/99]"), "id")), _piece(y, 90, F.lit(".")), _piece(y, 100, F.lit("L")), _piece(y, 300, money(0)), _piece(y, 360, money(1)),
+                          _piece(y, 420, F.when(F.col("id") % 4 != 0, money(2)))])
+    return body.unionByName(_printed(_tops(row), [_piece(y - 30, 200, F.lit("PRICE BASED ON FINISH")), *[_piece(y - 20, x, F.lit(f)) for x, f in ((302, "626"), (362, "630"), (422, "689"))]]))
+
+
+def grid_pages(price):
+    """Each price row as a product of two sizes, each with three finishes; some blocks print two sizes, some sizes lack a finish."""
+    row = price.withColumn("y", 100 + F.col("id") * 96)
+    y, i, of = F.col("y"), F.col("id"), lambda j: F.col("list_price") + j
+    money = lambda j: of(j).cast("decimal(12,2)").cast("string")
+    lines = []
+    for block, size in enumerate(('4-1/2" x 5"', "4-1/2 x 6")):
+        at = y + 36 * block
+        for k, fin in enumerate(("LS", "US10A (US11)", "US26D")):
+            shown = F.lit(True) if (block, k) != (1, 2) else i % 4 != 0
+            lines += [_piece(at + 12 * k, 300, F.when(shown, F.lit(fin)), 30), _piece(at + 12 * k, 380, F.when(shown, money(5 * block + k)), 30)]
+        lines += [_piece(at + 12, 200, F.lit(size), 50), _piece(at, 440, F.when(i % 2 == 0, F.lit("3")))]
+    lines += [_piece(y, 40, F.concat(F.lit("BB"), "id"), 30), _piece(y, 90, F.lit("Wide Throw"), 50), _piece(y + 48 + 5, 200, F.when(i % 9 == 0, F.lit('5"')))]
+    return _printed(row, lines).unionByName(_printed(_tops(row), [_piece(y - 20, x, F.lit(h), 30) for x, h in ((40, "Description"), (200, "Size"), (300, "Finish"), (380, "List"), (440, "Box"))]))
+
+
+def row_pages(price):
+    """Each price row as a family of sizes under one heading row; some print their code beside the middle of its lines, some none."""
+    row = price.withColumn("y", 100 + F.col("id") * 72)
+    y, i = F.col("y"), F.col("id")
+    money = lambda j: (F.col("list_price") + j).cast("decimal(12,2)").cast("string")
+    line = lambda at, size, j, when=F.lit(True): [_piece(at, 120, F.when(when, F.lit(size)))] + [_piece(at, x, F.when(when, money(j + k)), 30) for k, x in enumerate((305, 362, 422))]
+    lines = [_piece(y, 40, F.concat(F.lit("AP"), "id"), 30), *line(y, '12"', 0), *line(y + 12, '18"', 5)]
+    lines += [*line(y + 24, '12"', 10, i % 3 != 1), *line(y + 36, '18"', 15, i % 3 == 0), _piece(y + 30, 40, F.when(i % 3 == 0, F.concat(F.lit("XT"), "id")), 30)]
+    return _printed(row, lines).unionByName(_printed(_tops(row), [
+        _piece(y - 20, 40, F.lit("Family"), 30), _piece(y - 20, 120, F.lit("OA Size"), 30), _piece(y - 20, 300, F.lit("605/606"), 40), _piece(y - 20, 360, F.lit("609"), 30), _piece(y - 20, 420, F.lit("List"), 30)]))
+
+
+@query("X21", f"""WITH l AS ({_LAY}), p AS (SELECT *, CAST(list_price AS DOUBLE) AS price FROM L_price),
+c AS (SELECT pdf_page, unnest(['98' || id || 'L', '99' || id || 'L']) AS model, finish, '' AS size, CAST(list_price AS DOUBLE) AS list_price FROM l),
+g AS (SELECT pdf_page, 'BB' || id AS model, ['LS', 'US10A', 'US26D'][k + 1] AS finish, ['4-1/2" x 5"', '4-1/2" x 6"'][b + 1] AS size, price + 5 * b + k AS list_price
+  FROM p, (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1, 2]) AS k) WHERE pdf_page % 3 = 1 AND NOT (b = 1 AND (id % 9 = 0 OR (k = 2 AND id % 4 = 0)))),
+n AS (SELECT id, pdf_page, price, CASE WHEN j < 2 THEN 'AP' ELSE 'XT' END || id AS model, CASE WHEN j % 2 = 0 THEN '12"' ELSE '18"' END AS size, 5 * j AS more FROM p, (SELECT unnest([0, 1, 2, 3]) AS j) WHERE pdf_page % 3 = 2 AND (j < 2 OR id % 3 = 0)),
+r AS (SELECT pdf_page, model, f.f AS finish, size, price + more + f.k AS list_price FROM n, (SELECT unnest(['605', '606', '609', '']) AS f, unnest([0, 0, 1, 2]) AS k) f)
+SELECT 'finish_columns' AS reader, * FROM c UNION ALL SELECT 'size_finish_grid', * FROM g UNION ALL SELECT 'table_rows', * FROM r""")
 def x21(t):
-    return br.read_finish_columns(laid_out(t), ["pdf_page"]).select("pdf_page", "model", "finish", F.col("list_price").cast("double").alias("list_price"))
+    drawn = [d.withColumn("book", F.lit(f"b{k}")) for k, d in enumerate(draw(t.L_price.filter(F.col("pdf_page") % 3 == k)) for k, draw in enumerate((finish_pages, grid_pages, row_pages)))]
+    registry = t.spark.createDataFrame([("b0", ["finish_columns", "table_rows"]), ("b1", ["size_finish_grid", "table_rows"]), ("b2", ["size_finish_grid", "table_rows"])], "book string, readers array<string>")
+    rows, _ = pt.read_prices(drawn[0].unionByName(drawn[1]).unionByName(drawn[2]), registry)
+    return rows.select("reader", "pdf_page", "model", "finish", "size", F.col("list_price").cast("double").alias("list_price"))
