@@ -165,10 +165,27 @@ def fit_circles(points: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("deg").alias("start_deg"), F.max("deg").alias("end_deg"))
 
 
-def accept_arcs(fits: DataFrame, expected: Column, most_residual: float = 0.08, tolerance: float = 0.45) -> DataFrame:
+def is_arc(expected: Column, most_residual: float = 0.08, tolerance: float = 0.45) -> Column:
+    """Whether a fitted chain is a door's swing: four points or more close to the circle, an eighth to three eighths of
+    a turn, and a radius near ``expected`` (null: any)."""
     span = F.col("end_deg") - F.col("start_deg")
-    return fits.filter((F.col("n") >= 4) & (F.col("residual") <= most_residual) & (F.col("radius") > 0) & span.between(45, 135)
-                       & (F.abs(F.col("radius") - expected) <= expected * tolerance))
+    sized = F.coalesce(F.abs(F.col("radius") - expected) <= expected * tolerance, F.lit(True))
+    return (F.col("n") >= 4) & (F.col("residual") <= most_residual) & (F.col("radius") > 0) & span.between(45, 135) & sized
+
+
+def accept_arcs(fits: DataFrame, expected: Column, most_residual: float = 0.08, tolerance: float = 0.45) -> DataFrame:
+    return fits.filter(is_arc(expected, most_residual, tolerance))
+
+
+def confirm(det: DataFrame, arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sightings left once those far from an opening and those drawn otherwise are dropped, with ``shown``.
+
+    ``det(keys, id, tag, shape, beside)``, ``arcs(keys, id)`` the sightings with an accepted arc. A sighting is vouched for by
+    its tag or by such an arc; the others are withheld.
+    """
+    kept = drop_wrong_shape(drop_far(det, keys), keys)
+    fitted = arcs.select(*keys, "id").distinct().withColumn("_arc", F.lit(True))
+    return kept.join(fitted, [*keys, "id"], "left").withColumn("shown", (F.coalesce("tag", F.lit("")) != "") | F.col("_arc").isNotNull()).drop("_arc")
 
 
 def drop_far(det: DataFrame, keys: Sequence[str]) -> DataFrame:

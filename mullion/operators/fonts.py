@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Fixed value: characters ordinary drawing text is made of.
 READABLE = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,-/'\"#&():;%+*="
-_CONTROL = r"[\x01-\x08\x0b\x0c\x0e-\x1f]"
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+_SPACE = r"[\t\n\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def shifts(spans: DataFrame, font: list[str]) -> DataFrame:
@@ -16,7 +17,7 @@ def shifts(spans: DataFrame, font: list[str]) -> DataFrame:
     the 95 candidate shifts meet a few hundred rows per font, not its text.
     """
     chars = (spans.select(*font, F.explode(F.split("text", "")).alias("c")).filter("c <> ''")
-             .filter(~F.col("c").isin("\t", "\n", "\r", " ", "\x85", "\xa0"))
+             .filter(~F.col("c").rlike(_SPACE))
              .groupBy(*font, "c").agg(F.count(F.lit(1)).alias("n"))
              .withColumn("u", F.ascii("c")))
     ok = [ord(c) for c in READABLE]
@@ -32,8 +33,14 @@ def shifts(spans: DataFrame, font: list[str]) -> DataFrame:
 
 
 def repair(spans: DataFrame, font: list[str]) -> DataFrame:
-    """Spans with unreadable text shifted back; readable spans are left as they came."""
-    moved = F.expr("array_join(transform(split(text, ''), c -> CASE WHEN c = '' THEN '' ELSE char(ascii(c) + shift) END), '')")
-    return (spans.join(shifts(spans, font).select(*font, "shift"), font, "left")
+    """Spans with unreadable text shifted back, every character of them; readable spans are left as they came.
+
+    A span counts as unreadable if it holds a control character and its font has a shift. Null texts and fonts stay.
+    """
+    from mullion.runtime import small
+
+    char = "decode(unhex(lpad(hex(ascii(c) + shift), 8, '0')), 'UTF-32')"
+    moved = F.expr(f"array_join(transform(filter(split(text, ''), c -> c <> ''), c -> {char}), '')")
+    return (spans.join(small(shifts(spans, font).select(*font, "shift")), font, "left")
             .withColumn("text", F.when(F.col("shift").isNotNull() & F.col("text").rlike(_CONTROL), moved).otherwise(F.col("text")))
             .drop("shift"))

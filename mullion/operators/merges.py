@@ -6,6 +6,7 @@ Nothing is edited in place; a job writes the returned frame over the partitions
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -156,14 +157,52 @@ def log_run(audit: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("detections"))
 
 
-def remove_schedules(doors: DataFrame, boxes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Doors and boxes left once tables are removed: their doors go, boxes of tags no longer scheduled go, hand-placed boxes stay."""
+class Removal(NamedTuple):
+    """What is left once tables are removed, and what is remembered of it."""
+
+    doors: DataFrame
+    boxes: DataFrame
+    schedules: DataFrame
+    removed: DataFrame  # (document_id, page, title) for the removal log: ``tables.leave_out_removed`` keeps these out of later readings
+    hand_placed: DataFrame  # (document_id, door_tag) of boxes that stay although their door is gone
+    refused: DataFrame  # (document_id, schedule_id) whose doors cannot be told apart; nothing of them is touched
+
+
+def remove_schedules(schedules: DataFrame, doors: DataFrame, boxes: DataFrame, gone: DataFrame) -> Removal:
+    """Takes tables away: their doors go, boxes of tags no longer scheduled go, hand-placed boxes stay and are named.
+
+    ``schedules(document_id, schedule_id, page, title, row_count)``, ``doors(document_id, schedule_id, door_tag, row_index,
+    source)``, ``boxes(document_id, door_tag, by_hand)``, ``gone(document_id, schedule_id)``. A door's table is the one it
+    names; where a document has several tables and all its doors name one, it is found by running row ranges, and the
+    document is refused if those do not add up. Entries of ``gone`` that name no table are ignored.
+    """
+    from mullion.operators import tables as tb
+
     keys = ["document_id", "schedule_id"]
-    left = doors.join(gone.select(*keys).distinct(), keys, "left_anti")
-    lost = (doors.join(gone.select(*keys).distinct(), keys, "left_semi").select("document_id", "door_tag").distinct()
-            .join(left.select("document_id", "door_tag").distinct(), ["document_id", "door_tag"], "left_anti"))
-    flagged = boxes.join(lost.withColumn("_lost", F.lit(True)), ["document_id", "door_tag"], "left")
-    return left, flagged.filter("_lost IS NULL OR by_hand").drop("_lost")
+    gone = gone.select(*keys).distinct().join(schedules.select(*keys).distinct(), keys, "left_semi")
+    named = F.when(F.col("source") == "schedule", F.coalesce("schedule_id", F.lit("")))
+    shape = (schedules.groupBy("document_id").agg((F.count(F.lit(1)) > 1).alias("_many"))
+             .join(doors.groupBy("document_id").agg(F.coalesce(F.min(named) == F.max(named), F.lit(True)).alias("_one")), "document_id", "left"))
+    collapsed = shape.filter("_many AND coalesce(_one, true)").select("document_id")
+    lined_up = schedules.join(collapsed, "document_id", "left_semi").select("document_id", "page", F.col("schedule_id").alias("table"), "row_count")
+    read = doors.filter("source = 'schedule'").join(collapsed, "document_id", "left_semi").select("document_id", "row_index")
+    refused = gone.join(collapsed, "document_id", "left_semi").join(tb.order_holds(lined_up, read), "document_id", "left_anti")
+    going = gone.join(refused, keys, "left_anti")
+
+    # One pass over the doors: each gets the table it counts to, by name or by order, and whether that one goes.
+    by_order = tb.doors_by_order(lined_up, read.distinct()).withColumnRenamed("table", "_ordered").withColumn("_s", F.lit("schedule"))
+    marked = doors.join(collapsed.withColumn("_c", F.lit(True)), "document_id", "left").withColumn("_s", F.col("source"))
+    marked = marked.join(by_order, ["document_id", "row_index", "_s"], "left").withColumn("_own", F.when(F.col("source") == "schedule", F.when(F.col("_c"), F.col("_ordered")).otherwise(F.col("schedule_id"))))
+    marked = marked.join(going.select("document_id", F.col("schedule_id").alias("_own"), F.lit(True).alias("_goes")), ["document_id", "_own"], "left")
+    lost = (marked.filter("coalesce(door_tag, '') <> ''").groupBy("document_id", "door_tag").agg(F.min(F.coalesce("_goes", F.lit(False))).alias("_lost")).filter("_lost"))
+    flagged = boxes.join(lost, ["document_id", "door_tag"], "left")
+    return Removal(
+        doors=marked.filter("_goes IS NULL").select(*doors.columns),
+        boxes=flagged.filter("_lost IS NULL OR by_hand").select(*boxes.columns),
+        schedules=schedules.join(going, keys, "left_anti"),
+        removed=schedules.join(going, keys, "left_semi").select("document_id", "page", F.coalesce("title", F.lit("")).alias("title")),
+        hand_placed=flagged.filter("_lost AND by_hand").select("document_id", "door_tag").distinct(),
+        refused=refused)
 
 
 def ensure(old: DataFrame, wanted: DataFrame, keys: Sequence[str], new_id: Column) -> DataFrame:

@@ -225,27 +225,30 @@ def drop_attached(rows: DataFrame, values: DataFrame, doc: Sequence[str], table:
     return t.join(all_of, doc).filter("NOT _drop OR _all").select(*keys)
 
 
+def order_holds(schedules: DataFrame, doors: DataFrame) -> DataFrame:
+    """Documents whose doors can be told apart by order: no two tables share page and row count, and the rows add up."""
+    dup = schedules.groupBy("document_id", "page", "row_count").agg(F.count(F.lit(1)).alias("_n"), F.sum("row_count").alias("_rows"))
+    tables = dup.groupBy("document_id").agg(F.max("_n").alias("_dup"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("_total"))
+    last = doors.groupBy("document_id").agg((F.max("row_index") + 1).alias("_last"))
+    return tables.join(last, "document_id").filter("_dup = 1 AND _total = _last").select("document_id")
+
+
 def doors_by_order(schedules: DataFrame, doors: DataFrame) -> DataFrame:
-    """Doors with the table they came from by running row ranges.
+    """Doors with the table they came from by running row ranges: page first, the longer table first on a page.
 
-    Refused for a document where two tables share page and row count or where the
-    totals do not meet the last row index. ``schedules(document_id, page, table, row_count)``.
+    Refused for a document where ``order_holds`` does not. ``schedules(document_id, page, table, row_count)``.
     """
-    ranged = seq_running(schedules)
-    dup = schedules.groupBy("document_id", "page", "row_count").agg(F.count(F.lit(1)).alias("_n")).groupBy("document_id").agg(F.max("_n").alias("_dup"))
-    total = schedules.groupBy("document_id").agg(F.sum("row_count").alias("_total"))
-    last = doors.groupBy("document_id").agg((F.max("row_index") + 1).alias("_rows"))
-    good = dup.join(total, "document_id").join(last, "document_id").filter("_dup = 1 AND _total = _rows").select("document_id")
     # Each table's range is listed by row index, so the match is an equi join.
-    rows = ranged.filter("row_count > 0").select("document_id", "table", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("row_count") - 1)).alias("row_index"))
-    return doors.join(good, "document_id", "left_semi").join(rows, ["document_id", "row_index"])
+    rows = seq_running(schedules).filter("row_count > 0").select("document_id", "table", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("row_count") - 1)).alias("row_index"))
+    return doors.join(order_holds(schedules, doors), "document_id", "left_semi").join(rows, ["document_id", "row_index"])
 
 
 def seq_running(schedules: DataFrame) -> DataFrame:
     from mullion.operators import sequence as seq
 
-    d = seq.running(schedules, ["document_id"], F.floor(F.col("page") / 64), ["page", "table"], {"_before": ("sum", F.col("row_count"))}, inclusive=False)
-    return d.withColumn("_start", F.col("_before").cast("bigint"))
+    d = schedules.withColumn("_longer", -F.coalesce(F.col("row_count"), F.lit(0)))
+    d = seq.running(d, ["document_id"], F.floor(F.col("page") / 64), ["page", "_longer", "table"], {"_before": ("sum", F.col("row_count"))}, inclusive=False)
+    return d.withColumn("_start", F.col("_before").cast("bigint")).drop("_longer")
 
 
 def leave_out_removed(tables: DataFrame, removed: DataFrame, doc: Sequence[str]) -> DataFrame:

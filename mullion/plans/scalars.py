@@ -208,18 +208,23 @@ def f22(t):
 
 
 @query("F23", """
-WITH moved AS (SELECT source, doc_id, translate(text, (SELECT string_agg(chr(CAST(x AS INT)), '' ORDER BY x) FROM range(32, 127) r(x)),
-                 (SELECT string_agg(chr(CAST(x - 29 AS INT)), '' ORDER BY x) FROM range(32, 127) r(x))) AS text, lang FROM documents),
-chars AS (SELECT lang, unicode(c) AS u, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS c FROM moved)
-          WHERE c <> '' AND (u BETWEEN 1 AND 8 OR u IN (11, 12) OR u BETWEEN 14 AND 31 OR NOT (u IN (9, 10, 13, 32, 133, 160))) GROUP BY ALL),
+WITH moved AS (SELECT doc_id, lang, original, array_to_string(list_transform(string_split(original, ''), lambda c: chr(CAST(unicode(c) - 29 AS INT))), '') AS text
+  FROM (SELECT doc_id, lang, regexp_replace(text, '[\\x00-\\x1f]', ' ', 'g') AS original FROM documents) WHERE original <> ''),
+chars AS (SELECT lang, unicode(c) - 29 AS u, count(*) AS n FROM (SELECT lang, unnest(string_split(original, '')) AS c FROM moved)
+          WHERE NOT (u IN (9, 10, 13, 32, 133, 160, 5760, 8232, 8233, 8239, 8287, 12288) OR u BETWEEN 8192 AND 8202) GROUP BY ALL),
 ok AS (SELECT unicode(c) AS u FROM (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,-/''"#&():;%+*=', '')) AS c)),
-share AS (SELECT lang, s, sum(n) FILTER (WHERE u + s IN (SELECT u FROM ok)) AS good, sum(n) AS total FROM chars, range(1, 96) r(s) GROUP BY ALL)
-SELECT lang, CAST(arg_max(s, coalesce(good, 0) * 1000 - s) AS BIGINT) AS shift, CAST(max(coalesce(good, 0)) AS BIGINT) AS readable, CAST(max(total) AS BIGINT) AS total
-FROM share GROUP BY lang HAVING max(good) >= 0.9 * max(total)""")
+share AS (SELECT lang, s, sum(n) FILTER (WHERE u + s IN (SELECT u FROM ok)) AS good, sum(n) AS total FROM chars, range(1, 96) r(s) GROUP BY ALL),
+f AS (SELECT lang, CAST(arg_max(s, coalesce(good, 0) * 1000 - s) AS BIGINT) AS shift, CAST(max(coalesce(good, 0)) AS BIGINT) AS readable, CAST(max(total) AS BIGINT) AS total
+FROM share GROUP BY lang HAVING max(good) >= 0.9 * max(total)),
+r AS (SELECT doc_id, m.lang, shift, readable, total, original, CASE WHEN shift IS NOT NULL AND regexp_matches(text, '[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]')
+  THEN array_to_string(list_transform(string_split(text, ''), lambda c: chr(CAST(unicode(c) + shift AS INT))), '') ELSE text END AS text FROM moved m LEFT JOIN f USING (lang))
+SELECT doc_id, lang, shift, readable, total, md5(text) AS repaired, text = original AS restored FROM r""")
 def f23(t):
-    printable = "".join(chr(c) for c in range(32, 127))
-    moved = t.documents.select("lang", F.translate("text", printable, "".join(chr(ord(c) - 29) for c in printable)).alias("text"))
-    return fonts.shifts(moved, ["lang"]).select("lang", "shift", "readable", "total")
+    # Each language is a font whose glyph numbers lie 29 below the letters they draw.
+    d = t.documents.select("doc_id", "lang", F.regexp_replace("text", r"[\x00-\x1f]", " ").alias("original")).filter("original <> ''")
+    moved = d.withColumn("text", F.expr("array_join(transform(filter(split(original, ''), c -> c <> ''), c -> decode(unhex(lpad(hex(ascii(c) - 29), 8, '0')), 'UTF-32')), '')"))
+    back = fonts.repair(moved, ["lang"]).select("doc_id", "lang", F.md5("text").alias("repaired"), (F.col("text") == F.col("original")).alias("restored"))
+    return back.join(fonts.shifts(moved, ["lang"]), "lang", "left").select("doc_id", "lang", "shift", "readable", "total", "repaired", "restored")
 
 
 @query("F24", r"""

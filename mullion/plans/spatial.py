@@ -264,15 +264,24 @@ def j34(t):
     return plans.best_arc(points, arcs, ["page"], 70.0, 25.0).select("point", "arc")
 
 
-@query("A25", """
-WITH p AS (SELECT page * 100 + vec_id % 12 AS chain, page, 50 * cos(vec_id * 0.07) + cx * 0.002 AS x, 50 * sin(vec_id * 0.07) + cy * 0.002 AS y FROM (SELECT id AS vec_id, * FROM L_box)),
+# Chains of arcs: 0.3 to 3 rad long, radius 50 to 80, points off the circle by nothing, a little or a lot.
+_ARC = """page * 100 + id % 12 AS chain, page, 50.0{d} + 10 * ((page + id % 12) % 4) AS r, (id * 0.07{d}) % (0.3{d} + 0.3{d} * ((page + id % 12) % 10)) AS a, ((id % 12) % 3) * ((id % 12) % 3) * 0.0005{d} AS e, id, cx, cy"""
+_ARCS = """p AS (SELECT chain, page, id, r * cos(a) + cx * e AS x, r * sin(a) + cy * e AS y FROM (SELECT """ + _ARC.format(d="::DOUBLE") + """ FROM L_box)),
 m AS (SELECT chain, avg(x) AS mx, avg(y) AS my FROM p GROUP BY chain), c AS (SELECT p.*, mx, my, x - mx AS u, y - my AS v FROM p JOIN m USING (chain)),
 s AS (SELECT chain, any_value(mx) AS mx, any_value(my) AS my, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu, count(*) AS n FROM c GROUP BY chain),
-f AS (SELECT chain, n, ((uuu+uvv)*vv - (vvv+vuu)*uv) / (2*(uu*vv-uv*uv)) + mx AS fx, ((vvv+vuu)*uu - (uuu+uvv)*uv) / (2*(uu*vv-uv*uv)) + my AS fy FROM s WHERE abs(2*(uu*vv-uv*uv)) >= 1e-9)
-SELECT chain, n, round(fx, 4) AS cx, round(fy, 4) AS cy, round(avg(sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy))), 4) AS radius FROM p JOIN f USING (chain) GROUP BY chain, n, fx, fy""")
+f AS (SELECT chain, n, ((uuu+uvv)*vv - (vvv+vuu)*uv) / (2*(uu*vv-uv*uv)) + mx AS fx, ((vvv+vuu)*uu - (uuu+uvv)*uv) / (2*(uu*vv-uv*uv)) + my AS fy FROM s WHERE abs(2*(uu*vv-uv*uv)) >= 1e-9),
+k AS (SELECT chain, n, fx, fy, avg(r) AS radius, stddev_pop(r) AS residual, max(g) - min(g) AS span FROM (SELECT *, sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) AS r, degrees(atan2(y-fy, x-fx)) AS g FROM p JOIN f USING (chain)) GROUP BY chain, n, fx, fy),
+fit AS (SELECT *, n >= 4 AND residual <= 0.08 AND span BETWEEN 45 AND 135 AND abs(radius - 50) <= 22.5 AS accepted FROM k)"""
+
+
+def arc_chains(t):
+    return t.L_box.selectExpr(*_ARC.format(d="D").split(", ")).selectExpr("chain", "page", "id", "r * cos(a) + cx * e AS x", "r * sin(a) + cy * e AS y")
+
+
+@query("A25", f"""WITH {_ARCS} SELECT chain, n, round(fx, 4) AS cx, round(fy, 4) AS cy, round(radius, 4) AS radius, accepted FROM fit""")
 def a25(t):
-    pts = t.L_box.selectExpr("page * 100 + id % 12 AS chain", "50 * cos(id * 0.07D) + cx * 0.002D AS x", "50 * sin(id * 0.07D) + cy * 0.002D AS y")
-    return det.fit_circles(pts, ["chain"]).select("chain", "n", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "radius")])
+    fits = det.fit_circles(arc_chains(t).select("chain", "x", "y"), ["chain"])
+    return fits.select("chain", "n", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "radius")], det.is_arc(F.lit(50.0)).alias("accepted"))
 
 
 @query("A26", """
@@ -306,16 +315,19 @@ def a17(t):
     return det.usual_shape(t.events.selectExpr("user_id AS doc", "event_id AS id", "event_type AS shape"), ["doc"])
 
 
-@query("X15", """
-WITH d AS (SELECT event_id AS id, user_id AS doc, event_type AS shape, 'T' || (event_id % 9) AS tag, value > 10 AS beside FROM events),
-b AS (SELECT DISTINCT doc, tag FROM d WHERE beside), k AS (SELECT d.* FROM d WHERE beside OR (doc, tag) NOT IN (SELECT doc, tag FROM b)),
-n AS (SELECT doc, shape, count(*) AS n, min(id) AS first FROM k GROUP BY ALL),
-u AS (SELECT doc, shape AS usual FROM n QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) = 1 AND n >= 5),
-p AS (SELECT DISTINCT k.doc, tag FROM k JOIN u ON u.doc = k.doc AND k.shape = u.usual)
-SELECT k.id, k.doc, k.tag FROM k LEFT JOIN u ON u.doc = k.doc WHERE u.usual IS NULL OR k.shape = u.usual OR (k.doc, k.tag) NOT IN (SELECT doc, tag FROM p)""")
+@query("X15", f"""
+WITH {_ARCS}, d AS (SELECT event_id AS id, user_id AS doc, event_type AS shape, CASE WHEN event_id % 9 > 0 THEN 'T' || (event_id % 9) ELSE '' END AS tag, value > 10 AS beside FROM events),
+b AS (SELECT DISTINCT doc, tag FROM d WHERE beside AND tag <> ''), q AS (SELECT d.* FROM d WHERE beside OR (doc, tag) NOT IN (SELECT doc, tag FROM b)),
+cnt AS (SELECT doc, shape, count(*) AS n, min(id) AS first FROM q GROUP BY ALL),
+u AS (SELECT doc, shape AS usual FROM cnt QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) = 1 AND n >= 5),
+w AS (SELECT DISTINCT q.doc, tag FROM q JOIN u ON u.doc = q.doc AND q.shape = u.usual WHERE tag <> '')
+SELECT q.id, q.doc, q.tag, q.tag <> '' OR q.id % 1200 IN (SELECT chain FROM fit WHERE accepted) AS shown
+FROM q LEFT JOIN u ON u.doc = q.doc WHERE u.usual IS NULL OR q.shape = u.usual OR (q.doc, q.tag) NOT IN (SELECT doc, tag FROM w)""")
 def x15(t):
-    d = t.events.selectExpr("event_id AS id", "user_id AS doc", "event_type AS shape", "concat('T', event_id % 9) AS tag", "value > 10 AS beside")
-    return det.drop_wrong_shape(det.drop_far(d, ["doc"]), ["doc"]).select("id", "doc", "tag")
+    d = t.events.selectExpr("event_id AS id", "user_id AS doc", "event_type AS shape", "IF(event_id % 9 > 0, concat('T', event_id % 9), '') AS tag", "value > 10 AS beside")
+    arcs = det.accept_arcs(det.fit_circles(arc_chains(t).select("chain", "x", "y"), ["chain"]), F.lit(50.0)).select("chain")
+    beside_arc = d.select("doc", "id", (F.col("id") % 1200).alias("chain")).join(arcs, "chain", "left_semi")
+    return det.confirm(d, beside_arc, ["doc"]).select("id", "doc", "tag", "shown")
 
 
 @query("X20", """
