@@ -272,3 +272,29 @@ def test_swapped_identity_terms_move_scores_less():
             swaps.append((np.array([0]), np.array([1])))
     gap = lambda m: abs(m.weight[0] - m.weight[1])
     assert gap(toxicity.train(rows, np.array(y), swaps, 10, fairness=20)) < 0.3 * gap(toxicity.train(rows, np.array(y), swaps, 10, fairness=0))
+
+
+LONG = "A remark, with a good many words in it, so that it weighs more. " * 5
+
+
+@pytest.mark.parametrize("body, kept", [
+    ("<p title=it's>Hello, there. A line, of words.</p><p>What's up? Not much, I say.</p>", ["Hello, there. A line, of words.", "What's up? Not much, I say."]),
+    (f"<article><h1>H</h1><p>Short, text of the article.</p></article><section><h3>3 Comments</h3>{f'<p>{LONG}</p>' * 6}</section>", ["H", "Short, text of the article."]),
+    (f"<div><h1>H</h1><p>{LINE}</p><p>{LINE}</p><div><h2>Leave a reply</h2></div><div><p>{LONG}</p></div></div>", ["H", LINE, LINE]),
+    (f"<form action=/><div><h1>H</h1><p>{LINE}</p><p>{LINE}</p></div></form>", ["H", LINE, LINE]),
+    (f"<article><p>{LINE}</p><p>{LINE}</p></article><form><p>Sign up, now. It is free, really.</p></form>", [LINE, LINE]),
+    (f"<article><p>{LINE}</p><h2>Related</h2><ul><li><a href=a>First</a></li><li><a href=b>Second</a></li></ul><p>{LINE}</p></article>", [LINE, LINE]),
+    ("<article><p>Some, text <script>if (a<b) x('</p>')</script>here, <svg><text>icon</text></svg>yes.</p></article>", ["Some, text here, yes."]),
+    (f"<article><p>{LINE}</p><h2>Discussion</h2><p>{LINE}</p><p>1 < 2, a <3 b.</p></article>", [LINE, "Discussion", LINE, "1 < 2, a <3 b."]),
+])
+def test_main_text_of_other_layouts(body, kept):
+    assert html.main_text(f"<html><body>{body}</body></html>").split("\n") == kept
+
+
+@pytest.mark.parametrize("page", ["<a '<b " * 40_000 + ">", "<a b=\"" * 40_000 + ">", "<a b='\">" * 40_000, "<!--" * 60_000, "</ " * 60_000, "<script></script " * 20_000, "<div>a" * 20_000,
+                                  "<div>" * 20_000 + "</x>" * 20_000, "<form>x" * 20_000])
+def test_hostile_pages_take_one_pass(page):
+    import time
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 5
