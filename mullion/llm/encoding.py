@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 # How a byte-level BPE file splits text before merging: fixed pattern of that family of tokenizers.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 1_000_000  # parts a worker keeps; past that it starts afresh, results are the same
+REMEMBERED = 1_000_000  # parts a worker keeps; past that it keeps those of the texts at hand, results are the same
 TOGETHER = 1024  # new parts encoded in one call
 
 
@@ -43,41 +45,67 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids, ``width`` bytes each, of every text."""
-        if not self.by_piece:
-            return self.plain(texts)
-        cut = [None if self.added and self.added.search(t) else self.words(t) for t in texts]
-        after = self.after_space.get
-        found = [list(map(after, c[1])) if c else () for c in cut]
-        new = {w for c, f in zip(cut, found) if None in f for w, x in zip(c[1], f) if x is None}
-        alone = {w for c in cut if c for w in c[0]}
-        if self.learn(alone, new):
-            self.learn(alone, set().union(*[c[1] for c in cut if c]))
-        alone, after = self.alone.__getitem__, self.after_space.__getitem__
-        return [b"".join([*map(alone, c[0]), *(map(after, c[1]) if None in f else f)]) if c else self.plain([t])[0]
-                for t, c, f in zip(texts, cut, found)]
-
-    def words(self, text: str) -> tuple[list[str], list[str]]:
-        """Parts of a text no piece spans: those that stand alone, then those each of which a space goes before.
-
-        A part begins where a space is followed by a non-space. A text with other spaces is cut into its pieces.
+        ids, ends = self.flat(texts)
+        raw, stops = ids.tobytes(), (ends * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def flat(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each followed by ``end_id`` if given, and where each text ends.
+
+        A text is a head, whose ids are looked up by themselves, and the parts a space goes before. Those are numbered by
+        distinct value, so each value is looked up once however often it comes.
+        """
+        heads, rests = zip(*map(self.head, texts)) if texts else ((), ())
+        lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.learn({w for h in heads if isinstance(h, list) for w in h}, words)
+        alone, n = self.alone.__getitem__, len(texts)
+        known += [b"".join(map(alone, h)) if isinstance(h, list) else self.plain([h])[0] for h in heads]
+        known.append(b"" if end_id is None else np.array([end_id], f"<u{self.width}").tobytes())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        stops = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64) + 2)
+        codes, edge = np.empty(stops[-1] if n else 0, np.int64), np.zeros(stops[-1] if n else 0, bool)
+        firsts = np.concatenate(([0], stops[:-1])).astype(np.int64)[:n]
+        edge[firsts] = edge[stops - 1] = True
+        codes[~edge] = coded.indices.to_numpy(zero_copy_only=False)
+        codes[firsts], codes[stops - 1] = len(words) + np.arange(n), len(known) - 1
+        took = sizes[codes]
+        ends = np.cumsum(took)
+        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - took)
+        ids = np.frombuffer(b"".join(known), f"<u{self.width}")[np.arange(ends[-1] if n else 0) + np.repeat(shift, took)]
+        return ids, ends[stops - 1]
+
+    def head(self, text: str) -> tuple[list[str] | str, str | None]:
+        """What of a text stands before its first space, as parts no piece spans, and the rest; None for no rest.
+
+        Each part of the rest begins where a space is followed by a non-space. A text with other spaces is cut into its
+        pieces; one the tokenizer has to see whole is given back as it is.
         """
+        if not self.by_piece or (self.added and self.added.search(text)):
+            return text, None
         if self.blanks.search(text):
-            return self.pieces.findall(text), []
-        first, *rest = text.split(" ")
-        return [first] if first else [], rest
-
-    def learn(self, alone: set[str], after: set[str]) -> bool:
-        """Encode what is not known yet; true if everything known before had to be forgotten first."""
-        new = [w for w in alone if w not in self.alone], [w for w in after if w not in self.after_space]
-        full = len(self.alone) + len(self.after_space) + len(new[0]) + len(new[1]) > REMEMBERED
-        if full and (self.alone or self.after_space):
-            self.alone, self.after_space = {}, {}
-            return True
-        self.alone.update(zip(new[0], self.plain(new[0])))
-        for lo in range(0, len(new[1]), TOGETHER):
-            group = new[1][lo:lo + TOGETHER]
-            self.after_space.update(zip(group, self.together([" " + w for w in group])))
-        return False
+            return self.pieces.findall(text), None
+        first, space, rest = text.partition(" ")
+        return [first] if first else [], rest if space else None
+
+    def learn(self, alone: set[str], after: list[str]) -> list[bytes]:
+        """Ids of ``after``; what is not known yet is encoded and remembered.
+
+        Where that is too much to remember, only what is needed now is kept.
+        """
+        found = list(map(self.after_space.get, after))
+        single, new = [w for w in alone if w not in self.alone], [i for i, x in enumerate(found) if x is None]
+        if len(self.alone) + len(self.after_space) + len(single) + len(new) > REMEMBERED:
+            self.alone = {w: self.alone[w] for w in alone if w in self.alone}
+            self.after_space = {w: x for w, x in zip(after, found) if x is not None}
+        self.alone.update(zip(single, self.plain(single)))
+        for lo in range(0, len(new), TOGETHER):
+            group = new[lo:lo + TOGETHER]
+            words = [after[i] for i in group]
+            for i, w, x in zip(group, words, self.together([" " + w for w in words])):
+                found[i] = self.after_space[w] = x
+        return found
 
     def together(self, words: list[str]) -> list[bytes]:
         """Ids of words that begin with a space and a non-space: encoded as one text, cut where their bytes end."""

@@ -10,16 +10,29 @@ from mullion.llm.common import chunks, picked, plain
 from mullion.llm.encoding import encoder
 
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, bucket int, ids binary"
+BATCH_IDS = 1 << 24  # ids of one record batch of pieces
 
 
-def piece_lengths(n: int, longest: int) -> list[int]:
-    """``n`` as full pieces of ``longest`` followed by its remaining powers of two, largest first."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+def piece_lengths(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of every piece: full pieces of ``longest``, then the rest's powers of two, largest first."""
+    powers = longest >> np.arange(longest.bit_length())
+    times = (sizes[:, None] & powers) > 0
+    times = np.concatenate((sizes[:, None] // longest, times[:, 1:]), axis=1)
+    return np.repeat(np.arange(len(sizes)), times.sum(axis=1)), np.repeat(np.tile(powers, len(sizes)), times.ravel())
+
+
+def _groups(stop: np.ndarray, limit: int):
+    """Index ranges of pieces, one after another in a buffer, of at most ``limit`` ids together."""
+    at = 0
+    while at < len(stop):
+        begun = stop[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(stop, begun + limit, "right")))
+        yield at, to
+        at = to
 
 
 def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
-              id_col: str = "doc_id", text_col: str = "text", part: int = 1 << 18) -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text", part: int = 1 << 22) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, bucket, ids, sequence_id, offset.
 
     A document's ids, with ``end_id`` after them, are cut where the binary digits of their number say, so each piece is
@@ -38,22 +51,19 @@ def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in chunks(texts, part):
-                rows = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "bucket", "ids")}
-                for doc, raw in zip(names[lo:hi], coder.ids(texts[lo:hi])):
-                    ids = np.append(np.frombuffer(raw, f"<u{coder.width}"), end_id).astype("<u4")
-                    at, whole = 0, ids.tobytes()
-                    for size in piece_lengths(len(ids), longest):
-                        rows["doc_id"].append(doc)
-                        rows["start"].append(at)
-                        rows["length"].append(size)
-                        rows["doc_tokens"].append(len(ids))
-                        rows["bucket"].append(size.bit_length() - 1)
-                        rows["ids"].append(whole[4 * at:4 * (at + size)])
-                        at += size
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()),
-                     pa.array(rows["doc_tokens"], pa.int64()), pa.array(rows["bucket"], pa.int32()), pa.array(rows["ids"], pa.binary())],
-                    names=list(rows))
+                ids, ends = coder.flat(texts[lo:hi], end_id)
+                sizes = np.diff(ends, prepend=0)
+                doc, length = piece_lengths(sizes, longest)
+                stop = np.cumsum(length)
+                start = stop - length
+                columns = {"doc_id": pa.array(names[lo:hi], pa.int64()).take(pa.array(doc)), "start": start - (ends - sizes)[doc], "length": length,
+                           "doc_tokens": sizes[doc], "bucket": np.log2(length).astype(np.int32)}
+                whole = pa.table(columns)
+                for a, z in _groups(stop, BATCH_IDS):
+                    own = ids[start[a]:stop[z - 1]].astype("<u4")
+                    offsets = (4 * np.append(start[a:z] - start[a], stop[z - 1] - start[a])).astype(np.int32)
+                    raw = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+                    yield whole.slice(a, z - a).append_column("ids", raw).to_batches()[0]
 
     source = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), plain(F.col("text")).alias("text"))
     pieces = source.mapInArrow(cut, PIECE_SCHEMA)

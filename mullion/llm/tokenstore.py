@@ -73,7 +73,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts, 1 << 18):
+            for lo, hi in chunks(texts, 1 << 22):
                 for name, raw in zip(ids[lo:hi], coder.ids(texts[lo:hi])):
                     names.append(name)
                     raws.append(raw + end)

@@ -298,3 +298,31 @@ def test_hostile_pages_take_one_pass(page):
     began = time.process_time()
     html.main_text(page)
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("remembered", [1_000_000, 40])
+def test_encoder_equals_the_tokenizer_on_random_text(monkeypatch, remembered):
+    import random
+
+    from mullion.llm import encoding
+
+    monkeypatch.setattr(encoding, "REMEMBERED", remembered)
+    coder, tok, dice = encoding.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER), random.Random(5)
+    usual = ["a", "b", "the", " ", " ", " ", "'s", "1", "23", "é", "中", ".", "!!", "🙂"]
+    odd = [*usual, "\n", "\t", "\xa0", "　", "\x1c", "\x85", "​", "́", "<|endoftext|>"]
+    texts = ["".join(dice.choices(odd if i % 3 else usual, k=dice.randint(0, 30))) for i in range(3000)] + ["", " ", "  ", " a", "a ", "a  b"]
+    for lo in range(0, len(texts), 400):
+        part = texts[lo:lo + 400]
+        want = [tok.encode(t, add_special_tokens=False).ids for t in part]
+        assert [np.frombuffer(g, f"<u{coder.width}").tolist() for g in coder.ids(part)] == want
+        ids, ends = coder.flat(part, 1)
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [[*w, 1] for w in want]
+    assert coder.ids([]) == []
+
+
+def test_pieces_follow_the_binary_digits():
+    sizes = np.array([1, 7, 8, 9, 27, 16])
+    doc, length = packing.piece_lengths(sizes, 8)
+    got = [length[doc == i].tolist() for i in range(len(sizes))]
+    assert got == [[1], [4, 2, 1], [8], [8, 1], [8, 8, 8, 2, 1], [8, 8]]
+    assert [*packing._groups(np.array([4, 8, 40, 41, 42]), 8)] == [(0, 2), (2, 3), (3, 5)]
