@@ -72,13 +72,15 @@ def t4(t):
 @query("T5", """
 WITH w AS (SELECT user_id AS project_id, event_type AS app_version, time_bucket(INTERVAL 1 HOUR, ts) AS h, CAST(value AS DECIMAL(18,4)) AS usd FROM events),
 m AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events)
-SELECT project_id, app_version, CAST(h AS VARCHAR) AS hour, CAST(sum(usd) AS DOUBLE) AS usd, count(*) AS runs FROM w, m WHERE h + INTERVAL 1 HOUR <= wm GROUP BY ALL""")
+SELECT project_id, app_version, CAST(h AS VARCHAR) AS hour, CAST(sum(usd) AS DOUBLE) AS usd, count(*) AS runs, h + INTERVAL 1 HOUR <= any_value(wm) AS closed
+FROM w, m GROUP BY project_id, app_version, h""")
 def t5(t):
-    runs = stream(t, "events").selectExpr("user_id AS project_id", "event_type AS app_version", "CAST(ts AS TIMESTAMP) AS created_at", "CAST(value AS DECIMAL(18,4)) AS cost_usd")
-    out, ck = folder(t, "cost"), folder(t, "ck")
-    (feeds.cost_windows(runs).select("project_id", "app_version", F.col("window.start").cast("string").alias("hour"), F.col("usd").cast("double").alias("usd"), "runs")
-     .writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination())
-    return t.spark.read.parquet(out)
+    runs = stream(t, "events").selectExpr("event_id AS run_id", "user_id AS project_id", "event_type AS app_version", "CAST(ts AS TIMESTAMP) AS created_at",
+                                          "CAST(value AS DECIMAL(18,4)) AS cost_usd")
+    out = folder(t, "cost")
+    feeds.cost_feed(runs, out, folder(t, "ck"))
+    return feeds.cost_windows(t.spark, out).select("project_id", "app_version", F.col("window_start").cast("string").alias("hour"),
+                                                   F.col("usd").cast("double").alias("usd"), "runs", "closed")
 
 
 @query("T6", """

@@ -67,11 +67,42 @@ def run_feed(stream: DataFrame, table: LatestTable, checkpoint: str, shape: Call
     return table.read()
 
 
-def cost_windows(runs: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
-    """Cost and runs per project, version and window; a window is given out once the watermark passes it."""
-    return (runs.withWatermark("created_at", late)
-            .groupBy(F.window("created_at", width), "project_id", "app_version")
-            .agg(F.sum("cost_usd").alias("usd"), F.count(F.lit(1)).alias("runs")))
+COST_SCHEMA = "window_start timestamp, project_id bigint, app_version string, usd decimal(38,4), runs bigint, newest timestamp, batch bigint"
+
+
+def cost_feed(runs: DataFrame, folder: str, checkpoint: str, run_key: Sequence[str] = ("run_id",), replays: str = "1 day",
+              width: str = "1 hour") -> None:
+    """Adds up cost and runs per project, version and window of a stream, one folder of partial sums per micro-batch.
+
+    Sums merge, so a batch adds its own rows only, late ones too, and nothing stored is rewritten. A batch that is run again
+    overwrites its folder. A run seen before is passed over while the watermark, ``replays`` behind the newest run, has
+    not gone by it; rows older than that are past what the feed can tell from replays and are left out.
+    """
+    spark = runs.sparkSession
+    spark.createDataFrame([], COST_SCHEMA).drop("batch").write.mode("overwrite").parquet(os.path.join(folder, "batch=-1"))  # a feed without rows reads as empty
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy(F.window("created_at", width).alias("w"), "project_id", "app_version")
+         .agg(F.sum("cost_usd").cast("decimal(38,4)").alias("usd"), F.count(F.lit(1)).alias("runs"), F.max("created_at").alias("newest"))
+         .select(F.col("w.start").alias("window_start"), F.col("project_id").cast("bigint"), "app_version", "usd", "runs", "newest")
+         .write.mode("overwrite").parquet(os.path.join(folder, f"batch={batch_id}")))
+
+    once = runs.withWatermark("created_at", replays).dropDuplicatesWithinWatermark(list(run_key))
+    once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def cost_windows(spark: SparkSession, folder: str, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
+    """Every window of a cost feed so far, open ones too: project_id, app_version, window_start, usd, runs, closed, batch.
+
+    A window is closed once the newest run of the feed is ``late`` past its end. ``batch`` is the last that added to it: a
+    reader who took the window at an earlier batch replaces what it took.
+    """
+    parts = spark.read.schema(COST_SCHEMA).parquet(folder)
+    newest = parts.agg(F.max("newest").alias("_newest"))  # one row
+    sums = parts.groupBy("window_start", "project_id", "app_version").agg(F.sum("usd").alias("usd"), F.sum("runs").alias("runs"), F.max("batch").alias("batch"))
+    end = F.col("window_start") + F.expr(f"INTERVAL {width}") + F.expr(f"INTERVAL {late}")
+    return (sums.withColumn("_one", F.lit(1)).join(F.broadcast(newest.withColumn("_one", F.lit(1))), "_one")
+            .withColumn("closed", end <= F.col("_newest")).drop("_one", "_newest"))
 
 
 def intake(files: DataFrame, late: str = "1 day") -> DataFrame:
