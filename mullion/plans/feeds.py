@@ -15,9 +15,9 @@ def folder(t, name):
 
 
 def stream(t, table):
-    """The table as a file stream."""
+    """The table as a file stream, whether it is one file or a folder of them (a pattern may name either)."""
     static = getattr(t, table)
-    return t.spark.readStream.schema(static.schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.dir)
+    return t.spark.readStream.schema(static.schema).parquet(os.path.join(t.dir, f"{table}.parque[t]"))
 
 
 def job_stream(t):
@@ -90,6 +90,7 @@ def t6(t):
     files = stream(t, "documents").selectExpr("source AS project_id", "sha2(text, 256) AS sha256", "doc_id % 4 AS reader_version",
                                               "timestamp_seconds(1700000000 + doc_id) AS created_at")
     out, ck = folder(t, "intake"), folder(t, "ck")
-    (feeds.intake(files).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck)
+    taken = feeds.intake(files)
+    (taken.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck)
      .trigger(availableNow=True).start().awaitTermination())
-    return feeds.needs_reading(t.spark.read.parquet(out), 3)
+    return feeds.needs_reading(t.spark.read.schema(taken.schema).parquet(out), 3)
