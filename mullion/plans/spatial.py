@@ -67,8 +67,10 @@ def j8(t):
     from mullion.operators.tables import column_of
     b = t.L_tok.groupBy("doc", "page").agg(F.min("x0").alias("lo"), (F.max("x1") + 1).alias("hi"))
     bounds = b.select("doc", "page", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) / 4 * i).alias("bounds"))
-    return (t.L_tok.join(bounds, ["doc", "page"]).withColumn("col", column_of(F.col("bounds"), F.col("x0")))
-            .groupBy("doc", "page", "col").agg(F.count(F.lit(1)).alias("n")).withColumn("col", F.col("col").cast("bigint")))
+    # Only where a span starts decides its column, so the starts of a page are counted before they meet its bounds.
+    starts = t.L_tok.groupBy("doc", "page", "x0").agg(F.count(F.lit(1)).alias("n"))
+    return (starts.join(bounds, ["doc", "page"]).withColumn("col", column_of(F.col("bounds"), F.col("x0")))
+            .groupBy("doc", "page", "col").agg(F.sum("n").alias("n")).withColumn("col", F.col("col").cast("bigint")))
 
 
 _STACK = """
