@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mullion.functions import text
 from mullion.lenses import Tables
-from mullion.operators import locate, plans, spatial
+from mullion.operators import fonts, locate, plans, spatial
 from mullion.plans import spatial as queries
 
 
@@ -56,3 +56,19 @@ def test_spans_are_counted_by_start_before_they_meet_their_bounds(spark, sf):
     assert df.agg(F.sum("n")).first()[0] == Tables(spark, sf).L_tok.count()
     join = plan(df).index("Join Inner")
     assert "count(1)" in plan(df)[join:]  # below the join, not only above it
+
+
+def test_texts_are_moved_by_a_table_and_odd_ones_by_character(spark):
+    texts = ["plain text", "naïve Ω", "line\nend\n", "euro €5", "\x00a", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    move = lambda t, by: None if t is None else "".join(chr(ord(c) + by) for c in t)
+    up = d.select(fonts.shifted("t", "7", F.lit("".join(chr(ord(c) + 7) for c in fonts.PLAIN))).alias("m")).collect()
+    assert [r.m for r in up] == [move(t, 7) for t in texts]
+    low = d.filter("t IS NULL OR NOT t RLIKE '[\\\\x00-\\\\x1f]'").select("t", fonts.drawn_below("t", 29).alias("m")).collect()
+    assert [r.m for r in low] == [move(r.t, -29) for r in low] and len(low) == 5
+
+
+def test_spans_of_a_font_come_back_in_latin_and_other_letters(spark):
+    texts = ["the door and frame of level two", "à côté de la porte", "price 5 € the door", None]
+    d = spark.createDataFrame([(t,) for t in texts], "original string").withColumn("text", fonts.drawn_below("original", 29)).withColumn("lang", F.lit("x"))
+    assert sorted(map(str, (r.text for r in fonts.repair(d, ["lang"]).collect()))) == sorted(map(str, texts))
