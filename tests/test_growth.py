@@ -72,3 +72,11 @@ def test_spans_of_a_font_come_back_in_latin_and_other_letters(spark):
     texts = ["the door and frame of level two", "à côté de la porte", "price 5 € the door", None]
     d = spark.createDataFrame([(t,) for t in texts], "original string").withColumn("text", fonts.drawn_below("original", 29)).withColumn("lang", F.lit("x"))
     assert sorted(map(str, (r.text for r in fonts.repair(d, ["lang"]).collect()))) == sorted(map(str, texts))
+
+
+def test_only_the_items_asked_for_are_scored(spark):
+    rows = [(1, 1, 0.0, 0.0, True, False), (1, 2, 20.0, 5.0, False, True), (1, 3, 30.0, 0.0, False, False), (1, 4, 400.0, 0.0, True, False)]
+    items = spark.createDataFrame(rows, "page bigint, item bigint, cx double, cy double, is_tag boolean, is_dim boolean")
+    scores = lambda df: {r.item: (r.score, r.near) for r in df.collect()}
+    assert scores(plans.company(items, ["page"])) == {1: (1, True), 2: (2, True), 3: (3, True), 4: (0, False)}
+    assert scores(plans.company(items, ["page"], of="is_tag")) == {1: (1, True), 4: (0, False)}
