@@ -2,11 +2,11 @@
 
 import random
 
-from mullion.operators import pages, sequence as seq
+from mullion.operators import finder, pages, sequence as seq, tables
 
 
 def shuffles(df):
-    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
 def test_stitching_shuffles_once_and_leaves_out_pages_without_a_name(spark):
@@ -31,3 +31,42 @@ def test_folds_without_a_bucket_give_the_same(spark):
     assert f(one) == f(two) and shuffles(two) == 1
     one, two = (seq.coverage(d, ["k"], "v", "e", seq.F.lit(0.0), seq.F.lit(800.0), w) for w in (64.0, None))
     assert [(k, round(c, 6)) for k, c in f(one)] == [(k, round(c, 6)) for k, c in f(two)]
+
+
+def counted(monkeypatch, module):
+    """Steps of ``module`` written to the checkpoint folder from here on."""
+    done, plain = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: done.append(1) or plain(df))
+    return done
+
+
+def test_ruled_grids_write_two_steps_and_headings_look_no_rules_up_by_cell(spark, monkeypatch):
+    rules = [(1, "v", 80.0 * i, 100.0, 180.0) for i in range(7)] + [(1, "h", 100.0 + 20 * i, 0.0, 480.0) for i in range(5)] + [(None, "v", 3.0, 100.0, 180.0)]
+    rulings = spark.createDataFrame(rules, "doc bigint, axis string, pos double, start double, end double")
+    headers = spark.createDataFrame([(1, 6.0, 105.0, 436.0, 115.0, 6.0)], "doc bigint, hx0 double, hy0 double, hx1 double, hy1 double, tag_x double")
+    steps, folds = counted(monkeypatch, tables), counted(monkeypatch, seq)
+    grid = tables.ruled_grid(headers, rulings, ["doc"])
+    assert [(r.left, r.right, r.header_bottom, r.bounds, r.row_bounds) for r in grid.collect()] == [(0.0, 480.0, 120.0, [80.0 * i for i in range(7)], [120.0, 140.0, 160.0, 180.0])]
+    assert (len(steps), len(folds)) == (2, 0)
+    items = [(1, 80.0 * i + 6, 105.0, 80.0 * i + 36, 115.0, f"H{i}", True) for i in range(6)] + [(1, 100.0, 106.0, 101.0, None, "LOST", True)]
+    got = tables.header_texts(spark.createDataFrame(items, "doc bigint, x0 double, y0 double, x1 double, y1 double, text string, horizontal boolean"), grid, ["doc"], rulings)
+    assert sorted((r.col, r.header) for r in got.collect()) == [(i, f"H{i}") for i in range(6)]
+    assert "_gx" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_banded_columns_meet_their_headers_in_the_only_join(spark):
+    items = spark.createDataFrame([(1, 80.0 * c + (r == 2), 20.0 * r, 80.0 * c + 30, 20.0 * r + 8, True) for r in range(1, 5) for c in range(4)] + [(1, 255.0, 30.0, 270.0, 38.0, True)],
+                                  "doc bigint, x0 double, y0 double, x1 double, y1 double, horizontal boolean")
+    headers = spark.createDataFrame([(1, 0.0, 0.0, 270.0, 10.0)], "doc bigint, hx0 double, hy0 double, hx1 double, hy1 double")
+    got = tables.banded_grid(items, headers, ["doc"])
+    assert [r.bounds for r in got.collect()] == [[-3.0, 80.0, 160.0, 240.0, 330.0]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_bands_are_split_in_one_written_step(spark, monkeypatch):
+    rows = [(k, x, 12.0 * n, x + 20, 12.0 * n + 8, w, True) for k in (1, None) for n in range(3) for x, w in ((0.0, "WIDTH"), (40.0, "TYPE"), (900.0, "REMARKS"))]
+    items = spark.createDataFrame(rows, "page bigint, x0 double, y0 double, x1 double, y1 double, text string, horizontal boolean")
+    steps, splits, folds = (counted(monkeypatch, m) for m in (finder, pages, seq))
+    bands = finder.scored_bands(items, ["page"]).collect()
+    assert (len(steps), len(splits), len(folds)) == (1, 0, 0)
+    assert {(r.page, r.idx, r.gap_part, r.n_words) for r in bands if r.step == 0} == {(1, i, g, 2 - g) for i in (1, 2, 3) for g in (0, 1)}
