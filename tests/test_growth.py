@@ -1,11 +1,13 @@
 """Steps whose cost has to grow with the input: nearness, flags, lists of ids, headings, texts."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from mullion.functions import text
-from mullion.operators import fonts, locate, plans, spatial
+from mullion.operators import detections, fonts, locate, plans, spatial
+from mullion.sources import spans
 
 
 def plan(df):
@@ -71,3 +73,14 @@ def test_only_the_items_asked_for_are_scored(spark):
     scores = lambda df: {r.item: (r.score, r.near) for r in df.collect()}
     assert scores(plans.company(items, ["page"])) == {1: (1, True), 2: (2, True), 3: (3, True), 4: (0, False)}
     assert scores(plans.company(items, ["page"], of="is_tag")) == {1: (1, True), 4: (0, False)}
+
+
+def test_items_in_boxes_are_looked_up_once(spark):
+    rows = [("d", 1, 10.0, 10.0, 20.0, 20.0, "in"), ("d", 1, 10.0, 10.0, 20.0, 20.0, "in"), ("d", 1, 250.0, 10.0, 270.0, 20.0, "over a cell's edge"), ("d", 1, 10.0, 90.0, 20.0, 130.0, "sticks out"),
+            ("d", 2, 10.0, 10.0, 20.0, 20.0, "other page"), (None, 1, 10.0, 10.0, 20.0, 20.0, "no document"), ("d", 1, -5.0, -5.0, 2.0, 2.0, "left of it")]
+    items = spark.createDataFrame(rows, "doc string, page bigint, x0 double, y0 double, x1 double, y1 double, text string")
+    boxes = spark.createDataFrame([("d", 1, 0.0, 0.0, 300.0, 100.0), ("d", 1, 0.0, 0.0, 50.0, 50.0)], "doc string, page bigint, bx0 double, by0 double, bx1 double, by1 double")
+    left = plans.outside(items, boxes, ["doc", "page"])
+    assert left.columns == items.columns
+    assert sorted(r.text for r in left.collect()) == ["left of it", "no document", "other page", "sticks out"]
+    assert plan(left).count("Join") == 1 and "Aggregate" not in plan(left)
