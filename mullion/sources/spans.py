@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from mullion.operators.overlay import earliest
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def text_items(spans: DataFrame) -> DataFrame:
     """Spans trimmed, blanks dropped, and a run printed twice at one spot (half a point) kept once.
 
-    ``spans(doc, page, pos, x0..y1, text, size, horizontal)``; the earlier ``pos`` wins.
+    ``spans(doc, page, pos, x0..y1, text, size, horizontal)``; the earlier ``pos`` wins. Few spans are printed twice, so nothing
+    is folded before the shuffle; it is dealt by page, where neighbouring rows are alike and pack well.
     """
     t = spans.withColumn("text", F.trim("text")).filter("text <> ''")
-    t = t.withColumn("_fx", F.bround(F.col("x0") * 2, 0)).withColumn("_fy", F.bround(F.col("y0") * 2, 0))
-    return earliest(t, ["doc", "page", "_fx", "_fy", "text"], ["pos"]).select("doc", "page", "x0", "y0", "x1", "y1", "text", "size", "horizontal")
+    t = t.select("doc", "page", "pos", "x0", "y0", "x1", "y1", "text", "size", "horizontal").repartition("doc", "page")
+    spot = [F.col("doc"), F.col("page"), F.bround(F.col("x0") * 2, 0), F.bround(F.col("y0") * 2, 0), F.col("text")]
+    first = t.withColumn("_rn", F.row_number().over(Window.partitionBy(*spot).orderBy("pos"))).filter("_rn = 1")
+    return first.select("doc", "page", "x0", "y0", "x1", "y1", "text", "size", "horizontal")
 
 
 def rulings(segments: DataFrame, straight: float = 0.8, shortest: float = 2.0) -> DataFrame:

@@ -84,3 +84,11 @@ def test_items_in_boxes_are_looked_up_once(spark):
     assert left.columns == items.columns
     assert sorted(r.text for r in left.collect()) == ["left of it", "no document", "other page", "sticks out"]
     assert plan(left).count("Join") == 1 and "Aggregate" not in plan(left)
+
+
+def test_spans_printed_twice_are_dropped_without_a_fold(spark):
+    rows = [("d", 1, 1, 10.0, 5.0, " a "), ("d", 1, 2, 10.1, 5.1, "a"), ("d", 1, 3, 10.6, 5.0, "a"), ("d", 1, 4, 10.0, 5.0, "b"), ("d", 2, 5, 10.0, 5.0, "a"), (None, 1, 6, 1.0, 1.0, "n"), (None, 1, 7, 1.0, 1.0, "n"), ("d", 1, 8, 9.0, 9.0, " ")]
+    df = spark.createDataFrame(rows, "doc string, page bigint, pos bigint, x0 double, y0 double, text string").selectExpr("*", "x0 + 5 AS x1", "y0 + 5 AS y1", "8D AS size", "true AS horizontal")
+    got = spans.text_items(df)
+    assert sorted((r.doc or "", r.page, r.x0, r.text) for r in got.collect()) == [("", 1, 1.0, "n"), ("d", 1, 10.0, "a"), ("d", 1, 10.0, "b"), ("d", 1, 10.6, "a"), ("d", 2, 10.0, "a")]
+    assert "Aggregate" not in plan(got)
