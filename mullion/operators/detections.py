@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mullion.operators import graph
 from mullion.operators.overlay import earliest
-from mullion.operators.spatial import as_other, boxes_overlapping, hypot, points_in_reach_of_boxes, points_near
+from mullion.operators.spatial import as_other, boxes_overlapping, hypot, points_in_reach_of_boxes, points_near, points_within_own_reach, reach_of
+from mullion.runtime import cut
 
 
 def confidence_rank(c: Column) -> Column:
@@ -75,7 +76,10 @@ def choose_wall(doors: DataFrame, tags: DataFrame, keys: Sequence[str], door_pt:
 
     far = door_pt * reach
     gap = hypot(F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy"))
-    pairs = points_near(doors, tags, keys, far).withColumn("gap", gap).filter(F.col("gap") <= far)
+    # Of tags on one spot only the first four can be among a door's four; a door looks no farther than four of them are sure to be.
+    tags = smallest(tags, [*keys, "ox", "oy"], [F.col("symbol"), F.col("tag_id")], 4).drop("rn")
+    doors = cut(reach_of(doors, tags, keys, 4, far))
+    pairs = points_within_own_reach(doors, tags, keys, F.col("_far")).drop("_far").withColumn("gap", gap).filter(F.col("gap") <= far)
     top = smallest(pairs, [*keys, "id"], [F.col("gap"), F.col("symbol"), F.col("tag_id")], 4)
     near = top.groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("rn", "gap", "symbol"))).alias("r"))
     first = F.get("r", F.lit(0))

@@ -92,3 +92,23 @@ def test_spans_printed_twice_are_dropped_without_a_fold(spark):
     got = spans.text_items(df)
     assert sorted((r.doc or "", r.page, r.x0, r.text) for r in got.collect()) == [("", 1, 1.0, "n"), ("d", 1, 10.0, "a"), ("d", 1, 10.0, "b"), ("d", 1, 10.6, "a"), ("d", 2, 10.0, "a")]
     assert "Aggregate" not in plan(got)
+
+
+def test_a_door_looks_as_far_as_four_tags(spark):
+    rnd = random.Random(5)
+    place = lambda s: (rnd.gauss(0, s), rnd.gauss(0, s))
+    tags = [(1, i, f"S{i % 5}", *place(60)) for i in range(300)] + [(1, 1000 + i, f"S{i % 3}", 2.5, 2.5) for i in range(200)] + [(2, 5000, "S1", 150.0, 0.0), (2, 5001, "S2", 0.0, 220.0)]
+    doors = [(1, i, *place(90)) for i in range(80)] + [(1, 500, 2.5, 2.5), (1, 500, 2.5, 2.5), (2, 600, 0.0, 0.0), (2, 601, 900.0, 0.0), (None, 602, 0.0, 0.0)]
+    d = spark.createDataFrame(doors, "page bigint, id bigint, cx double, cy double")
+    t = spark.createDataFrame(tags, "page bigint, tag_id bigint, symbol string, ox double, oy double")
+
+    def plain(page, i):
+        near = sorted((math.sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)), s, n) for p, j, x, y in doors if (p, j) == (page, i) for q, n, s, ox, oy in tags if q == p)
+        near = [n for n in near if n[0] <= 200][:4]
+        more = [n[1] for n in near[1:] if n[1] != near[0][1] and n[0] <= near[0][0] * 1.6]
+        return near and (not more, near[0][0], list(dict.fromkeys([near[0][1], *more]))[:3])
+
+    got = {(r.page, r.id): (r.decided, r.gap, r.candidates) for r in detections.choose_wall(d, t, ["page"], 10.0).collect()}
+    assert got == {k: w for k in {x[:2] for x in doors} if (w := plain(*k))}
+    far = {(r.page, r.id): r._far for r in spatial.reach_of(d, t, ["page"], 4, 200.0).collect()}
+    assert far[1, 500] < 1 and far[2, 600] == far[2, 601] == 200.0
