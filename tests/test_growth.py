@@ -112,3 +112,20 @@ def test_a_door_looks_as_far_as_four_tags(spark):
     assert got == {k: w for k in {x[:2] for x in doors} if (w := plain(*k))}
     far = {(r.page, r.id): r._far for r in spatial.reach_of(d, t, ["page"], 4, 200.0).collect()}
     assert far[1, 500] < 1 and far[2, 600] == far[2, 601] == 200.0
+
+
+def test_readings_of_a_page_are_folded_side_by_side_or_in_rounds_alike(spark, monkeypatch):
+    from mullion.operators import graph, tables
+
+    rnd = random.Random(11)
+    rows = [(p if p else None, f"t{t}", str(rnd.randint(1, 12)) if rnd.random() < 0.9 else "") for p in range(14) for t in range(7) for _ in range(rnd.randint(1, 6))]
+    r = spark.createDataFrame(rows, "doc bigint, tbl string, door_tag string")
+    tabs = r.groupBy("doc", "tbl").agg(F.count(F.lit(1)).alias("rows"))
+    read = lambda: sorted(tuple(x) for x in tables.one_reading(tabs, r, ["doc"], ["tbl"], [-F.col("rows")]).fillna(-1).collect())
+    monkeypatch.setattr(tables, "PAGE_ROWS", 0)
+    rounds = read()
+    monkeypatch.setattr(tables, "PAGE_ROWS", 22)
+    assert read() == rounds
+    monkeypatch.setattr(tables, "PAGE_ROWS", 4096)
+    monkeypatch.setattr(graph, "first_fit", None)  # small pages need no rounds
+    assert read() == rounds
