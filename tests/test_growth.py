@@ -129,3 +129,17 @@ def test_readings_of_a_page_are_folded_side_by_side_or_in_rounds_alike(spark, mo
     monkeypatch.setattr(tables, "PAGE_ROWS", 4096)
     monkeypatch.setattr(graph, "first_fit", None)  # small pages need no rounds
     assert read() == rounds
+
+
+def test_headings_are_looked_for_close_by_first(spark, monkeypatch):
+    from mullion.operators import books
+
+    word = lambda line, w, t, page=1: ("d", page, line, w, 40.0 * w, 40.0 * w + 30, t)
+    rows = [word(0, 0, "Far"), word(30, 0, "$10.00"), word(5, 1, "Upper"), word(26, 1, "Nearer"), word(27, 1, "KX1234"), word(30, 1, "$11.00"), word(22, 2, "Edge"), word(30, 2, "$12.00"),
+            word(21, 3, "Past"), word(30, 3, "$13.00"), word(30, 4, "$14.00"), word(500, 0, "$15.00"), word(99, 0, "Too far"), word(0, 5, "Other page", 2)]
+    p = spark.createDataFrame(rows, "doc string, page bigint, line int, w int, x0 double, x1 double, text string")
+    want = {(30, 0): "Far", (30, 1): "Nearer", (30, 2): "Edge", (30, 3): "Past", (30, 4): "", (500, 0): ""}
+    steps = []
+    monkeypatch.setattr(books, "cut", lambda df: steps.append(plan(df)) or df)
+    assert {(r.line, r.w): r.heading for r in books.price_headings(p, ["doc", "page"]).collect()} == want
+    assert "_b#" in steps[-1]  # the first look joins by blocks of lines
