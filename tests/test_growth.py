@@ -143,3 +143,20 @@ def test_headings_are_looked_for_close_by_first(spark, monkeypatch):
     monkeypatch.setattr(books, "cut", lambda df: steps.append(plan(df)) or df)
     assert {(r.line, r.w): r.heading for r in books.price_headings(p, ["doc", "page"]).collect()} == want
     assert "_b#" in steps[-1]  # the first look joins by blocks of lines
+
+
+def test_tables_and_loose_tags_look_through_the_items_once(spark, monkeypatch):
+    rows = [("d", 1, 10.0, 20.0 * i, 40.0, 20.0 * i + 8, str(100 + i), 8.0, i) for i in range(6)] + [("d", 1, 300.0, 20.0 * i, 340.0, 20.0 * i + 8, "OFFICE", 9.0, 50 + i) for i in range(3)] + [
+        ("d", 1, 12.0, 150.0, 42.0, 158.0, "109", 8.0, 90), ("d", 1, 30.0, 150.0, 60.0, 158.0, "100", 8.0, 91), ("d", 1, 300.0, 47.0, 330.0, 55.0, "108", 8.0, 92)]
+    items = spark.createDataFrame(rows, "doc string, page bigint, x0 double, y0 double, x1 double, y1 double, text string, size double, pos bigint")
+    tags = items.filter("pos < 6 OR pos = 91").selectExpr("doc", "text AS tag").distinct()
+    steps = []
+    kept = locate.cut
+    monkeypatch.setattr(locate, "cut", lambda df: steps.append(df.columns) or kept(df))
+    loose = locate.tagged_but_unscheduled(items, tags, ["doc", "page"], ["doc"])
+    assert [(r.pos, r.label, r.score) for r in loose.collect()] == [(90, "109", 2)]
+    assert [("item" in s, "x1" in s) for s in steps] == [(False, False), (True, False)] and "shaped" in steps[1]
+    steps.clear()
+    box = locate.boxes_from_text(items.drop("size", "pos"), tags.selectExpr("doc", "1L AS page", "'T' AS table", "tag AS door_tag"), ["doc", "page"]).collect()
+    assert [(r.left, r.top, r.bottom, r.row_height, r.limit) for r in box] == [(10.0, 0.0, 108.0, 20.0, None)]
+    assert steps[0] == ["doc", "page", "table", "x0", "y0", "y1", "cy"]
