@@ -164,3 +164,21 @@ def test_widest_matching_is_as_large_as_can_be(spark, seed, n, m, links):
     df = spark.createDataFrame([(a, b, a, float((a * 7 + b * 3) % 11) + b / 1000) for a, b in edges], "a long, b long, turn long, liking double")
     got = [(r.a, r.b) for r in graph.widest_matching(df).collect()]
     assert set(got) <= set(edges) and len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == size
+
+
+def test_widest_matching_never_plans_a_whole_path_at_once(spark, monkeypatch):
+    from mullion.operators import graph
+
+    # Every a but the first holds the b that the one after it would like; only moving all of them serves the last.
+    n = 12
+    edges = [(i, i, i, 0.0) for i in range(n)] + [(i, i + 1, i, 1.0) for i in range(n)] + [(n, 0, n, 0.0)]
+    joins, write = [], graph.cut
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return write(df)
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = {r.a: r.b for r in graph.widest_matching(spark.createDataFrame(edges, "a long, b long, turn long, liking double")).collect()}
+    assert got == {i: i + 1 for i in range(n)} | {n: 0}
+    assert max(joins) <= 4
