@@ -70,3 +70,26 @@ def test_bands_are_split_in_one_written_step(spark, monkeypatch):
     bands = finder.scored_bands(items, ["page"]).collect()
     assert (len(steps), len(splits), len(folds)) == (1, 0, 0)
     assert {(r.page, r.idx, r.gap_part, r.n_words) for r in bands if r.step == 0} == {(1, i, g, 2 - g) for i in (1, 2, 3) for g in (0, 1)}
+
+
+def test_body_top_keeps_of_the_body_only_what_the_lines_ask_for(spark):
+    from pyspark.sql import functions as F
+
+    from mullion.operators import tables
+
+    values = spark.range(778).select(F.lit(1).alias("t"), F.lit(0).alias("col"), F.format_string("%04d", "id").alias("text")).unionByName(
+        spark.createDataFrame([(1, 1, "HM"), (1, None, "A"), (1, 1, None)], "t int, col int, text string"))
+    lines = spark.createDataFrame([(1, 1, 90.0, 98.0, 0, "9999"), (1, 1, 90.0, 98.0, 1, "ab"), (1, 2, 70.0, 78.0, 0, "0007"), (1, 2, 70.0, 78.0, 1, "WORDS"),
+                                   (1, 3, 50.0, 58.0, 0, "NO."), (1, 3, 50.0, 58.0, 1, None)], "t int, line int, y0 double, y1 double, col int, text string")
+    top = tables.body_top(lines, values, ["t"])
+    assert [tuple(r) for r in top.collect()] == [(1, 69.0, 2)]
+    # Going up from the body's cells, they meet what was asked for before anything gathers them.
+    plan = top._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda x: next(i for i, c in enumerate(x) if c.isalnum())
+    at = next(i for i, x in enumerate(plan) if "Range (0, 778" in x)
+    above, d = [], depth(plan[at])
+    for x in reversed(plan[:at]):
+        if depth(x) < d:
+            d = depth(x)
+            above.append(x[d:].split()[0])
+    assert next(x for x in above if x in ("Join", "Aggregate")) == "Join"
