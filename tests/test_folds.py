@@ -93,3 +93,14 @@ def test_body_top_keeps_of_the_body_only_what_the_lines_ask_for(spark):
             d = depth(x)
             above.append(x[d:].split()[0])
     assert next(x for x in above if x in ("Join", "Aggregate")) == "Join"
+
+
+def test_rows_of_a_table_are_stitched_in_one_shuffle_without_a_width(spark):
+    from mullion.operators import rows
+
+    data = [(k, 20.0 * i + 300 * (i > 7), [f"1{i:02d}" if i % 3 else "", "a", "" if i % 3 else "more"], bool(i % 3)) for k in ("a", "b") for i in range(12)]
+    lines = spark.createDataFrame(data, "k string, y double, cells array<string>, has_tag boolean")
+    plain, ranged = rows.stitch(lines, ["k"], None, None), rows.stitch(lines, ["k"], 64.0, None)
+    key = lambda df: sorted((r.k, r.row_no, r.y, r.y_end, tuple(r.cells)) for r in df.collect())
+    assert key(plain) == key(ranged)
+    assert shuffles(plain) == 1 < shuffles(ranged)
