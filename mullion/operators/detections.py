@@ -112,9 +112,10 @@ def suppress(det: DataFrame, dead: DataFrame, keys: Sequence[str], cell: float,
 
 def keep_types(new: DataFrame, typed: DataFrame, keys: Sequence[str], page: str, reach: float) -> DataFrame:
     """Types set by hand carried to rebuilt rows: by tag, else to untagged rows by both centre offsets."""
+    on = list(dict.fromkeys([*keys, page]))  # a page among the keys is one column
     by_tag = typed.filter("tag <> ''").groupBy(*keys, "tag").agg(F.max_by("kind", "typed_id").alias("_by_tag"))
-    loose = typed.filter("tag = ''").select(*keys, page, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("kind").alias("_k"), "typed_id")
-    hits = (points_near(new.filter("tag = ''").select(*keys, page, "id", "cx", "cy"), loose, [*keys, page] if page not in keys else list(keys), reach)
+    loose = typed.filter("tag = ''").select(*on, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("kind").alias("_k"), "typed_id")
+    hits = (points_near(new.filter("tag = ''").select(*on, "id", "cx", "cy"), loose, on, reach)
             .groupBy("id").agg(F.min_by("_k", "typed_id").alias("_near")))
     return (new.join(by_tag, [*keys, "tag"], "left").join(hits, "id", "left")
             .withColumn("kind", F.coalesce("_by_tag", "_near", "kind"))
